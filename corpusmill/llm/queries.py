@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, near_dedup, quality_rules, secret_scan, token_counts, token_output
+from corpusmill.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, token_counts, token_output
 from corpusmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenized(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dedup.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
@@ -36,6 +40,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_quality_rules, op6_token_output, op8_near_dedup, op9_secret_scan, op10_mix_sources)
+    f.__name__: f for f in (op3_token_counts, op4_quality_rules, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
 }
 ORACLES: dict[str, str] = {"op10_mix_sources": mixing.SQL}
