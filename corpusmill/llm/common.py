@@ -66,3 +66,13 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, which should have few and narrow rows, computed and marked to be broadcast if it has few indeed."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

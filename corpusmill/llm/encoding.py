@@ -8,8 +8,8 @@ import re
 
 import numpy as np
 
-#: Encoded words that a worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
+#: Encoded words that a worker remembers in each of two generations; words not met for a whole generation are forgotten.
+REMEMBERED = 600_000
 #: Longer stretches without a space aren't remembered.
 LONG = 64
 
@@ -47,6 +47,7 @@ class Encoder:
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)]
         self.starts_with_space = np.array([t.startswith("\u0120") for t in tokens])  # how byte-level tokenizers write a space
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,8 +70,8 @@ class Encoder:
         if not self.by_word:
             return self._whole(texts)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         # a text that holds an added token is one piece; the others are cut at every space, most of them rightly so
         split = [[t] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         new = set().union(*split).difference(known)
@@ -78,9 +79,9 @@ class Encoder:
         if odd:
             split = [_between.split(t) if len(ws) > 1 and (not odd.isdisjoint(ws) or ws[0] == "") else ws for t, ws in zip(texts, split, strict=True)]
             new = set().union(*split).difference(known)
-        words = list(new)
-        fresh = dict(zip(words, self._words(words), strict=True))
-        known.update(fresh)
+        known.update((w, older[w]) for w in new.intersection(older))
+        words = list(new.difference(older))
+        known.update(zip(words, self._words(words), strict=True))
         begin = self._whole([ws[0] for ws in split])
         out = [first + b"".join(map(known.__getitem__, ws[1:])) for first, ws in zip(begin, split, strict=True)]
         for w in words:

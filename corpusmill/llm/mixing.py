@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, cut, fresh
+from corpusmill.llm.common import WORD, cut, fresh, small
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -18,8 +18,6 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 #: Hexadecimal digits of the key that name a key range: 3 for 4,096 ranges a source.
 RANGE_DIGITS = 3
-#: A plan of up to so many sources is broadcast; a larger one is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
 
 
 def random_key(doc_id: Column) -> Column:
@@ -99,9 +97,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", so
     """
     taken = mix_sources(docs, text, key, source)
     last = F.max(F.when((F.col("size") > 0) & (2 * F.col("room") >= F.col("size")), F.struct("_key", "doc_id", "size")))
-    plan = cut(taken.groupBy("_source").agg(F.first("epochs").alias("_epochs"), last.alias("_last")))
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    plan = small(taken.groupBy("_source").agg(F.first("epochs").alias("_epochs"), last.alias("_last")))
     names = docs.columns
     key_of, copies = fresh(docs, "_source"), fresh(docs, "_copies")
     plan = plan.select(F.col("_source").alias(key_of), F.col("_epochs").alias(fresh(docs, "_epochs")), F.col("_last").alias(fresh(docs, "_last")))

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan, token_counts, token_output
+from corpusmill.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts, token_output
 from corpusmill.llm.common import table
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
 
@@ -18,6 +22,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenized(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_quality_rules, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
+    f.__name__: f for f in (op2_personal_data, op3_token_counts, op4_quality_rules, op5_language_id, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
 }
 ORACLES: dict[str, str] = {"op10_mix_sources": mixing.SQL}
