@@ -245,10 +245,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     for index in broadcast_indexes(benchmark):
+        docs = docs.filter(_clean(index)(F.col(text)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index: Broadcast = index) -> pd.Series:
-            return pd.Series([not found for found in leaks([t if isinstance(t, str) else None for t in texts], index.value)], dtype=bool)
 
-        docs = docs.filter(clean(F.col(text)))
-    return docs
+def _clean(index: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not found for found in leaks([t if isinstance(t, str) else None for t in texts], index.value)], dtype=bool)
+
+    return clean

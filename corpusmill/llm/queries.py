@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontamination, language_id, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts, token_output
+from corpusmill.llm import decontamination, language_id, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts, token_output
 from corpusmill.llm.common import table
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_personal_data, op3_token_counts, op4_quality_rules, op5_language_id, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
+    f.__name__: f for f in (op1_quality_model, op2_personal_data, op3_token_counts, op4_quality_rules, op5_language_id, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
 }
 ORACLES: dict[str, str] = {"op10_mix_sources": mixing.SQL}
