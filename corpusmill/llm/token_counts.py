@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks
+from corpusmill.llm.common import chunks, cut
 from corpusmill.llm.encoding import encoder
 
 #: Neighbouring lengths that share a range of the suffix sums.
@@ -40,7 +40,7 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     Suffix sums are taken over ranges of ``RANGE`` lengths, then inside each range; the single window holds a row per
     range. Null lengths are left out; an empty table gives an empty one.
     """
-    counts = lengths.filter(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
+    counts = cut(lengths.filter(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("n_docs")))
     counts = counts.withColumn("_range", F.floor(F.col("length") / RANGE)).withColumn("_tokens", F.col("length") * F.col("n_docs"))
     ranges = counts.groupBy("_range").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
