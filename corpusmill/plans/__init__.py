@@ -1,4 +1,4 @@
 """The registered queries and their SQL."""
 
-from corpusmill.plans import search  # noqa: F401
+from corpusmill.plans import documents, records, search  # noqa: F401
 from corpusmill.plans.registry import ORACLES, QUERIES  # noqa: F401
