@@ -223,3 +223,22 @@ def test_check_and_record_equals_a_loop(spark, tmp_path):
         ok, state[key] = ingest.admit(state.get(key, []), r["at"], 86_400_000_000, 3)
         assert got[r["event_id"]] == ok
     assert len(got) == len(rows)
+
+
+def test_docx(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    xml = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>new </w:t></w:r><w:del><w:r><w:t>old</w:t></w:r></w:del><w:ins><w:r><w:t>text</w:t></w:r></w:ins></w:p><w:p/></w:body></w:document>'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", xml)
+    rows = spark.createDataFrame([(1, bytearray(buffer.getvalue())), (2, bytearray(b"no zip")), (3, None)], "id int, c binary")
+    assert [tuple(r) for r in documents.docx_paragraphs(rows, "c", "id").collect()] == [(1, 0, "Heading1", "Title"), (1, 1, None, "new text")]
+
+
+def test_saved_index_answers_like_a_fresh_one(spark):
+    rows = spark.createDataFrame([(1, "heat and water"), (2, "Heat heat"), (3, "rent")], "chunk_id int, text string")
+    terms = spark.createDataFrame([(7, "heat")], "query_id int, term string")
+    index, statistics = search.postings(rows, {"text": 1.0}), search.index_statistics(rows, {"text": 1.0})
+    saved = search.save_index(index, "saved_index", 4)
+    scores = lambda i: sorted((r["chunk_id"], round(r["score"], 9)) for r in search.bm25(i, statistics, terms).collect())
+    assert scores(saved) == scores(index) and [c for c, _ in scores(saved)] == [1, 2]
