@@ -56,6 +56,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows in an Arrow batch of whole texts, unless the session says otherwise. Spark's default holds tens of megabytes of
+#: text in the executor and again in its Python worker; the operators gain nothing from batches over ``CHUNK_CHARS``.
+BATCH_ROWS = 1000
+_DEFAULT_BATCH_ROWS = "10000"
+
+
+def picked(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The named columns of ``docs``, on their way to Python in batches of bounded size."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(size) == _DEFAULT_BATCH_ROWS:
+        docs.sparkSession.conf.set(size, str(BATCH_ROWS))
+    return docs.select(*(c.alias(name) for name, c in columns.items())) if columns else docs
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters each; no text is split."""
     start = size = 0

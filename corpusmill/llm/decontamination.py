@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from corpusmill.llm.common import chunks, cut
+from corpusmill.llm.common import chunks, cut, picked
 
 K1, B = 1.2, 0.75
 #: Least BM25 score of a passage, as a share of the item's own score.
@@ -212,8 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     Null and empty texts hold nothing; nor does any text if the benchmark is empty. Repeated rows and null keys of
     documents give their rows alike. Whole texts are searched. Sorted within a document by item.
     """
-    picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    id_type = picked.schema["doc_id"].dataType.simpleString()
+    rows = picked(docs, doc_id=F.col(key), text=F.col(text))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     item_field = benchmark.schema[item_key]
     schema = f"doc_id {id_type}, item_id {item_field.dataType.simpleString()}, passage_start long, bm25 double, question_overlap double, answer_overlap double"
 
@@ -228,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
                     ["doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap"],
                 )
 
-        return picked.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -245,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     for index in broadcast_indexes(benchmark):
-        docs = docs.filter(_clean(index)(F.col(text)))
+        docs = picked(docs).filter(_clean(index)(F.col(text)))
     return docs
 
 

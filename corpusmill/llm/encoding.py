@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Encoded words that a worker remembers in each of two generations; words not met for a whole generation are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: Longer stretches without a space aren't remembered.
 LONG = 64
 

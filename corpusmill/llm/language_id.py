@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, held_out, small
+from corpusmill.llm.common import chunks, held_out, picked, small
 
 DIMENSIONS = 1024
 SEED = 20_240_607
@@ -114,7 +114,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     Null languages and null texts teach nothing. Sums are formed by partition and then by language and dimension; what
     comes to the driver is a vector per language.
     """
-    taught = docs.filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    taught = picked(docs).filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = small(taught.groupBy(F.col(lang).alias("language")).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))
     chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     rows = taught.select(F.col(lang).alias("language"), F.col(text).alias("text"), chance.alias("chance")).join(share, "language").filter("chance < share").select("language", "text")
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     ``und`` with score 0 for a null text, a text without letters, or if no language was learned. Null keys count as
     held out. Repeated rows give a row each; an empty table an empty one. Texts are never cut.
     """
-    picked = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
+    rows = picked(docs, doc_id=F.col(key), held_out=held_out(F.col(key)), text=F.col(text))
     names, matrix = list(prototypes), np.array(list(prototypes.values()), dtype=np.float32).reshape(-1, DIMENSIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             score = np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from corpusmill.llm.common import cut, fresh
+from corpusmill.llm.common import cut, fresh, picked
 from corpusmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Null and empty texts have fingerprint 0 and link like any other. Rows that share an id are rows of their own. A null
     id is never the least; a component of null ids only has a null component_id. An empty table gives an empty one.
     """
-    rows = cut(docs.select(F.col(key).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")))
+    rows = cut(picked(docs, doc_id=F.col(key), fp=fingerprint_udf(F.col(text))))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp")))
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")

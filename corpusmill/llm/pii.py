@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import picked
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_user", "email_text", "address", "account")
 SCHEMA = ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS[4:])
@@ -129,7 +131,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     Spans read kind:start:end, comma-joined, by kind as listed in ``KINDS``, then start. A null text counts as empty and
     has none. Null keys and repeated rows give a row each; an empty table gives an empty one. Texts are never cut.
     """
-    picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = picked(docs, doc_id=F.col(key), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,4 +149,4 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             arrays = [pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in columns.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *columns])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, cut, held_out
+from corpusmill.llm.common import cut, held_out, picked
 
 #: Labelled rows that the model is fitted on, about; chosen by a hash of their id.
 SAMPLE = 20_000
@@ -158,14 +158,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def document_features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out and f, the features, for every row."""
-    picked = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
+    rows = picked(docs, doc_id=F.col(key), held_out=held_out(F.col(key)), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["doc_id", "held_out", "f"])
+            values = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["doc_id", "held_out", "f"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, held_out boolean, f array<double>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, f array<double>")
 
 
 def learn(rows: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks
+from corpusmill.llm.common import chunks, picked
 
 #: n-gram length in words -> largest share of the word characters that repeated n-grams of this length may cover.
 LIMITS = {5: 0.40, 8: 0.35, 12: 0.30}
@@ -135,14 +135,14 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     A null or empty text has no words, fails the base rule and isn't kept. Repeated rows and null keys give a row each;
     an empty table gives an empty one. Texts are never cut, however long.
     """
-    picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = picked(docs, doc_id=F.col(key), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = measure(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, got.values())], ["doc_id", *got])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, {FIELDS}")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FIELDS}")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -153,4 +153,4 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in texts:
             yield pd.Series(measure([None if t is None or t != t else t for t in part])["kept"])
 
-    return docs.filter(kept(F.col(text)))
+    return picked(docs).filter(kept(F.col(text)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, cut
+from corpusmill.llm.common import chunks, cut, picked
 from corpusmill.llm.encoding import encoder
 
 #: Neighbouring lengths that share a range of the suffix sums.
@@ -18,7 +18,7 @@ RANGE = 256
 
 def encoded_lengths(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
     """doc_id and n_tokens for every row. Null and empty texts have 0 tokens. ``tokenizer``: path of a tokenizer file."""
-    picked = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = picked(docs, doc_id=F.col(key), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
@@ -27,7 +27,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", key: str = "doc_id", to
             sizes = [len(b) // 4 for a, z in chunks(texts) for b in encode(texts[a:z])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, dtype=np.int64))], ["doc_id", "n_tokens"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:

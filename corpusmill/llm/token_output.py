@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, cut, new_folder
+from corpusmill.llm.common import chunks, cut, new_folder, picked
 from corpusmill.llm.encoding import encoder
 
 END = 0
@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, text: str = "text",
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = picked(docs, doc_id=F.col(key).cast("long"), text=F.coalesce(F.col(text), F.lit("")))
     place = ["doc_id", F.xxhash64("text")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *place).sortWithinPartitions(*place)
