@@ -154,3 +154,31 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.Series(measure([None if t is None or t != t else t for t in part])["kept"])
 
     return picked(docs).filter(kept(F.col(text)))
+
+
+def _sql() -> str:
+    """The same rows as SQL. Every row is numbered, so that repeated rows stay apart."""
+    covered = "".join(
+        rf"""
+g{n} AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS times FROM (SELECT r, i, array_to_string(ws[i:i + {n - 1}], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - {n} + 2)) AS i FROM w))),
+c{n} AS (SELECT r, count(*) AS words, sum(length(ws[j])) AS chars FROM (SELECT DISTINCT r, unnest(range(i, i + {n})) AS j FROM g{n} WHERE times > 1) JOIN w USING (r) GROUP BY r),"""
+        for n in sorted({*LIMITS, WINDOW})
+    )
+    shares = ", ".join(f"CAST(coalesce(c{n}.chars, 0) AS DOUBLE) / greatest(word_chars, 1) AS dup_{n}gram_share" for n in LIMITS)
+    bad = " OR ".join([f"dup_line_share > {LINE_LIMIT}", *(f"dup_{n}gram_share > {most}" for n, most in LIMITS.items())])
+    joins = " ".join(f"LEFT JOIN c{n} USING (r)" for n in sorted({*LIMITS, WINDOW}))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars FROM d),{covered}
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS times FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l WHERE times > 1 GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(c{WINDOW}.words, 0) AS n_repeat_words, CAST(coalesce(dup.chars, 0) AS DOUBLE) / greatest(word_chars, 1) AS dup_line_share, {shares}
+  FROM w LEFT JOIN dup USING (r) {joins}
+), b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT ({bad}) AS kept FROM b
+"""
+
+
+SQL = _sql()

@@ -54,4 +54,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_model, op2_personal_data, op3_token_counts, op4_quality_rules, op5_language_id, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
 }
-ORACLES: dict[str, str] = {"op10_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL, "op10_mix_sources": mixing.SQL}
