@@ -122,8 +122,7 @@ def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    scored = search.vector_scores(*_vectors(spark, folder))
-    return search.top_k(scored, 10, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return search.vector_top_k(*_vectors(spark, folder), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH x AS (SELECT 1) {_VECTORS},
@@ -131,8 +130,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def vector_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     rows, asked = _vectors(spark, folder)
-    scored = search.vector_scores(rows.filter("label = 1"), asked).filter("score > 0")
-    return search.top_k(scored, 5, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return search.vector_top_k(rows.filter("label = 1"), asked, 5, positive=True).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _RRF = """
@@ -170,7 +168,7 @@ SELECT query_id, chunk_id, round(score, 9) AS score, match_types, rank FROM r WH
 def weighted_rrf_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The three arms of a search, merged; what is asked for is kept four times over in each arm."""
     keyword = _keyword(spark, folder, dict(BODY), 40)
-    vector = search.top_k(search.vector_scores(*_vectors(spark, folder)), 40, "query_id")
+    vector = search.vector_top_k(*_vectors(spark, folder), 40)
     exact = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).alias("chunk_id"), F.lit(1).alias("rank"))
     merged = search.merge_arms(exact, keyword, vector, 10)
     return merged.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "match_types", "rank")

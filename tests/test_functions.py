@@ -242,3 +242,12 @@ def test_saved_index_answers_like_a_fresh_one(spark):
     saved = search.save_index(index, "saved_index", 4)
     scores = lambda i: sorted((r["chunk_id"], round(r["score"], 9)) for r in search.bm25(i, statistics, terms).collect())
     assert scores(saved) == scores(index) and [c for c, _ in scores(saved)] == [1, 2]
+
+
+def test_vector_top_k_equals_the_joined_form(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(50)] + [(90, [1.0]), (91, None), (92, [float("nan")] * 3)], "chunk_id long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, -1.0, 0.5])], "query_id long, vector array<float>")
+    rows = lambda **kw: sorted(map(tuple, search.vector_top_k(vectors, queries, 6, **kw).collect()))
+    fast = rows(), rows(positive=True)
+    monkeypatch.setattr(search, "MATRIX_QUERIES", 1)
+    assert fast == (rows(), rows(positive=True)) and len(fast[0]) == 12
