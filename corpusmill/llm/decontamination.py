@@ -202,10 +202,14 @@ def broadcast_indexes(benchmark: DataFrame, text: str = "text", key: str = "item
         rows = [(r["item_id"], r["text"]) for r in numbered.filter(shard).orderBy("item_id", "text").collect() if len(words(r["text"])) >= MIN_ITEM_WORDS]
         rows.sort(key=lambda r: len(words(r[1])))  # items of like length share an index, and so a passage length
         indexes = [build(rows[i : i + SHARD_ITEMS], df, sizes["items"], sizes["mean"]) for i in range(0, len(rows), SHARD_ITEMS)]
-        out.append(spark.sparkContext.broadcast(indexes))
+        out.append(spark.sparkContext.broadcast([vars(index) for index in indexes]))  # plain data: a worker may lack the class
     return out
 
 
+def _loaded(broadcast: Broadcast) -> list[Index]:
+    return [Index(**fields) for fields in broadcast.value]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, passage_start, bm25, question_overlap, answer_overlap.
 
@@ -220,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     def one(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = leaks(batch.column(1).to_pylist(), index.value)
+                found = leaks(batch.column(1).to_pylist(), _loaded(index))
                 at = [i for i, rows in enumerate(found) for _ in rows]
                 columns = list(zip(*(r for rows in found for r in sorted(rows, key=repr)), strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -252,6 +256,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -
 def _clean(index: Broadcast):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not found for found in leaks([t if isinstance(t, str) else None for t in texts], index.value)], dtype=bool)
+        return pd.Series([not found for found in leaks([t if isinstance(t, str) else None for t in texts], _loaded(index))], dtype=bool)
 
     return clean

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +55,13 @@ def _iban(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-@cache
+_automata: list = []
+
+
 def _anchors():
+    """The automaton, built once in a worker."""
+    if _automata:
+        return _automata[0]
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -67,6 +71,7 @@ def _anchors():
     for word, kind in words.items():
         found.add_word(word, (kind, len(word)))
     found.make_automaton()
+    _automata.append(found)
     return found
 
 
