@@ -5,19 +5,23 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 
-#: Encoded words that a worker remembers in each of two generations; words not met for a whole generation are forgotten.
-REMEMBERED = 150_000
+#: Encoded words that a worker remembers after meeting them in one step only, and after meeting them in two or more.
+#: Most different words occur once; kept apart, they don't push out those that come back.
+TRIED, STEADY = 150_000, 300_000
 #: Longer stretches without a space aren't remembered.
 LONG = 64
 
 _between = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _odd(word: str) -> bool:
-    return not word or word[0].isspace() or word[-1].isspace()
+def _odd(words: Iterable[str]) -> set[str]:
+    """The words that are empty or have white space at an end."""
+    return {w for w in words if not w or w.strip() != w}
 
 
 class Encoder:
@@ -46,15 +50,15 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)]
         self.starts_with_space = np.array([t.startswith("\u0120") for t in tokens])  # how byte-level tokenizers write a space
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tried: dict[str, bytes] = {}
+        self.steady: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str], odd: set[str]) -> dict[str, bytes]:
         """Encodings of the words with a space before each. As one text, cut again where a token starts with a space."""
-        plain = [w for w in words if w and " " not in w and not w[0].isspace() and not w[-1].isspace()]
+        plain = [w for w in words if " " not in w and w not in odd]
         out = {}
         for at in range(0, len(plain), 10_000):
             part = plain[at : at + 10_000]
@@ -62,31 +66,41 @@ class Encoder:
             edges = [*(4 * np.flatnonzero(self.starts_with_space[ids])).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
             out.update(zip(part, (raw[a:z] for a, z in zip(edges, edges[1:], strict=False)), strict=True))
-        rest = [w for w in words if w not in out]
+        rest = [w for w in words if w not in out] if len(out) < len(words) else []
         out.update(zip(rest, self._whole([f" {w}" for w in rest]), strict=True))
-        return [out[w] for w in words]
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the memory bounded. Steady words not added lately must be met again to stay."""
+        if len(self.steady) > STEADY:
+            half = len(self.steady) // 2
+            self.tried |= islice(self.steady.items(), half)
+            self.steady = dict(islice(self.steady.items(), half, None))
+        if len(self.tried) > TRIED:
+            self.tried = dict(islice(self.tried.items(), len(self.tried) - TRIED // 2, None))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        self._forget()
+        steady, tried = self.steady, self.tried
         # a text that holds an added token is one piece; the others are cut at every space, most of them rightly so
         split = [[t] if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        odd = set(filter(_odd, new))  # beside one of these, a space isn't a cut
-        if odd:
+        met = set().union(*split).difference(steady)
+        odd = _odd(met.difference(tried))
+        if odd:  # beside one of these, a space isn't a cut
             split = [_between.split(t) if len(ws) > 1 and (not odd.isdisjoint(ws) or ws[0] == "") else ws for t, ws in zip(texts, split, strict=True)]
-            new = set().union(*split).difference(known)
-        known.update((w, older[w]) for w in new.intersection(older))
-        words = list(new.difference(older))
-        known.update(zip(words, self._words(words), strict=True))
+            met = set().union(*split).difference(steady)
+            odd = _odd(met.difference(tried))
+        again = met.intersection(tried)
+        steady.update((w, tried.pop(w)) for w in again)
+        new = self._words(list(met.difference(again)), odd)
+        steady.update(new)
         begin = self._whole([ws[0] for ws in split])
-        out = [first + b"".join(map(known.__getitem__, ws[1:])) for first, ws in zip(begin, split, strict=True)]
-        for w in words:
-            if len(w) > LONG or _odd(w):  # an odd one must be noticed again
-                del known[w]
+        out = [first + b"".join(map(steady.__getitem__, islice(ws, 1, None))) for first, ws in zip(begin, split, strict=True)]
+        for w in new:
+            del steady[w]
+        tried.update((w, ids) for w, ids in new.items() if len(w) <= LONG and w not in odd)  # an odd one must be noticed again
         return out
 
 

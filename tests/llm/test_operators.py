@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language_id, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts, token_output
+from corpusmill.llm import decontamination, encoding, language_id, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts, token_output
 from corpusmill.llm.components import components
 from corpusmill.llm.encoding import Encoder
 
@@ -205,6 +205,19 @@ def test_encoder_equals_the_tokenizer_on_whole_texts():
         assert encode.encode(texts) == encode._whole(texts)
 
 
+def test_encoder_that_forgets_equals_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(encoding, "TRIED", 8)
+    monkeypatch.setattr(encoding, "STEADY", 4)
+    rng, encode = random.Random(5), Encoder()
+    words = [*WORDS, "", "\n", "x\n", " ", "<|endoftext|>", "w" * 200]
+    for _ in range(200):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 3))]
+        assert encode.encode(texts) == encode._whole(texts)
+        assert max(map(len, encode.tried)) <= encoding.LONG
+    encode._forget()
+    assert len(encode.tried) <= 8 and len(encode.steady) <= 4
+
+
 def test_token_output(docs):
     rows = token_output.tokenized(docs).collect()
     encode, want, at = Encoder(), [], 0
