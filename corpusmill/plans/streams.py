@@ -43,13 +43,15 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_id, user_id FROM events")
 def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
-    rows = ingest.event_stream(spark, f"{folder}/events.parquet")
+    path = f"{folder}/events.parquet"
+    rows = ingest.event_stream(spark, path)
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return ingest.collected(ingest.deduplicated(twice, "event_id", "ts").select("event_id", "user_id"), "append", _folder(spark))
+    return ingest.collected(ingest.deduplicated(twice, "event_id", "ts", ingest.span(spark, path)).select("event_id", "user_id"), "append", _folder(spark))
 
 
 @query()
 def stream_check_and_record(spark: SparkSession, folder: str) -> DataFrame:
     """At most three admitted events of a type per user and day; rejected ones don't count."""
-    rows = ingest.event_stream(spark, f"{folder}/events.parquet")
-    return ingest.collected(ingest.check_and_record(rows, ["user_id", "event_type"], "ts", "event_id", 86_400, 3), "append", _folder(spark))
+    out = _folder(spark)
+    rows = ingest.event_stream(spark, ingest.in_order(spark, f"{folder}/events.parquet", out))
+    return ingest.collected(ingest.check_and_record(rows, ["user_id", "event_type"], "ts", "event_id", 86_400, 3), "append", out)

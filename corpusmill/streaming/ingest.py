@@ -15,12 +15,38 @@ from corpusmill.sources import sinks
 
 #: Late rows of so many days are read again.
 OVERLAP = "14 days"
+#: Files that a batch takes.
+FILES = 64
 
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
     """A Parquet file or folder as a stream; the time column as an instant, which watermarks need."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path}*").withColumn(ts, F.col(ts).cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}*").withColumn(ts, F.col(ts).cast("timestamp"))
+
+
+def span(spark: SparkSession, path: str, ts: str = "ts") -> str:
+    """A watermark's delay by which no row of what is there comes late, whatever the order of its files."""
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    seconds = spark.read.parquet(path).agg(F.max(at) - F.min(at)).first()[0]
+    return f"{(seconds or 0) + 2} seconds"
+
+
+def in_order(spark: SparkSession, path: str, folder: str, ts: str = "ts") -> str:
+    """A copy of what is there, below ``folder``, that a stream reads in the order of time; rows of one time share a file.
+
+    Streams take files by their time of modification, so the copy's files get times in their order.
+    """
+    out = f"{folder}/ordered-{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(spark.read.parquet(path).inputFiles()))
+    spark.read.parquet(path).repartitionByRange(n, ts).write.parquet(out)
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    newest = max((fs.getFileStatus(f).getModificationTime() for f in files), default=0)
+    for i, f in enumerate(files):
+        fs.setTimes(f, newest - 1000 * (len(files) - i), -1)
+    return out
 
 
 def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -45,9 +71,9 @@ def upsert_sink(folder: str, key: list[str], order: str) -> Callable[[DataFrame,
     return sink
 
 
-def deduplicated(stream: DataFrame, key: str, ts: str) -> DataFrame:
-    """Redelivered rows dropped for as long as they may still come."""
-    return stream.withWatermark(ts, OVERLAP).dropDuplicatesWithinWatermark([key])
+def deduplicated(stream: DataFrame, key: str, ts: str, late: str = OVERLAP) -> DataFrame:
+    """Redelivered rows dropped for as long as they may still come; a replay of a backlog names its ``span``."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def tumbling(stream: DataFrame, ts: str, width: str, *by: str, late: str = OVERLAP) -> DataFrame:
@@ -68,7 +94,8 @@ def admit(times: list[int], now: int, window: int, limit: int) -> tuple[bool, li
 def check_and_record(rows: DataFrame, by: list[str], ts: str, event_id: str, seconds: int, limit: int) -> DataFrame:
     """by, event_id, allowed, for a stream: an event counts only if it was admitted, so the state is the admitted times.
 
-    State per key holds at most ``limit`` times and is dropped when the watermark passes the window's end.
+    State per key holds at most ``limit`` times and is dropped when the watermark passes the window's end. Batches have to
+    come in the order of time: a backlog goes through ``in_order`` first.
     """
     micros = rows.withColumn("_at", F.unix_micros(F.col(ts))).withWatermark(ts, f"{seconds} seconds")
     kinds = {f.name: f.dataType.simpleString() for f in micros.schema}
