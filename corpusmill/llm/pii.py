@@ -30,15 +30,15 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 AT_WORDS = ("[at]", "(at)", "{at}")
-STREETS = ("Street", "Avenue", "Boulevard", "Road", "Lane", "Drive", "Square", "Court")
+STREETS = ("Street", "Avenue", "Boulevard", "Road", "Lane", "Drive", "Square", "Court", "Place", "Way", "St", "Ave", "Blvd", "Rd", "Ln", "Dr", "Sq", "Ct", "Pl")
 ACCOUNTS = ("iban", "account", "acct", "ssn")
-#: How far a parser looks from its anchor.
-REACH = 80
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+#: How far the account parser looks from its anchor, and the most characters that HOUSE can match.
+REACH, LONGEST_HOUSE = 80, 92
+LETTERS = LOCAL - frozenset("0123456789._%+-")
+SCHEME = LETTERS | frozenset("0123456789+.-")
 AUTHORITY = re.compile(r"[^\s/?#<>\"'@]+@[A-Za-z0-9.\[\]:-]+")
 SPELLED_HOST = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]+)+")
-SPELLED_USER = re.compile(r"[A-Za-z0-9._%+-]+ ?$")
-HOUSE = re.compile(r"(?<![A-Za-z0-9])[1-9][0-9]{0,5}[A-Za-z]?(?: [A-Z][A-Za-z'.-]{0,19}){1,4} $")
+HOUSE = re.compile(r"(?<![A-Za-z0-9])[1-9][0-9]{0,5}[A-Za-z]?(?: [A-Z][A-Za-z'.-]{0,19}){1,4} \Z")
 NUMBER = re.compile(r"(?: ?(?:number|no\.?|num|nr\.?|#))?(?: ?[:#=]| is)? ?((?-i:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})|[0-9](?:[ -]?[0-9])+)", re.IGNORECASE | re.ASCII)
 
 
@@ -66,7 +66,7 @@ def _anchors():
 
     found = ahocorasick.Automaton()
     words = {"@": "@", "://": "://"} | {d: "digit" for d in DIGITS} | {f"+{d}": "+" for d in DIGITS}
-    words |= {w: "at" for w in AT_WORDS} | {w: "street" for w in STREETS}
+    words |= {w: "at" for w in AT_WORDS} | {f" {form}": "street" for w in STREETS for form in (w, w.lower(), w.upper())}
     words |= {form: "account" for w in ACCOUNTS for form in (w, w.capitalize(), w.upper())}
     for word, kind in words.items():
         found.add_word(word, (kind, len(word)))
@@ -104,20 +104,24 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 if 9 <= sum(c in DIGITS for c in m[0]) <= 15:
                     out.append((3, at, m.end()))
         elif anchor == "://":
-            scheme = SCHEME.search(text[max(0, at - REACH) : at])
-            if scheme and (m := AUTHORITY.match(text[end : end + 4 * REACH])):
-                out.append((4, at - len(scheme[0]), end + m.end()))
+            start = at
+            while start and text[start - 1] in SCHEME:
+                start -= 1
+            while start < at and text[start] not in LETTERS:
+                start += 1
+            if start < at and (m := AUTHORITY.match(text, end)):
+                out.append((4, start, m.end()))
         elif anchor == "at":
-            user = SPELLED_USER.search(text[max(done["at"], at - REACH) : at])
-            host = SPELLED_HOST.match(text[end : end + 2 * REACH])
-            if user and host:
-                done["at"] = end + host.end()
-                out.append((5, at - len(user[0]), done["at"]))
+            start = stop = at - (at > done["at"] and text[at - 1] == " ")
+            while start > done["at"] and text[start - 1] in LOCAL:
+                start -= 1
+            if start < stop and (m := SPELLED_HOST.match(text, end)):
+                done["at"] = m.end()
+                out.append((5, start, m.end()))
         elif anchor == "street":
-            house = HOUSE.search(text[max(done["street"], at - REACH) : at])
-            if house and not text[end : end + 1].isalnum():
+            if not text[end : end + 1].isalnum() and (m := HOUSE.search(text, max(done["street"], at + 1 - LONGEST_HOUSE), at + 1)):
                 done["street"] = end
-                out.append((6, at - len(house[0]), end))
+                out.append((6, m.start(), end))
         elif at >= done["account"] and not (at and text[at - 1].isalnum()) and not text[end : end + 1].isalpha():
             m = NUMBER.match(text[end : end + REACH])
             if m:
