@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.plans.registry import query
 from corpusmill.sources import sinks
+from corpusmill.sources.shared import new_folder
 from corpusmill.streaming import ingest
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a temporary one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusmill-')}"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 @query("SELECT date_trunc('day', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
