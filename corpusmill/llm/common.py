@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.shared import new_folder, remove_folder, shared_folder
+
+__all__ = ["chunks", "cut", "fresh", "held_out", "new_folder", "picked", "portions", "remove_folder", "small", "table"]
+
 #: Characters of text that one step of a vectorised operator works on; a longer document is a step of its own.
 CHUNK_CHARS = 1 << 20
 
@@ -34,40 +37,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a folder of our own only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='corpusmill-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A name, not in use yet, for a folder below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs a read and not a recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Rows in an Arrow batch of whole texts, unless the session says otherwise. Spark's default holds tens of megabytes of
-#: text in the executor and again in its Python worker; the operators gain nothing from batches over ``CHUNK_CHARS``.
-BATCH_ROWS = 1000
-_DEFAULT_BATCH_ROWS = "10000"
+#: Rows of an Arrow batch that an operator turns into Python objects at a time. Spark bounds a batch by its bytes; this
+#: bounds what a worker makes of it.
+PORTION = 1000
 
 
 def picked(docs: DataFrame, **columns: Column) -> DataFrame:
-    """The named columns of ``docs``, on their way to Python in batches of bounded size."""
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if docs.sparkSession.conf.get(size) == _DEFAULT_BATCH_ROWS:
-        docs.sparkSession.conf.set(size, str(BATCH_ROWS))
-    return docs.select(*(c.alias(name) for name, c in columns.items())) if columns else docs
+    """The named columns of ``docs`` only, so that no other is read."""
+    return docs.select(*(c.alias(name) for name, c in columns.items()))
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, at most ``PORTION`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PORTION):
+            yield batch.slice(at, PORTION)
 
 
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -82,11 +72,12 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 10_000
+#: Bytes, as JSON, up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, which should have few and narrow rows, computed and marked to be broadcast if it has few indeed."""
+    """``df``, which should be a row per source or language, computed once and marked to be broadcast if its bytes are few."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df

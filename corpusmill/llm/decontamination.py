@@ -1,19 +1,24 @@
-"""Benchmark decontamination: passages of the corpus search a BM25 index of the benchmark items.
+"""Benchmark decontamination: passages of the corpus search an inverted BM25 index of the benchmark items.
 
-Impacts are divided by the item's own score, so a passage that holds the whole item scores 1 and one threshold serves
-all items. Block-max pruning, for many passages at once: sums of each term's largest impact bound a passage; for
-passages that pass, sums of the largest impacts within each block of items bound the blocks; only items of blocks that
-pass are scored. Everything above the threshold is then verified by the share of the question's and of the answer's
-word 5-grams that the passage holds. The index is broadcast, in shards if it is large; documents are not shuffled.
+The index holds postings by term, with their largest impact in each of a few ranges of items and in each short block.
+Sums of the range maxima tell in which ranges a passage is worth searching. There block-max WAND runs for many passages
+side by side: the lists of a passage are ordered by the item they stand at, the first item that the lists up to it could
+lift to the threshold is the pivot, and the lists before it skip to the pivot, or beyond the blocks that can't reach it.
+
+What is found is verified by the word 5-grams of the item's question and answer that the passage holds. The threshold
+follows from that rule: for each item it is a lower bound of the BM25 score of any passage that would pass, so the search
+loses none. Impacts are divided by it, and one threshold of 1 serves all items. The index is built in tasks and broadcast
+in groups of a bounded number of characters; documents are not shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,88 +26,213 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusmill.llm.common import chunks, cut, picked
+from corpusmill.llm.common import chunks, cut, picked, portions
 
 K1, B = 1.2, 0.75
-#: Least BM25 score of a passage, as a share of the item's own score.
-THRESHOLD = 0.5
-#: Least mean share of the question's and the answer's 5-grams that the passage must hold.
+#: Least mean share of the question's and the answer's 5-grams that a passage must hold.
 OVERLAP = 0.5
 GRAM = 5
-#: Items with fewer words say too little to tell a copy from chance, and are left out.
-MIN_ITEM_WORDS = 8
+#: An item of fewer words has too few 5-grams to tell part of it from chance: the passage must hold all of it in one run.
+SHORT = 12
+#: Words of a segment, at least; a passage is two segments, and a segment is as long as the longest item of its index.
 MIN_SEGMENT = 32
-BLOCK = 8
-#: Items in one index; a worker holds the indexes of a broadcast one beside the other.
-SHARD_ITEMS = 1024
-#: Characters of benchmark text in one broadcast; a larger benchmark takes a pass over the documents for each.
-BROADCAST_CHARS = 16_000_000
+#: Postings in a block, and ranges of items in an index.
+BLOCK, RANGES = 16, 32
+#: Characters of benchmark text in one broadcast. A larger benchmark is searched in blocks of about so many.
+GROUP_CHARS = 8_000_000
+#: (passage, list) cells that WAND moves side by side.
+CELLS = 1 << 17
+#: Sums of 32-bit impacts may fall short of the threshold by so much.
+SLACK = 1e-4
 
 _ASCII_BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-_marks = re.compile(rb"\xe2[\x80\x81].")
+_marks = re.compile(rb"\xe2[\x80\x81].|\xe3\x80.|\xef\xbc[\x81-\x8f\x9a-\xa0]")
+#: Letters of scripts without spaces; each is a word of its own.
+_unspaced = re.compile("[ก-๎ກ-໎က-ဿក-៓ぁ-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
 def words(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII and general punctuation separates them."""
-    raw = (text or "").lower().encode("utf-8", "surrogatepass")
-    if b"\xe2\x80" in raw or b"\xe2\x81" in raw:
-        raw = _marks.sub(b" ", raw)
-    return raw.translate(_ASCII_BREAKS).split()
+    """Lower-cased words; ASCII, general and ideographic punctuation separates them."""
+    text = (text or "").lower()
+    if text.isascii():
+        return text.encode().translate(_ASCII_BREAKS).split()
+    if _unspaced.search(text):
+        text = _unspaced.sub(r" \g<0> ", text)
+    return _marks.sub(b" ", text.encode("utf-8", "surrogatepass")).translate(_ASCII_BREAKS).split()
 
 
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer: what stands up to the last question mark and after it, or else two halves."""
-    head, mark, tail = text.rpartition("?")
-    question, answer = words(head), words(tail)
-    if mark and question and answer:
+    at = max(text.rfind("?"), text.rfind("？"))
+    question, answer = words(text[: at + 1]), words(text[at + 1 :])
+    if at >= 0 and question and answer:
         return question, answer
     whole = words(text)
     return whole[: (len(whole) + 1) // 2], whole[(len(whole) + 1) // 2 :]
 
 
-def grams(ws: list[bytes]) -> set[bytes]:
-    return {b" ".join(ws[i : i + GRAM]) for i in range(max(1, len(ws) - GRAM + 1))} if ws else set()
+def grams(ws: list, n: int = GRAM) -> set[tuple]:
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+
+def halves(ws: list, split: int) -> tuple[set[tuple], set[tuple]]:
+    """5-grams of the question, the first ``split`` words, and of the answer. One shorter than that borrows from the other.
+
+    Of a short item both are its whole run of words.
+    """
+    if len(ws) < SHORT:
+        return {tuple(ws)}, {tuple(ws)}
+    return grams(ws[: max(split, GRAM)]), grams(ws[min(split, len(ws) - GRAM) :])
+
+
+def overlaps(ws: list, split: int, passage: list) -> tuple[float, float]:
+    """Shares of the question's and the answer's 5-grams that a passage holds."""
+    have = grams(passage, min(len(ws), GRAM) if len(ws) >= SHORT else len(ws))
+    question, answer = halves(ws, split)
+    return len(question & have) / len(question), len(answer & have) / len(answer)
+
+
+def least_score(ws: list, split: int, impact: dict) -> float:
+    """A lower bound of the impacts of the words in any passage that holds enough of the item.
+
+    Each word's impact is dealt out evenly over the 5-grams that it stands in; what a passage's 5-grams were dealt is at
+    most the impact of its words. The cheapest 5-grams that are enough together, the last one in part, give the bound.
+    """
+    both = halves(ws, split)
+    holders = Counter(w for half in both for g in half for w in set(g))
+    priced = sorted((len(half) * sum(impact[w] / holders[w] for w in set(g)), 1 / len(half)) for half in both for g in half)
+    need, total = 2 * OVERLAP if len(ws) >= SHORT else 2.0, 0.0
+    for price, credit in priced:
+        part = min(credit, need)
+        total, need = total + price * part, need - part
+        if need <= 1e-12:
+            break
+    return total * (1 - 1e-6)
 
 
 @dataclass
 class Index:
-    """Up to SHARD_ITEMS items. blocks: a block's terms, ascending, and their impacts, a column per item."""
+    """Items of like length. Postings of a term are those from start[term] to start[term + 1], by item; impacts are over the threshold."""
 
-    vocabulary: dict[bytes, int]
-    ids: list
-    blocks: list[tuple[np.ndarray, np.ndarray]]
-    halves: list[tuple[set[bytes], set[bytes]]]
-    block_max: np.ndarray
-    term_max: np.ndarray
     segment: int
-
-
-def build(items: list[tuple], df: dict[bytes, int], n_items: int, mean_length: float) -> Index:
-    """items: (id, text) of one shard; df, n_items and mean_length are of the whole benchmark."""
+    ids: list
+    words: np.ndarray
+    edge: np.ndarray
+    split: np.ndarray
+    least: np.ndarray
+    start: np.ndarray
+    item: np.ndarray
+    impact: np.ndarray
+    block_start: np.ndarray = field(init=False)
+    block_last: np.ndarray = field(init=False)
+    block_max: np.ndarray = field(init=False)
+    term_max: np.ndarray = field(init=False)
+    bounds: np.ndarray = field(init=False)
+    range_max: np.ndarray = field(init=False)
+    key: np.ndarray = field(init=False)
+    block_key: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        sizes = np.diff(self.start)
+        n_blocks = -(-sizes // BLOCK)
+        self.block_start = np.concatenate([[0], np.cumsum(n_blocks)])
+        term_of = np.repeat(np.arange(len(sizes)), n_blocks)
+        first = self.start[term_of] + BLOCK * (np.arange(len(term_of)) - self.block_start[term_of])
+        self.block_last = self.item[np.minimum(first + BLOCK, self.start[term_of + 1]) - 1].astype(np.int64)
+        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else self.impact[:0]
+        n, terms = len(self.ids), np.repeat(np.arange(len(sizes)), sizes)
+        self.bounds = np.arange(min(RANGES, n) + 1) * n // max(min(RANGES, n), 1)  # the items of range r are those from bounds[r] to bounds[r + 1]
+        self.range_max = np.zeros((len(sizes), min(RANGES, n)), dtype=np.float32)
+        np.maximum.at(self.range_max, (terms, np.searchsorted(self.bounds, self.item, side="right") - 1), self.impact)
+        self.term_max = self.range_max.max(axis=1, initial=0)
+        self.key = terms * (n + 1) + self.item
+        self.block_key = term_of * (len(self.ids) + 1) + self.block_last
+
+    def words_of(self, item: int) -> list[int]:
+        return self.words[self.edge[item] : self.edge[item + 1]].tolist()
+
+
+def build(items: list[tuple], df: dict[bytes, int], n_items: int, mean_length: float) -> tuple[list[bytes], list[dict]]:
+    """Vocabulary and the fields of an ``Index`` for each class of lengths. items: (id, text); the statistics are the whole benchmark's."""
     vocabulary: dict[bytes, int] = {}
-    terms, impacts, longest = [], [], MIN_SEGMENT
-    for _, text in items:
-        counts = Counter(ws := words(text))
-        longest = max(longest, len(ws))
-        idf = np.array([math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) for w in counts])
-        tf = np.array(list(counts.values()), dtype=float)
-        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean_length))
-        terms.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in counts]))
-        impacts.append(impact / impact.sum())
-    block_max = np.zeros((len(vocabulary), -(-len(items) // BLOCK)), dtype=np.float32)
-    for i, (t, x) in enumerate(zip(terms, impacts, strict=True)):
-        block_max[t, i // BLOCK] = np.maximum(block_max[t, i // BLOCK], x)
-    blocks = []
-    for at in range(0, len(items), BLOCK):
-        block_terms = np.unique(np.concatenate(terms[at : at + BLOCK]))
-        table = np.zeros((len(block_terms), len(terms[at : at + BLOCK])))
-        for i, (t, x) in enumerate(zip(terms[at : at + BLOCK], impacts[at : at + BLOCK], strict=True)):
-            table[np.searchsorted(block_terms, t), i] = x
-        blocks.append((block_terms, table))
-    halves = [tuple(map(grams, parts(text))) for _, text in items]
-    return Index(vocabulary, [i for i, _ in items], blocks, halves, block_max, block_max.max(axis=1, initial=0), longest)
+    classes: dict[int, list] = {}
+    for item_id, text in items:
+        question, answer = parts(text)
+        ws = question + answer
+        counts = Counter(ws)
+        impact = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean_length)) for w, n in counts.items()}
+        own = sum(impact.values())
+        least = least_score(ws, len(question), impact)
+        numbers = {w: vocabulary.setdefault(w, len(vocabulary)) for w in impact}
+        segment = max(MIN_SEGMENT, 1 << (len(ws) - 1).bit_length())
+        classes.setdefault(segment, []).append((item_id, [numbers[w] for w in ws], len(question), least / own, [(numbers[w], x / least) for w, x in impact.items()]))
+    out = []
+    for segment, rows in sorted(classes.items()):
+        rows.sort(key=lambda r: (len(r[1]), r[1]))
+        posted = sorted((term, i, x) for i, r in enumerate(rows) for term, x in r[4])
+        terms = np.array([p[0] for p in posted], dtype=np.int64)
+        out.append({
+            "segment": segment,
+            "ids": [r[0] for r in rows],
+            "words": np.array([w for r in rows for w in r[1]], dtype=np.int32),
+            "edge": np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]),
+            "split": np.array([r[2] for r in rows], dtype=np.int32),
+            "least": np.array([r[3] for r in rows]),
+            "start": np.searchsorted(terms, np.arange(len(vocabulary) + 1)),
+            "item": np.array([p[1] for p in posted], dtype=np.int32),
+            "impact": np.array([p[2] for p in posted], dtype=np.float32),
+        })
+    return list(vocabulary), out
+
+
+def wand(edge: np.ndarray, terms: np.ndarray, ranges: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item and score of all that reach the threshold. Row p is a passage with the different terms from edge[p] to edge[p + 1], and a range of items."""
+    n, reach = len(index.ids), 1 - SLACK
+    found = []
+    rows = np.arange(len(edge) - 1)
+    place = np.arange(int(np.diff(edge).max(initial=0)))[None, :]
+    real = place < np.diff(edge)[:, None]
+    term = np.where(real, terms[np.minimum(edge[:-1, None] + place, max(len(terms) - 1, 0))], 0)
+    most = np.where(real, index.range_max[term, ranges[:, None]], np.float32(0))
+    end = index.bounds[ranges + 1]
+
+    def item_at(post: np.ndarray, term: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where a list stands; the end of the row's range if it has no more."""
+        return np.where(post < index.start[term + 1], np.minimum(index.item[np.minimum(post, len(index.item) - 1)], end), end)
+
+    at = np.where(real, item_at(np.searchsorted(index.key, term * (n + 1) + index.bounds[ranges][:, None]), term, end[:, None]), end[:, None])
+    while len(rows):
+        order = np.argsort(at, axis=1)
+        reached = np.cumsum(np.take_along_axis(most, order, axis=1), axis=1) >= reach
+        pivot = np.take_along_axis(at, np.take_along_axis(order, reached.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+        alive = reached[:, -1] & (pivot < end)
+        if not alive.all():
+            rows, term, most, at, pivot, end = (x[alive] for x in (rows, term, most, at, pivot, end))
+            if not len(rows):
+                break
+        r, c = np.nonzero(at <= pivot[:, None])
+        t, d = term[r, c], pivot[r]
+        block = np.searchsorted(index.block_key, t * (n + 1) + d)
+        more = block < index.block_start[t + 1]
+        block = np.minimum(block, len(index.block_key) - 1)
+        good = np.bincount(r, np.where(more, index.block_max[block], 0), len(rows)) >= reach
+        # rows whose blocks can't reach the threshold go on behind the first of them that ends, or at the next list's item
+        beyond = np.where(at > pivot[:, None], at, n).min(axis=1)
+        np.minimum.at(beyond, r, np.where(more, index.block_last[block] + 1, n))
+        target = np.where(good, pivot, beyond)[r]
+        post = np.searchsorted(index.key, t * (n + 1) + target)
+        inside = post < index.start[t + 1]
+        post = np.minimum(post, len(index.key) - 1)
+        hit = inside & good[r] & (index.item[post] == d)
+        score = np.bincount(r, np.where(hit, index.impact[post], 0), len(rows))
+        best = np.flatnonzero(good & (score >= reach))
+        found.append((rows[best], pivot[best], score[best]))
+        at[r, c] = item_at(np.where(inside, post + hit, index.start[t + 1]), t, end[r])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -110,134 +240,144 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def search(split: list[list[bytes]], index: Index) -> Iterator[tuple[int, int, int, float]]:
+def search(n_words: np.ndarray, term: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, float]]:
     """(document, first word of the passage, item, score) of all passages and items at the threshold or above.
 
-    Passages are two neighbouring segments long and start at every segment; a segment is as long as the longest item, so
-    that any copy of an item lies inside a passage.
+    ``term``: the documents' words, one after the other, as positions in the vocabulary or -1. Passages start at every
+    segment, so that any copy of an item lies inside one.
     """
-    n_words = np.array([len(ws) for ws in split])
-    get = index.vocabulary.get
-    term = np.fromiter((get(w, -1) for ws in split for w in ws), dtype=np.int64, count=int(n_words.sum()))
     n_segments = -(-n_words // index.segment)
     base = np.cumsum(n_segments) - n_segments
-    doc = np.repeat(np.arange(len(split)), n_words)
-    place = np.arange(len(term)) - (np.cumsum(n_words) - n_words)[doc]
-    segment = base[doc] + place // index.segment
-    size, n_terms = int(n_segments.sum()), max(len(index.vocabulary), 1)
-    known = term >= 0
-    earlier = known & (place >= index.segment)  # these words stand in the passage that starts a segment before, too
-    pairs = np.concatenate([segment[known] * n_terms + term[known], (segment[earlier] - 1) * n_terms + term[earlier]])
-    pairs = np.unique(pairs)
+    known = np.flatnonzero((term >= 0) & (index.term_max[term] > 0)) if len(index.term_max) else np.zeros(0, np.int64)
+    ends = np.cumsum(n_words)
+    doc = np.searchsorted(ends, known, side="right")
+    place = known - (ends - n_words)[doc]
+    segment, term = base[doc] + place // index.segment, term[known]
+    size, n_terms = int(n_segments.sum()), max(len(index.term_max), 1)
+    earlier = place >= index.segment  # these words stand in the passage that starts a segment before, too
+    pairs = np.concatenate([segment * n_terms + term, (segment[earlier] - 1) * n_terms + term[earlier]])
+    pairs.sort()
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
     passage, term = pairs // n_terms, pairs % n_terms
     edge = np.searchsorted(passage, np.arange(size + 1))
-    slack = THRESHOLD - 1e-4  # the sums are of 32-bit numbers
-    alive = np.flatnonzero(np.bincount(passage, index.term_max[term], minlength=size) >= slack)
-    owner = np.repeat(np.arange(len(split)), n_segments)
-    for part in np.array_split(alive, len(alive) // 2048 + 1):
-        if not len(part):
-            continue
+    alive = np.flatnonzero(np.bincount(passage, index.term_max[term], minlength=size) >= 1 - SLACK)
+    owner = np.repeat(np.arange(len(n_words)), n_segments)
+    for part in np.array_split(alive, int((edge[alive + 1] - edge[alive]).sum()) * index.range_max.shape[1] // (16 * CELLS) + 1):
         lengths = edge[part + 1] - edge[part]
-        rows = _ranges(edge[part], lengths)
-        bounds = np.add.reduceat(index.block_max[term[rows]], np.cumsum(lengths) - lengths, axis=0)
-        for k in range(bounds.shape[1]):
-            near = part[bounds[:, k] >= slack]
-            if not len(near):
-                continue
-            block_terms, impacts = index.blocks[k]
-            lengths = edge[near + 1] - edge[near]
-            held = term[_ranges(edge[near], lengths)]
-            at = np.searchsorted(block_terms, held)
-            hit = block_terms[np.minimum(at, len(block_terms) - 1)] == held
-            of = np.repeat(np.arange(len(near)), lengths)[hit]
-            begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            scores = np.add.reduceat(impacts[at[hit]], begin, axis=0)
-            for r, i in zip(*np.nonzero(scores >= THRESHOLD), strict=True):
-                p = int(near[of[begin[r]]])
-                yield int(owner[p]), (p - int(base[owner[p]])) * index.segment, k * BLOCK + int(i), float(scores[r, i])
-
-
-def leaks(texts: list[str | None], indexes: list[Index]) -> list[list[tuple]]:
-    """For each text (item id, first word of the passage, score, question overlap, answer overlap), one per item at most."""
-    out: list[dict] = [{} for _ in texts]
-    for a, z in chunks([t or "" for t in texts]):
-        split = [words(t) for t in texts[a:z]]
-        for n, index in enumerate(indexes):
-            for doc, start, item, score in search(split, index):
-                have = grams(split[doc][start : start + 2 * index.segment])
-                shares = [len(half & have) / len(half) for half in index.halves[item]]
-                if sum(shares) / 2 >= OVERLAP:
-                    found = (index.ids[item], start, score, *shares)
-                    at = out[a + doc]
-                    if (n, item) not in at or (sum(shares), score) > (sum(at[n, item][3:]), at[n, item][2]):
-                        at[n, item] = found
-    return [list(x.values()) for x in out]
-
-
-def broadcast_indexes(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> list[Broadcast]:
-    """The benchmark as broadcasts of indexes, each of at most about BROADCAST_CHARS of text. Repeated rows count once."""
+        held = term[_ranges(edge[part], lengths)]
+        begin = np.cumsum(lengths) - lengths
+        p, r = np.nonzero(np.add.reduceat(index.range_max[held], begin, axis=0) >= 1 - SLACK) if len(part) else (begin, begin)
+        of, lists = np.repeat(np.arange(len(p)), lengths[p]), held[_ranges(begin[p], lengths[p])]
+        useful = index.range_max[lists, r[of]] > 0
+        of, lists = of[useful], lists[useful]
+        lengths = np.bincount(of, minlength=len(p))
+        begin = np.cumsum(lengths) - lengths
+        order = np.argsort(lengths, kind="stable")  # rows side by side have like many lists
+        stop = len(order)
+        while stop:
+            start = max(0, stop - max(1, CELLS // int(lengths[order[stop - 1]])))
+            side = order[start:stop]
+            row, item, score = wand(np.concatenate([[0], np.cumsum(lengths[side])]), lists[_ranges(begin[side], lengths[side])], r[side], index)
+            for k in range(len(row)):
+                at = int(part[p[side[row[k]]]])
+                yield int(owner[at]), (at - int(base[owner[at]])) * index.segment, int(item[k]), float(score[k])
+            stop = start
+
+
+class Benchmark:
+    """A group of items in a worker: vocabulary and an index for each class of lengths."""
+
+    def __init__(self, packed: bytes):
+        terms, fields = pickle.loads(packed)  # plain data: a worker may lack the classes
+        self.vocabulary = {w: i for i, w in enumerate(terms)}
+        self.indexes = [Index(**f) for f in fields]
+
+    def leaks(self, texts: list[str | None]) -> list[list[tuple]]:
+        """For each text (item id, first word of the passage, score, question overlap, answer overlap), one per item at most."""
+        out: list[dict] = [{} for _ in texts]
+        get = self.vocabulary.get
+        for a, z in chunks([t or "" for t in texts]):
+            split = [words(t) for t in texts[a:z]]
+            n_words = np.array([len(ws) for ws in split])
+            term = np.fromiter((get(w, -1) for ws in split for w in ws), dtype=np.int64, count=int(n_words.sum()))
+            begin = np.cumsum(n_words) - n_words
+            for n, index in enumerate(self.indexes):
+                for doc, start, item, score in search(n_words, term, index):
+                    passage = term[begin[doc] + start : min(begin[doc] + start + 2 * index.segment, begin[doc] + n_words[doc])].tolist()
+                    shares = overlaps(index.words_of(item), int(index.split[item]), passage)
+                    if sum(shares) / 2 >= OVERLAP:
+                        found = (index.ids[item], start, score * float(index.least[item]), *shares)
+                        at = out[a + doc]
+                        if (n, item) not in at or (sum(shares), found[2], -start) > (sum(at[n, item][3:]), at[n, item][2], -at[n, item][1]):
+                            at[n, item] = found
+        return [list(x.values()) for x in out]
+
+
+def index_groups(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> list[Broadcast]:
+    """The benchmark as broadcasts of indexes, each of about ``GROUP_CHARS`` of text at most. Repeated rows count once.
+
+    Statistics cover the whole benchmark. Indexes are built in tasks, a group in each; the driver passes on one at a time.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).dropDuplicates()
-    terms = StructType([StructField("item", LongType()), StructField("n", LongType()), StructField("term", StringType())])
+    numbered = cut(items.withColumn("item", F.monotonically_increasing_id()))
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for item, text_ in zip(frame["item"], frame["text"], strict=True):
-                ws = words(text_)
-                if len(ws) >= MIN_ITEM_WORDS:
-                    yield pd.DataFrame({"item": item, "n": len(ws), "term": sorted({w.decode("utf-8", "replace") for w in ws})})
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            split = [words(t) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(ws) for ws in split], pa.int64()), pa.array([sorted(set(ws)) for ws in split], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "n", "terms"])
 
-    numbered = cut(items.withColumn("item", F.monotonically_increasing_id()))
-    seen = numbered.select("item", "text").mapInPandas(split, terms)
-    sizes = seen.groupBy("item").agg(F.first("n").alias("n")).agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
-    if not sizes["items"]:
+    split = cut(numbered.select("item", "text").mapInArrow(tokenised, "item long, n long, terms array<binary>").filter("n > 0"))
+    n_items, mean = split.agg(F.count("*"), F.avg("n")).first()
+    if not n_items:
         return []
-    chars = numbered.agg(F.sum(F.length("text"))).first()[0]
-    shards = -(-chars // BROADCAST_CHARS)
-    df_table = seen.groupBy("term").agg(F.count("*").alias("df"))
-    out = []
-    for s in range(shards):
-        shard = F.pmod(F.xxhash64("item"), F.lit(shards)) == s
-        df = {r["term"].encode(): r["df"] for r in seen.filter(shard).select("term").distinct().join(df_table, "term").collect()}
-        rows = [(r["item_id"], r["text"]) for r in numbered.filter(shard).orderBy("item_id", "text").collect() if len(words(r["text"])) >= MIN_ITEM_WORDS]
-        rows.sort(key=lambda r: len(words(r[1])))  # items of like length share an index, and so a passage length
-        indexes = [build(rows[i : i + SHARD_ITEMS], df, sizes["items"], sizes["mean"]) for i in range(0, len(rows), SHARD_ITEMS)]
-        out.append(spark.sparkContext.broadcast([vars(index) for index in indexes]))  # plain data: a worker may lack the class
-    return out
+    groups = -(-numbered.agg(F.sum(F.length("text"))).first()[0] // GROUP_CHARS)
+    posted = split.select("item", F.explode("terms").alias("term"))
+    counted = posted.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("item").agg(F.collect_list(F.struct("term", "df")).alias("p"))
+    rows = numbered.join(counted, "item").select(F.pmod(F.xxhash64("item"), F.lit(groups)).alias("shard"), "item_id", "text", F.col("p.term").alias("terms"), F.col("p.df").alias("dfs"))
 
+    def built(group: pa.Table) -> pa.Table:
+        df: dict[bytes, int] = {}
+        for terms, counts in zip(group["terms"], group["dfs"], strict=True):
+            df.update(zip(terms.as_py(), counts.as_py(), strict=True))
+        pairs = sorted(zip(group["item_id"].to_pylist(), group["text"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x))
+        return pa.table({"shard": group["shard"][:1], "packed": pa.array([pickle.dumps(build(pairs, df, n_items, mean))], pa.binary())})
 
-def _loaded(broadcast: Broadcast) -> list[Index]:
-    return [Index(**fields) for fields in broadcast.value]
+    packed = cut(rows.groupBy("shard").applyInArrow(built, "shard long, packed binary"))
+    numbers = [r["shard"] for r in packed.select("shard").orderBy("shard").collect()]
+    return [spark.sparkContext.broadcast(packed.filter(F.col("shard") == s).first()["packed"]) for s in numbers]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, passage_start, bm25, question_overlap, answer_overlap.
 
-    Null and empty texts hold nothing; nor does any text if the benchmark is empty. Repeated rows and null keys of
-    documents give their rows alike. Whole texts are searched. Sorted within a document by item.
+    ``bm25`` is a share of the item's own score. Null and empty texts hold nothing, and null and empty items are in
+    nothing; nor does any text hold any item if the benchmark is empty. Repeated rows and null keys of documents give
+    their rows alike. Whole texts are searched. Sorted within a document by item.
     """
     rows = picked(docs, doc_id=F.col(key), text=F.col(text))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     item_field = benchmark.schema[item_key]
     schema = f"doc_id {id_type}, item_id {item_field.dataType.simpleString()}, passage_start long, bm25 double, question_overlap double, answer_overlap double"
+    kinds = (to_arrow_type(item_field.dataType), pa.int64(), *[pa.float64()] * 3)
 
-    def one(index: Broadcast) -> DataFrame:
+    def one(group: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = leaks(batch.column(1).to_pylist(), _loaded(index))
+            items = None
+            for batch in portions(batches):
+                items = items or Benchmark(group.value)
+                found = items.leaks(batch.column(1).to_pylist())
                 at = [i for i, rows in enumerate(found) for _ in rows]
                 columns = list(zip(*(r for rows in found for r in sorted(rows, key=repr)), strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, (item_type, pa.int64(), *[pa.float64()] * 3), strict=True))],
+                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))],
                     ["doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap"],
                 )
 
         return rows.mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_type = to_arrow_type(item_field.dataType)
-    passes = [one(b) for b in broadcast_indexes(benchmark, key=item_key)]
+    passes = [one(b) for b in index_groups(benchmark, key=item_key)]
     if not passes:
         return docs.sparkSession.createDataFrame([], schema)
     out = passes[0]
@@ -247,15 +387,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    for index in broadcast_indexes(benchmark):
-        docs = picked(docs).filter(_clean(index)(F.col(text)))
+    """The rows of ``docs``, with all their columns, that hold no benchmark item.
+
+    Rows with a null or empty text stay, as do all rows if the benchmark is empty; repeated rows stay or go together.
+    """
+    for group in index_groups(benchmark):
+        docs = docs.filter(_clean(group)(F.col(text)))
     return docs
 
 
-def _clean(index: Broadcast):
+def _clean(group: Broadcast):
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not found for found in leaks([t if isinstance(t, str) else None for t in texts], _loaded(index))], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = None
+        for texts in batches:
+            items = items or Benchmark(group.value)
+            yield pd.Series([not found for found in items.leaks([t if isinstance(t, str) else None for t in texts])], dtype=bool)
 
     return clean

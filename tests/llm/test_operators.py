@@ -229,48 +229,6 @@ def test_token_output(docs):
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
 
 
-def test_decontamination_finds_what_a_plain_search_finds(spark):
-    rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(400)]
-    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, text(rng.randint(12, 60)) + (f"? {text(6)}" if i % 3 == 0 else "")) for i in range(40)] + [(90, None), (91, "too short"), (None, text(20)), (0, None)]
-    items.append(items[5])
-    docs = [(i, text(rng.randint(0, 500))) for i in range(60)]
-    docs += [(100 + i, f"{text(200)} {items[i][1].upper()}, {text(100)}") for i in range(20)]
-    docs += [(200 + i, text(90) + "\n" + " ".join(items[i][1].split()[: len(items[i][1].split()) // 2 + 3])) for i in range(20)] + [(300, None), (301, "")]
-    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
-    want = set()
-    for d, t in docs:
-        have = decontamination.grams(decontamination.words(t))
-        for i, s in items:
-            if s and len(decontamination.words(s)) >= decontamination.MIN_ITEM_WORDS:
-                halves = [decontamination.grams(p) for p in decontamination.parts(s)]
-                if sum(len(h & have) / len(h) for h in halves) / 2 >= decontamination.OVERLAP:
-                    want.add((d, i))
-    assert {(100 + i, i) for i in range(20)} <= want and got == want
-    clean = decontamination.clean_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
-
-
-def test_pruned_scores_equal_plain_bm25():
-    rng = random.Random(6)
-    items = [(i, " ".join(rng.choice("abcdefghijklmnopqrst") * 2 for _ in range(15))) for i in range(30)]
-    df = Counter(w for _, t in items for w in set(decontamination.words(t)))
-    index = decontamination.build(items, df, 30, 15.0)
-    split = [decontamination.words(" ".join(rng.choice("abcdefghijklmnopqrst") * 2 for _ in range(200))) for _ in range(5)]
-    got = {(d, s, i): v for d, s, i, v in decontamination.search(split, index)}
-    want = {}
-    for d, ws in enumerate(split):
-        for s in range(0, len(ws), index.segment):
-            for b, (terms, table) in enumerate(index.blocks):
-                held = np.isin(terms, [index.vocabulary[w] for w in ws[s : s + 2 * index.segment] if w in index.vocabulary])
-                for i, v in enumerate(table[held].sum(axis=0)):
-                    if v >= decontamination.THRESHOLD:
-                        want[d, s, b * decontamination.BLOCK + i] = v
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-
-
 def plain_components(fps, radius=4):
     label = {x: x for x in fps}
 
