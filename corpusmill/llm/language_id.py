@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, held_out, picked, small
+from corpusmill.llm.common import chunks, held_out, picked, portions, small
 
 DIMENSIONS = 1024
 SEED = 20_240_607
@@ -114,14 +114,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     Null languages and null texts teach nothing. Sums are formed by partition and then by language and dimension; what
     comes to the driver is a vector per language.
     """
-    taught = picked(docs).filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    taught = docs.filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = small(taught.groupBy(F.col(lang).alias("language")).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))
     chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     rows = taught.select(F.col(lang).alias("language"), F.col(text).alias("text"), chance.alias("chance")).join(share, "language").filter("chance < share").select("language", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in portions(batches):
             names, texts = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
             for at, vectors in _steps(texts):
                 for name in set(names[at : at + len(vectors)]):
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     names, matrix = list(prototypes), np.array(list(prototypes.values()), dtype=np.float32).reshape(-1, DIMENSIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found, scores = [], []
             for _, vectors in _steps(batch.column(2).to_pylist()):
                 cosines = vectors @ matrix.T if names else np.zeros((len(vectors), 1))

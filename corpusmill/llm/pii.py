@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import picked
+from corpusmill.llm.common import picked, portions
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_user", "email_text", "address", "account")
@@ -143,7 +143,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     rows = picked(docs, doc_id=F.col(key), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             columns: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
             for t in batch.column(1).to_pylist():
                 found = spans(t) if t else []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, held_out, picked
+from corpusmill.llm.common import cut, held_out, picked, portions
 
 #: Labelled rows that the model is fitted on, about; chosen by a hash of their id.
 SAMPLE = 20_000
@@ -161,7 +161,7 @@ def document_features(docs: DataFrame, text: str = "text", key: str = "doc_id")
     rows = picked(docs, doc_id=F.col(key), held_out=held_out(F.col(key)), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             values = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["doc_id", "held_out", "f"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, picked
+from corpusmill.llm.common import chunks, picked, portions
 
 #: n-gram length in words -> largest share of the word characters that repeated n-grams of this length may cover.
 LIMITS = {5: 0.40, 8: 0.35, 12: 0.30}
@@ -138,7 +138,7 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     rows = picked(docs, doc_id=F.col(key), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             got = measure(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, got.values())], ["doc_id", *got])
 
@@ -153,7 +153,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in texts:
             yield pd.Series(measure([None if t is None or t != t else t for t in part])["kept"])
 
-    return picked(docs).filter(kept(F.col(text)))
+    return docs.filter(kept(F.col(text)))
 
 
 def _sql() -> str:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, cut, new_folder, picked
+from corpusmill.llm.common import chunks, cut, new_folder, picked, portions
 from corpusmill.llm.encoding import encoder
 
 END = 0
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, text: str = "text",
         at, n_docs = 0, 0
         with store.open_output_stream(f"{root}/{name}.tokens") as tokens, store.open_output_stream(f"{root}/{name}.offsets") as offsets, store.open_output_stream(f"{root}/{name}.docs") as ids:
             offsets.write(np.zeros(1, dtype="<i8").tobytes())
-            for batch in batches:
+            for batch in portions(batches):
                 texts = batch.column(1).to_pylist()
                 for a, z in chunks(texts):
                     got = encode.encode(texts[a:z])
@@ -88,7 +88,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     files = manifest.select("folder", "name", "base", "width", "part").repartitionByRange(n, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             for row in batch.to_pylist():
                 store, root = _store(row["folder"])
                 tokens, offsets, ids = (_mapped(store, f"{root}/{row['name']}.{what}", kind) for what, kind in (("tokens", f"<u{row['width']}"), ("offsets", "<i8"), ("docs", "<i8")))
