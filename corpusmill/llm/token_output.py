@@ -1,9 +1,10 @@
 """Token-id output: flat files of unsigned integers with 64-bit document offsets, to be memory-mapped.
 
-The documents are range-partitioned and sorted by id, and each task encodes its range into files of its own below a
-shared folder: ``tokens`` (16 bits an id if the vocabulary fits, else 32), ``offsets`` (64 bits, one more than there are
-documents) and ``docs`` (64-bit document ids). A manifest, one row per range, says which attempt's files count and how
-many tokens each holds; prefix sums over it give every range its base in the whole. All numbers are little-endian.
+Texts are encoded where they are read, and only their ids are dealt out: range-partitioned and sorted by document id, in
+as many ranges as their bytes ask for. Each task writes its range into files of its own below a shared folder:
+``tokens`` (16 bits an id if the vocabulary fits, else 32), ``offsets`` (64 bits, one more than there are documents) and
+``docs`` (64-bit document ids). A manifest, one row per range, says which attempt's files count and how many tokens each
+holds; prefix sums over it give every range its base in the whole. All numbers are little-endian.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import chunks, cut, new_folder, picked, portions
@@ -26,76 +28,135 @@ END = 0
 #: Stands for a null id in ``docs``; such documents come first.
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
+#: Bytes of ids in a range, about; smaller data has a range per shuffle partition.
+RANGE_BYTES = 256_000_000
+#: Ids read at a time when a file can't be mapped.
+READ_IDS = 1 << 22
 
 
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+def _settings(spark: SparkSession, folder: str) -> dict[str, str]:
+    """What Arrow's S3 client needs to know of Hadoop's settings, for folders on such a store."""
+    if urlsplit(folder).scheme not in ("s3a", "s3n", "s3"):
+        return {}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    names = {"access_key": "access.key", "secret_key": "secret.key", "session_token": "session.token", "endpoint_override": "endpoint", "region": "endpoint.region"}
+    return {k: v for k, v in ((k, conf.get(f"fs.s3a.{name}")) for k, name in names.items()) if v}
+
+
+def store_of(folder: str, settings: dict[str, str]) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a folder as Hadoop names it, and the path in it."""
+    at = urlsplit(folder)
+    if at.scheme in ("", "file"):
+        return fs.LocalFileSystem(), at.path
+    if at.scheme in ("s3a", "s3n", "s3"):
+        return fs.S3FileSystem(**settings), f"{at.netloc}{at.path}"
+    return fs.FileSystem.from_uri(folder)  # hdfs, viewfs, gs, abfs
+
+
+def encoded(docs: DataFrame, text: str, key: str, tokenizer: str | None) -> DataFrame:
+    """doc_id, tie (a hash of the text), ids (bytes, with the end id) and width for every row."""
+    rows = picked(docs, doc_id=F.col(key).cast("long"), tie=F.xxhash64(F.coalesce(F.col(text), F.lit(""))), text=F.coalesce(F.col(text), F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
+        end = np.array([END], dtype=kind).tobytes()
+        for batch in portions(batches):
+            texts = batch.column(2).to_pylist()
+            for a, z in chunks(texts):
+                ids = [np.frombuffer(b, dtype="<u4").astype(kind).tobytes() + end for b in encode.encode(texts[a:z])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], ["doc_id", "tie", "ids", "width"]
+                )
+
+    return rows.mapInArrow(run, "doc_id long, tie long, ids binary, width int")
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
     """Writes the files and returns the manifest with the columns folder and base, the tokens before each range.
 
-    Every document ends with the id ``END``; a null or empty text is that id alone. Ids are integers; rows that share
-    one are ordered by a hash of their text. An empty table writes files without documents.
+    Every document ends with the id ``END``; a null or empty text is that id alone. Ids are integers; null ones come
+    first, and rows that share one are ordered by a hash of their text. An empty table writes files without documents.
+    ``folder`` names any store that Arrow and Hadoop both know: a shared disk, HDFS, S3 and their like.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    rows = picked(docs, doc_id=F.col(key).cast("long"), text=F.coalesce(F.col(text), F.lit("")))
-    place = ["doc_id", F.xxhash64("text")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *place).sortWithinPartitions(*place)
+    settings = _settings(spark, folder)
+    rows = cut(encoded(docs, text, key, tokenizer).withColumn("row", F.monotonically_increasing_id()))
+    size = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    place = ["doc_id", "tie", "row"]  # rows with one id and text are alike, so any order of them will do, and they can be dealt to several ranges
+    dealt = rows.repartitionByRange(n, *place).sortWithinPartitions(*place).drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"  # a task that is tried again writes other files
-        store, root = _store(folder)
+        store, root = store_of(folder, settings)
         store.create_dir(root, recursive=True)
-        end = np.array([END], dtype=kind).tobytes()
-        at, n_docs = 0, 0
+        at = n_docs = 0
+        width = 2
         with store.open_output_stream(f"{root}/{name}.tokens") as tokens, store.open_output_stream(f"{root}/{name}.offsets") as offsets, store.open_output_stream(f"{root}/{name}.docs") as ids:
             offsets.write(np.zeros(1, dtype="<i8").tobytes())
-            for batch in portions(batches):
-                texts = batch.column(1).to_pylist()
-                for a, z in chunks(texts):
-                    got = encode.encode(texts[a:z])
-                    sizes = np.array([len(b) // 4 + 1 for b in got], dtype="<i8")
-                    tokens.write(b"".join(np.frombuffer(b, dtype="<u4").astype(kind).tobytes() + end for b in got))
+            for batch in batches:
+                if batch.num_rows:
+                    width = batch.column(3)[0].as_py()
+                    rows = batch.column(2).cast(pa.binary())
+                    edge = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
+                    tokens.write(rows.buffers()[2].slice(int(edge[0]), int(edge[-1] - edge[0])))
+                    sizes = np.diff(edge.astype("<i8")) // width
                     offsets.write((at + np.cumsum(sizes)).astype("<i8").tobytes())
                     at += int(sizes.sum())
-                n_docs += len(texts)
-                ids.write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [at], "width": pa.array([int(kind[2])], pa.int32())})
+                    n_docs += len(sizes)
+                    ids.write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [at], "width": pa.array([width], pa.int32())})
 
     manifest = cut(dealt.mapInArrow(run, MANIFEST))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return manifest.withColumn("base", F.sum("n_tokens").over(before) - F.col("n_tokens")).withColumn("folder", F.lit(folder))
 
 
-def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r") if store.get_file_info(path).size else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+class _Numbers:
+    """A flat file of numbers, mapped where the store is a disk, else read by ranges."""
+
+    def __init__(self, store: fs.FileSystem, path: str, kind: str):
+        self.kind = np.dtype(kind)
+        self.file = store.open_input_file(path)
+        size = self.file.size()
+        self.mapped = np.memmap(path, dtype=kind, mode="r") if size and isinstance(store, fs.LocalFileSystem) else None
+        self.length = size // self.kind.itemsize
+
+    def read(self, start: int, stop: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[start:stop]
+        return np.frombuffer(self.file.read_at((stop - start) * self.kind.itemsize, start * self.kind.itemsize), dtype=self.kind)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """A row for each document in the files: doc_id, start (ids before it in the whole), n_tokens and ids_crc32."""
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """A row for each document in the files: doc_id, start (ids before it in the whole), n_tokens and ids_crc32.
+
+    Ranges without documents give no rows. A document longer than ``READ_IDS`` is a read of its own.
+    """
+    spark = manifest.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = manifest.select("folder").first()
+    settings = _settings(spark, first[0]) if first else {}
     files = manifest.select("folder", "name", "base", "width", "part").repartitionByRange(n, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in batches:
             for row in batch.to_pylist():
-                store, root = _store(row["folder"])
-                tokens, offsets, ids = (_mapped(store, f"{root}/{row['name']}.{what}", kind) for what, kind in (("tokens", f"<u{row['width']}"), ("offsets", "<i8"), ("docs", "<i8")))
-                for at in range(0, len(ids), 1 << 14):
-                    doc = np.array(ids[at : at + (1 << 14)])
-                    edge = np.array(offsets[at : at + len(doc) + 1])
-                    crc = [zlib.crc32(tokens[a:z].astype("<u4").tobytes()) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                store, root = store_of(row["folder"], settings)
+                tokens, offsets, docs = (_Numbers(store, f"{root}/{row['name']}.{what}", kind) for what, kind in (("tokens", f"<u{row['width']}"), ("offsets", "<i8"), ("docs", "<i8")))
+                for at in range(0, docs.length, 1 << 14):
+                    doc = np.array(docs.read(at, min(at + (1 << 14), docs.length)))
+                    edge = np.array(offsets.read(at, at + len(doc) + 1))
+                    crc, here = [], 0
+                    while here < len(doc):  # as many documents as one read may hold, and one at least
+                        stop = max(here + 1, int(np.searchsorted(edge, edge[here] + READ_IDS, side="right")) - 1)
+                        ids = tokens.read(int(edge[here]), int(edge[stop]))
+                        local = (edge[here : stop + 1] - edge[here]).tolist()
+                        crc += [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(local[:-1], local[1:], strict=True)]
+                        here = stop
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc, mask=doc == NO_ID), pa.array(edge[:-1] + row["base"]), pa.array(np.diff(edge)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -105,5 +166,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """Writes the files and reads them back."""
+    """Writes the files and reads them back: a row for each row of ``docs``, as ``write_tokens`` and ``read_tokens`` say.
+
+    Null and empty texts are the end id alone, null ids come first, repeated rows are documents of their own, and an
+    empty table gives an empty one. Columns other than the id and the text are left out.
+    """
     return read_tokens(write_tokens(docs, folder, text, key, tokenizer))

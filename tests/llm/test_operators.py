@@ -229,6 +229,23 @@ def test_token_output(docs):
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
 
 
+def test_token_files_on_other_stores(tmp_path):
+    from pyarrow import fs
+
+    store, path = token_output.store_of("s3a://bucket/a/b", {"region": "us-east-1", "access_key": "k", "secret_key": "s"})
+    assert isinstance(store, fs.S3FileSystem) and path == "bucket/a/b"
+    assert token_output.store_of(f"file://{tmp_path}/x", {})[1] == token_output.store_of(f"{tmp_path}/x", {})[1] == f"{tmp_path}/x"
+    np.arange(100, dtype="<u2").tofile(tmp_path / "x")
+    there = token_output._Numbers(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "x", "<u2")  # one that can't be mapped
+    assert there.mapped is None and there.length == 100 and there.read(7, 10).tolist() == [7, 8, 9]
+
+
+def test_token_output_reads_long_documents_in_steps(spark, docs, monkeypatch):
+    want = sorted(map(tuple, token_output.tokenized(docs).collect()), key=str)
+    monkeypatch.setattr(token_output, "READ_IDS", 50)
+    assert sorted(map(tuple, token_output.tokenized(docs.repartition(5)).collect()), key=str) == want
+
+
 def plain_components(fps, radius=4):
     label = {x: x for x in fps}
 
