@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
-Every row gets a hash-random key. Rows are cut into key ranges within their source, sums of the ranges give each range
-its base, and a window inside the range gives the prefix sum of each row: no task ever holds a whole source. The budget
-of a source then falls on one exact word of that order; budgets above the source's size repeat it by whole epochs.
+Every row gets a hash-random key. Rows with one source, id and size are one entry with a count, so a repeated id is no hot
+key. Entries are cut into key ranges within their source, sums of the ranges give each range its base, and a window inside
+the range gives each entry's prefix sum: no task ever holds a whole source. The budget of a source then falls on one exact
+word of that order; budgets above the source's size repeat it by whole epochs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 #: Hexadecimal digits of the key that name a key range: 3 for 4,096 ranges a source.
 RANGE_DIGITS = 3
+#: Rows of an entry that a task gives out at a time.
+STEP = 4096
 
 
 def random_key(doc_id: Column) -> Column:
@@ -58,56 +61,63 @@ def _targets(sums: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, and the epochs and key behind them.
-
-    Null sources are one source, ordered last. Null or empty texts have size 0 and give nothing. Rows that share an id
-    share a key and are ordered by size, so equal rows differ only in which of them meets the cut. An empty table gives
-    an empty one. The words taken from a source add up to its target, rounded down.
-    """
-    rows = cut(
-        docs.select(
-            F.col(key).alias("doc_id"),
-            _source_key(F.col(source)).alias("_source"),
-            word_count(F.col(text)).alias("size"),
-            random_key(F.col(key)).alias("_key"),
-        ).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    )
-    sums = rows.groupBy("_source", "_range").agg(F.sum("size").alias("words"))
+def _entries(docs: DataFrame, text: str, key: str, source: str, weights: tuple[int, ...]) -> DataFrame:
+    """_source, _key, doc_id, size and n, the rows that share them, with source_size, target, epochs and room: words left where the entry begins."""
+    rows = docs.select(_source_key(F.col(source)).alias("_source"), random_key(F.col(key)).alias("_key"), F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size"))
+    entries = cut(rows.groupBy("_source", "_key", "doc_id", "size").agg(F.count("*").alias("n")).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS)))
+    words = F.col("size") * F.col("n")
+    sums = entries.groupBy("_source", "_range").agg(F.sum(words).alias("words"))
     before = F.sum("words").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     bases = sums.withColumn("_base", before - F.col("words")).join(_targets(sums, weights), "_source").drop("words")
     inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size, whole = F.col("source_size"), F.floor("target")
     return (
-        rows.withColumn("_here", F.sum("size").over(inside) - F.col("size"))
+        entries.withColumn("_here", F.sum(words).over(inside) - words)
         .join(bases, ["_source", "_range"])
         .withColumn("epochs", F.when(size > 0, F.floor(whole / size)).otherwise(0).cast("long"))
         .withColumn("room", (whole - F.col("epochs") * size - F.col("_base") - F.col("_here")).cast("long"))
-        .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("room"))))
-        .select("doc_id", "size", "source_size", "target", "taken", "epochs", "room", "_key", "_source")
+    )
+
+
+def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, and the epochs and key behind them.
+
+    Null sources are one source, ordered last. Null or empty texts have size 0 and give nothing. Rows that share an id
+    share a key and are ordered by size, so equal rows differ only in which of them meets the cut. An empty table gives
+    an empty one. The words taken from a source add up to its target, rounded down.
+    """
+    steps = _entries(docs, text, key, source, weights).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP))))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = steps.repartition(n, "_key", "doc_id", "size", "_step")  # an entry may stand for very many rows
+    rows = spread.withColumn("_number", F.explode(F.sequence(F.col("_step") * STEP, F.least(F.col("n"), (F.col("_step") + 1) * STEP) - 1)))
+    room = F.col("room") - F.col("_number") * F.col("size")
+    return rows.withColumn("room", room).withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("room")))).select(
+        "doc_id", "size", "source_size", "target", "taken", "epochs", "room", "_key", "_source"
     )
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it.
+    """The rows of ``docs``, with all their columns, each as many times as the mix takes it.
 
     Documents stay whole: the one that a source's budget ends in counts as taken if at least half of it fits, so a
-    source comes within half a document of its target. The order has one cut per source, so the texts are not moved:
-    the table of cuts, a row per source, is joined to them.
+    source comes within half a document of its target. Rows with one source, id and size are taken together: all or none
+    where the budget ends. Null texts have no words and go; null ids and sources are a value of their own. An empty table
+    gives an empty one. The order has one cut per source, so the texts are not moved: the table of cuts is joined to them.
     """
-    taken = mix_sources(docs, text, key, source)
-    last = F.max(F.when((F.col("size") > 0) & (2 * F.col("room") >= F.col("size")), F.struct("_key", "doc_id", "size")))
-    plan = small(taken.groupBy("_source").agg(F.first("epochs").alias("_epochs"), last.alias("_last")))
+    entries = _entries(docs, text, key, source, WEIGHTS)
+    words = F.col("size") * F.col("n")
+    last = F.max(F.when((F.col("size") > 0) & (2 * F.col("room") >= words), F.struct("_key", "doc_id", "size")))
+    plan = small(entries.groupBy("_source").agg(F.first("epochs").alias("_epochs"), last.alias("_last")))
     names = docs.columns
     key_of, copies = fresh(docs, "_source"), fresh(docs, "_copies")
     plan = plan.select(F.col("_source").alias(key_of), F.col("_epochs").alias(fresh(docs, "_epochs")), F.col("_last").alias(fresh(docs, "_last")))
     epochs, last_col = F.col(plan.columns[1]), F.col(plan.columns[2])
-    words = fresh(docs, "_words")
-    place = F.struct(random_key(F.col(key)).alias("_key"), F.col(key).alias("doc_id"), F.col(words).alias("size"))
-    number = F.when(F.col(words) > 0, epochs + F.when(last_col.isNotNull() & (place <= last_col), 1).otherwise(0)).otherwise(0)
+    size = fresh(docs, "_words")
+    place = F.struct(random_key(F.col(key)).alias("_key"), F.col(key).alias("doc_id"), F.col(size).alias("size"))
+    number = F.when(F.col(size) > 0, epochs + F.when(last_col.isNotNull() & (place <= last_col), 1).otherwise(0)).otherwise(0)
     return (
         docs.withColumn(key_of, _source_key(F.col(source)))
-        .withColumn(words, word_count(F.col(text)))
+        .withColumn(size, word_count(F.col(text)))
         .join(plan, key_of)
         .withColumn(copies, F.explode(F.array_repeat(F.lit(0), number.cast("int"))))
         .select(*names)
