@@ -169,18 +169,19 @@ def document_features(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
 
 def learn(rows: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fits on about ``sample`` of the rows of ``document_features`` that have a label and aren't held out.
+    """Fits on about ``sample`` of the documents of ``document_features`` that have a label and aren't held out.
 
-    Null labels and ids teach nothing; of several labels of a document each counts.
+    Null labels and ids teach nothing; a document labelled both ways counts once for each. A document that stands in
+    several rows counts once, by the least of their features, so repeated rows can't make the sample larger.
     """
-    taught = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col(label).isNotNull())
-    taught = taught.filter(~held_out(F.col("doc_id")))
+    taught = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("doc_id"), (F.col(label).cast("int") > 0).alias("y")).filter(~held_out(F.col("doc_id"))).distinct()
     share = min(1.0, sample / max(taught.count(), 1))
     chance = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     taught = taught.filter(chance < share)
-    got = rows.filter("not held_out").join(taught, "doc_id").select("doc_id", "y", "f").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    known = rows.filter("not held_out").join(taught.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("f").alias("f"))
+    got = known.join(taught, "doc_id").select("doc_id", "y", "f").toPandas().sort_values(["doc_id", "y"], kind="stable")
     x = np.array(got["f"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, (got["y"].to_numpy(dtype=float) > 0).astype(float))
+    return fit(x, got["y"].to_numpy(dtype=float))
 
 
 def predict(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
