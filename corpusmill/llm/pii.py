@@ -32,8 +32,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 AT_WORDS = ("[at]", "(at)", "{at}")
 STREETS = ("Street", "Avenue", "Boulevard", "Road", "Lane", "Drive", "Square", "Court", "Place", "Way", "St", "Ave", "Blvd", "Rd", "Ln", "Dr", "Sq", "Ct", "Pl")
 ACCOUNTS = ("iban", "account", "acct", "ssn")
-#: How far the account parser looks from its anchor, and the most characters that HOUSE can match.
-REACH, LONGEST_HOUSE = 80, 92
+#: The most characters that HOUSE can match.
+LONGEST_HOUSE = 92
 LETTERS = LOCAL - frozenset("0123456789._%+-")
 SCHEME = LETTERS | frozenset("0123456789+.-")
 AUTHORITY = re.compile(r"[^\s/?#<>\"'@]+@[A-Za-z0-9.\[\]:-]+")
@@ -123,14 +123,14 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 done["street"] = end
                 out.append((6, m.start(), end))
         elif at >= done["account"] and not (at and text[at - 1].isalnum()) and not text[end : end + 1].isalpha():
-            m = NUMBER.match(text[end : end + REACH])
+            m = NUMBER.match(text, end)
             if m:
                 number = m[1]
                 digits = re.sub(r"[ -]", "", number)
                 cue = text[at:end].lower()
                 if _iban(number) if number[0].isalpha() else len(digits) == 9 if cue == "ssn" else cue != "iban" and 6 <= len(digits) <= 17:
-                    done["account"] = end + m.end()
-                    out.append((7, end + m.start(1), done["account"]))
+                    done["account"] = m.end()
+                    out.append((7, m.start(1), m.end()))
     return sorted(out)
 
 
