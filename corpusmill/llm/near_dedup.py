@@ -161,7 +161,10 @@ def forest(fps: np.ndarray, group: np.ndarray, is_query: np.ndarray, is_lane: np
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs a, b of fingerprints within the radius, enough of them to connect all that link. ``fps``: distinct, one column."""
+    """Pairs a, b of fingerprints within the radius, enough of them to connect all that link. ``fps``: distinct, one column.
+
+    There are no null fingerprints; an empty table gives an empty one.
+    """
     (name,) = fps.columns
     masks = _tables(fps.count())
     keyed = fps.select(
@@ -213,19 +216,24 @@ def _changes(rows: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+def _labelled(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, text_hash, fp and component_id for every row. Fingerprints are computed once and kept."""
+    rows = cut(picked(docs, doc_id=F.col(key), text_hash=F.xxhash64(F.col(text)), fp=fingerprint_udf(F.col(text))))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(fps.select("fp")))
+    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    label = cut(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(label, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fp (signed) and component_id, the least id reachable over links, for every row of ``docs``.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that share an id are rows of their own. A null
     id is never the least; a component of null ids only has a null component_id. An empty table gives an empty one.
     """
-    rows = cut(picked(docs, doc_id=F.col(key), fp=fingerprint_udf(F.col(text))))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps.select("fp")))
-    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    label = cut(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs, text, key).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -235,15 +243,17 @@ def hexadecimal(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, with all their columns, that lead their component: those of its least id.
 
-    Of rows that share that id and the fingerprint, one stays. Documents without an id stay one per fingerprint.
+    Of rows that share that id and the fingerprint, one stays. Documents without an id stay one per fingerprint. Null and
+    empty texts are copies of one another; an empty table gives an empty one.
     """
-    chosen = near_duplicates(docs, text, key).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = cut(chosen.groupBy("doc_id", "fp").count())
-    names, fp, count = docs.columns, fresh(docs, "_fp"), fresh(docs, "_count")
-    chosen = chosen.select(F.col("doc_id").alias(fresh(docs, "_id")), F.col("fp").alias(fresh(docs, "_same")), F.col("count").alias(count))
-    with_fp = docs.withColumn(fp, fingerprint_udf(F.col(text)))
-    kept = with_fp.join(chosen, F.col(key).eqNullSafe(F.col(chosen.columns[0])) & (F.col(fp) == F.col(chosen.columns[1])))
+    leads = _labelled(docs, text, key).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = leads.groupBy("doc_id", "fp", "text_hash").agg(F.count("*").alias("n"))
+    chosen = cut(counted.groupBy("doc_id", "fp").agg(F.min(F.struct("text_hash", "n")).alias("least")))
+    names, text_hash, count = docs.columns, fresh(docs, "_hash"), fresh(docs, "_count")
+    chosen = chosen.select(F.col("doc_id").alias(fresh(docs, "_id")), F.col("least.text_hash").alias(fresh(docs, "_same")), F.col("least.n").alias(count))
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.col(text)))
+    kept = hashed.join(chosen, F.col(key).eqNullSafe(F.col(chosen.columns[0])) & (F.col(text_hash) == F.col(chosen.columns[1])))
     if chosen.filter(F.col(count) > 1).isEmpty():
         return kept.select(*names)
     single = kept.filter(F.col(count) == 1).select(*names)
-    return single.unionByName(kept.filter(F.col(count) > 1).dropDuplicates([key, fp]).select(*names))
+    return single.unionByName(kept.filter(F.col(count) > 1).dropDuplicates([key, text_hash]).select(*names))

@@ -146,7 +146,10 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps."""
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps.
+
+    Rows with a null or empty text go; repeated rows stay or go together; an empty table gives an empty one.
+    """
 
     @F.pandas_udf("boolean")
     def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,43 +11,53 @@ from corpusmill.llm.common import table
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; see ``quality_model.classify_quality`` for nulls, repeated rows and empty tables."""
     return quality_model.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; a null text counts as empty. See ``pii.personal_data``."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per encoded length; null and empty texts have length 0. See ``token_counts.length_histogram``."""
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures of all documents; a null text has no words. See ``quality_rules.quality_rules``."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; ``und`` for null texts. See ``language_id.predict``."""
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files and reads them back; null ids come first. See ``token_output.write_tokens``."""
     return token_output.tokenized(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold; null texts hold none. See ``decontamination.contaminated``."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; null texts have fingerprint 0. See ``near_dedup.near_duplicates``."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dedup.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; a null text counts as empty. See ``secret_scan.scan_secrets``."""
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; a null source is one of its own. See ``mixing.mix_sources``."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

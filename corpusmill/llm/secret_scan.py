@@ -192,7 +192,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a hash of the base spans, and all spans as text."""
+    """Counts of the base kinds, a hash of the base spans, and all spans as text, for each row of ``scan_secrets``.
+
+    A row without spans has counts of 0, the hash of the empty text and empty ``spans``. Null ids and repeated rows give a
+    row each; an empty table gives an empty one.
+    """
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", _pick(s["kind"] + 1, KINDS), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)]
