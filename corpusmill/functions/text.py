@@ -65,11 +65,6 @@ def meaningful_terms(query: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
 
 
-def index_tokens(text: Column) -> Column:
-    """What the full-text index holds: lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def clean_encoding(text: Column) -> Column:
     """Broken encodings repaired in the listed order, then collapsed."""
     repaired = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, text)
@@ -162,6 +157,11 @@ def expand_text(query: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.concat_ws(" ", query, F.array_except(expand_terms(query, rules), meaningful_terms(query)))
 
 
+def focused_texts(query: Column, rules: list[tuple[str, str]]) -> Column:
+    """The sub-queries of all rules whose pattern the query matches, each once and in order."""
+    return F.array_distinct(F.array_compact(F.array(*(F.when(query.rlike(pattern), F.lit(text)) for pattern, text in rules))))
+
+
 def first_hint(query: Column, rules: list[tuple[str, str]]) -> Column:
     """The value of the first rule whose pattern the query matches, else null."""
     return F.coalesce(*(F.when(query.rlike(pattern), F.lit(value)) for pattern, value in rules), F.lit(None).cast("string"))

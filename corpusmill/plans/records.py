@@ -9,7 +9,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import audit, compare, ledger, property, relations
 from corpusmill.plans.registry import query
 from corpusmill.sources import tables
-from corpusmill.sources.tables import small, table
+from corpusmill.sources.tables import table
 
 V = """WITH v AS (SELECT o_orderkey AS violation_id, o_custkey AS building_id, o_orderstatus AS status, o_orderpriority AS class,
   CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS inspection_date, r_name AS borough, CAST(o_custkey % 100 AS VARCHAR) AS house_number, c_mktsegment || ' St' AS street_name

@@ -1,72 +1,99 @@
-"""Search queries over documents in the role of chunks, with benchmark items as the batch of queries."""
+"""Search queries over documents in the role of chunks. The batch of queries is all benchmark items, by their whole texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import audit, search
 from corpusmill.plans.registry import query
-from corpusmill.sources.tables import chunks, small, table
+from corpusmill.sources.shared import new_folder
+from corpusmill.sources.tables import chunks, table
 
-#: Synthetic rules: (pattern, terms that it adds) and (pattern, source that it hints at).
+#: Synthetic rules: (pattern, terms that it adds), (pattern, sub-query of its own) and (pattern, source that it hints at).
 EXPANSIONS = [(r"(?i)\bthe\b", ["tion", "heit"]), (r"(?i)\bde\b", ["ement", "DE"]), (r"(?i)ing\b", ["the"])]
+FOCUSED = [(r"(?i)\band\b", "the tion and"), (r"(?i)\bla\b", "la ción"), (r"(?i)\bund\b", "und der")]
 HINTS = [(r"(?i)\bwith\b", "src1"), (r"(?i)\bthat\b", "src2"), (r"(?i)\bla\b", "src3")]
 WORDS = r"[\p{L}\p{N}]+"
+BODY, FIELDS = {"text": 1.0}, {"title": 10.0, "citation": 8.0, "text": 1.0}
 
+_indexes: dict[tuple, str] = {}
 
-def _queries(spark: SparkSession, folder: str, words: int = 4) -> DataFrame:
-    """query_id, query: the first words of each benchmark item."""
-    tokens = F.slice(T.index_tokens(F.col("text")), 1, words)
-    return small(table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokens, " ").alias("query")))
 
+def index(spark: SparkSession, folder: str, fields: dict[str, float]) -> DataFrame:
+    """The documents' saved index over some fields, built once in a session."""
+    place = (spark.sparkContext.applicationId, folder, *fields)
+    if place not in _indexes:
+        out = new_folder(spark, "index")
+        search.save_index(chunks(spark, folder), list(fields), out)
+        _indexes[place] = out
+    return spark.read.parquet(_indexes[place])
 
-def _terms(queries: DataFrame) -> DataFrame:
-    return small(queries.select("query_id", F.explode(F.array_distinct(T.index_tokens(F.col("query")))).alias("term")))
 
+def _queries(spark: SparkSession, folder: str, text: Column | None = None) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("text") if text is None else text).alias("query"))
 
-def _keyword(spark: SparkSession, folder: str, fields: dict[str, float], k: int, words: int = 4) -> DataFrame:
-    rows = chunks(spark, folder)
-    scored = search.bm25(search.postings(rows, fields), search.index_statistics(rows, fields), _terms(_queries(spark, folder, words)))
-    return search.top_k(scored, k, "query_id")
+
+def _scored(spark: SparkSession, folder: str, fields: dict[str, float], text: Column | None = None) -> DataFrame:
+    return search.bm25(index(spark, folder, fields), search.ask(_queries(spark, folder, text), "query", "query_id"), list(fields.values()), "query_id")
+
+
+def _keyword(spark: SparkSession, folder: str, fields: dict[str, float], k: int) -> DataFrame:
+    return search.top_k(_scored(spark, folder, fields), k, "query_id")
 
 
-def _bm25_sql(fields: list[tuple[str, float]], words: int = 4, extra: str = "") -> str:
-    lists = {name: f"regexp_extract_all(lower({name}), '{WORDS}')" for name, _ in fields}
-    tokens = " UNION ALL ".join(f"SELECT chunk_id, unnest({lists[n]}) AS term, CAST({w} AS DOUBLE) AS w FROM chunks" for n, w in fields)
-    length = " + ".join(f"len({lists[n]})" for n, _ in fields)
+def _bm25_sql(fields: dict[str, float], queries: str = "SELECT item_id AS query_id, text AS query FROM benchmark", extra: str = "") -> str:
+    """SQL with the scores of whole queries, phrases of two or three words included, as ``scored``, and the 40 best as ``keyword``."""
+    lists = " UNION ALL ".join(f"SELECT chunk_id, {i} AS f, CAST({w} AS DOUBLE) AS w, regexp_extract_all(strip_accents(lower(coalesce({n}, ''))), '{WORDS}') AS ts FROM chunks" for i, (n, w) in enumerate(fields.items()))
     return rf"""
 WITH chunks AS (SELECT doc_id AS chunk_id, split_part(text, chr(10), 1) AS title, source AS citation, text, lang, source FROM documents),
-lengths AS (SELECT chunk_id, {length} AS length FROM chunks),
+ts AS ({lists}),
+tokens AS (SELECT chunk_id, f, w, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM ts),
+lengths AS (SELECT chunk_id, sum(len(ts)) AS length FROM ts GROUP BY 1),
 st AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths),
-tf AS (SELECT chunk_id, term, sum(w) AS f FROM ({tokens}) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS}')[1:{words}])) AS term FROM benchmark),
-scored AS (
-  SELECT query_id, chunk_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))) AS score
-  FROM tf JOIN q USING (term) JOIN df USING (term) JOIN lengths USING (chunk_id), st GROUP BY ALL
-),
+q AS ({queries}),
+ph AS (SELECT DISTINCT query_id, regexp_extract_all(strip_accents(w), '{WORDS}') AS p FROM (SELECT query_id, unnest(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_§-]+'), lambda x: len(x) > 1)) AS w FROM q)),
+dp AS (SELECT DISTINCT p FROM ph WHERE len(p) > 0),
+one AS (SELECT p, chunk_id, sum(w) AS f FROM dp JOIN tokens ON term = p[1] WHERE len(p) = 1 GROUP BY ALL),
+two AS (SELECT p, a.chunk_id, sum(a.w) AS f FROM dp JOIN tokens a ON a.term = p[1] JOIN tokens b ON b.chunk_id = a.chunk_id AND b.f = a.f AND b.pos = a.pos + 1 AND b.term = p[2] WHERE len(p) = 2 GROUP BY ALL),
+three AS (SELECT p, a.chunk_id, sum(a.w) AS f FROM dp JOIN tokens a ON a.term = p[1] JOIN tokens b ON b.chunk_id = a.chunk_id AND b.f = a.f AND b.pos = a.pos + 1 AND b.term = p[2] JOIN tokens c ON c.chunk_id = a.chunk_id AND c.f = a.f AND c.pos = a.pos + 2 AND c.term = p[3] WHERE len(p) = 3 GROUP BY ALL),
+hits AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
+df AS (SELECT p, count(*) AS df FROM hits GROUP BY 1),
+parts AS (SELECT p, chunk_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)) AS part FROM hits JOIN df USING (p) JOIN lengths USING (chunk_id), st),
+scored AS (SELECT query_id, chunk_id, sum(part) AS score FROM ph JOIN parts USING (p) GROUP BY ALL),
 keyword AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 40
 ){extra}
 """
 
 
-BODY, FIELDS = [("text", 1.0)], [("title", 10.0), ("citation", 8.0), ("text", 1.0)]
 _VECTORS = """,
-vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 40),
+vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
 vs AS (SELECT query_id, e.vec_id AS chunk_id, label, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS score FROM embeddings e, vq)"""
 
 
 @query(_bm25_sql(BODY) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keyword WHERE rank <= 10")
 def search_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _keyword(spark, folder, dict(BODY), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _keyword(spark, folder, BODY, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_bm25_sql(FIELDS) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keyword WHERE rank <= 10")
 def search_fielded_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return _keyword(spark, folder, dict(FIELDS), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return _keyword(spark, folder, FIELDS, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+_HYPHENS = "SELECT item_id AS query_id, replace(replace(replace(text, ' the ', '-the '), ' de ', '-de '), ' la ', '-la ') AS query FROM benchmark"
+
+
+@query(_bm25_sql(FIELDS, _HYPHENS) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keyword WHERE rank <= 10")
+def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    """Words joined by a hyphen are found only where they stand side by side in a field."""
+    text = F.col("text")
+    for word in ("the", "de", "la"):
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f"-{word} "))
+    scored = search.top_k(_scored(spark, folder, FIELDS, text), 10, "query_id")
+    return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -79,9 +106,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, place AS rank FROM filtered
 )
 def search_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """The filter picks among the scored chunks; statistics stay those of the whole index."""
-    rows, fields = chunks(spark, folder), dict(FIELDS)
-    scored = search.bm25(search.postings(rows, fields), search.index_statistics(rows, fields), _terms(_queries(spark, folder)))
-    kept = scored.join(rows.filter("lang = 'en'").select("chunk_id"), "chunk_id", "left_semi")
+    kept = _scored(spark, folder, FIELDS).join(chunks(spark, folder).filter("lang = 'en'").select("chunk_id"), "chunk_id", "left_semi")
     return search.top_k(kept, 5, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -89,33 +114,33 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
 @query(rf"""
-WITH q AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(array_to_string(regexp_extract_all(lower(text), '{WORDS}')[1:6], ' '), '[a-z0-9][a-z0-9-]*'), lambda x: len(x) > 1 AND x NOT IN ({_STOP})) AS terms FROM benchmark),
+WITH q AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'), lambda x: len(x) > 1 AND x NOT IN ({_STOP})) AS terms FROM benchmark),
 c AS (SELECT doc_id AS chunk_id, lower(split_part(text, chr(10), 1)) AS t, lower(source) AS c, lower(text) AS b FROM documents),
 s AS (SELECT query_id, chunk_id, (len(list_filter(terms, lambda x: contains(t || ' ' || c || ' ' || b, x))) + len(list_filter(terms, lambda x: contains(t, x))) + len(list_filter(terms, lambda x: contains(c, x)))) / len(terms) AS score FROM q, c WHERE len(terms) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10
 """)
 def search_term_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    scored = search.term_overlap(chunks(spark, folder), _queries(spark, folder, 6), "title", "citation", "text")
+    scored = search.term_overlap(chunks(spark, folder), _queries(spark, folder), "title", "citation", "text")
     return search.top_k(scored, 10, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""
 WITH r AS (SELECT a.doc_id AS query_id, b.doc_id AS chunk_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY CASE WHEN b.source = upper(a.source) THEN 0 ELSE 1 END, b.doc_id) AS rank
-  FROM documents a JOIN documents b ON lower(a.source) = lower(b.source) WHERE a.doc_id < 40)
+  FROM documents a JOIN documents b ON lower(a.source) = lower(b.source) WHERE a.doc_id % 20 = 0)
 SELECT query_id, chunk_id, rank FROM r WHERE rank <= 10
 """)
 def exact_lookup_ordered(spark: SparkSession, folder: str) -> DataFrame:
     """Citations by their normal form; here a source is a citation, and the query is its name in capitals."""
     rows = chunks(spark, folder)
     citations = rows.select("chunk_id", F.lower("source").alias("normalized_citation"), F.col("source").alias("display_citation"))
-    asked = small(rows.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.lower("source").alias("normalized"), F.upper("source").alias("query")))
-    return search.exact_matches(rows, citations, asked, 10)
+    asked = rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.lower("source").alias("normalized"), F.upper("source").alias("query"))
+    return search.exact_matches(rows, citations, asked, 10).drop("other")
 
 
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "chunk_id")
-    return rows, small(rows.filter("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")))
+    return rows, rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f"""WITH x AS (SELECT 1) {_VECTORS},
@@ -146,7 +171,7 @@ SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM r WHERE rank <= 1
 )
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Two lists per query: by score, and the same chunks from the largest id down."""
-    first = _keyword(spark, folder, dict(BODY), 20).select("query_id", "chunk_id", "rank")
+    first = _keyword(spark, folder, BODY, 20).select("query_id", "chunk_id", "rank")
     turned = search.top_k(first.withColumn("score", F.col("chunk_id").cast("double")), 10, "query_id").select("query_id", "chunk_id", "rank")
     fused = search.reciprocal_rank_fusion(first.unionByName(turned), 10)
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
@@ -158,7 +183,7 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
         extra=_VECTORS
         + """,
 vk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs),
-ek AS (SELECT item_id AS query_id, item_id * 3 AS chunk_id, 1 AS rank FROM benchmark),
+ek AS (SELECT * FROM (SELECT item_id AS query_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) AS rank FROM benchmark JOIN chunks ON citation = 'src' || (item_id % 20)) WHERE rank <= 10),
 arms AS (SELECT query_id, chunk_id, rank, 'keyword' AS kind, 1.0::DOUBLE AS w FROM keyword UNION ALL SELECT query_id, chunk_id, rank, 'vector', 1.0 FROM vk WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, rank, 'exact', 4.0 FROM ek)""",
     )
     + """, f AS (SELECT query_id, chunk_id, sum(w / (60 + rank)) AS score, array_to_string(list_sort(list(DISTINCT kind)), ',') AS match_types FROM arms GROUP BY ALL),
@@ -166,14 +191,58 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 SELECT query_id, chunk_id, round(score, 9) AS score, match_types, rank FROM r WHERE rank <= 10"""
 )
 def weighted_rrf_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """The three arms of a search, merged; what is asked for is kept four times over in each arm."""
-    keyword = _keyword(spark, folder, dict(BODY), 40)
+    """The three arms of a search, merged; each item cites a source. Four times what is asked for is kept of words and vectors."""
+    keyword = _keyword(spark, folder, BODY, 40)
     vector = search.vector_top_k(*_vectors(spark, folder), 40)
-    exact = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).alias("chunk_id"), F.lit(1).alias("rank"))
+    rows, source = chunks(spark, folder), F.concat(F.lit("src"), F.col("item_id") % 20)
+    cited = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), source.alias("query"), source.alias("normalized"))
+    exact = search.exact_matches(rows, rows.select("chunk_id", F.col("citation").alias("normalized_citation"), F.col("citation").alias("display_citation")), cited, 10)
     merged = search.merge_arms(exact, keyword, vector, 10)
     return merged.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "match_types", "rank")
 
 
+_ADDED = " || ".join(f"CASE WHEN regexp_matches(query, '{p}') THEN [{', '.join(repr(t) for t in ts)}] ELSE [] END" for p, ts in EXPANSIONS)
+_MORE = " || ".join(f"CASE WHEN regexp_matches(query, '{p}') THEN ['{t}'] ELSE [] END" for p, t in FOCUSED)
+_HINT = " ".join(f"WHEN regexp_matches(query, '{p}') THEN '{v}'" for p, v in HINTS)
+_STOPPED = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_LISTS = rf"""raw AS (SELECT item_id AS asked, text AS query FROM benchmark UNION ALL SELECT DISTINCT 1000000 + CAST(substr(source, 4) AS BIGINT), source FROM documents WHERE source IS NOT NULL),
+ruled AS (SELECT *, list_filter(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9-]*'), lambda x: len(x) > 1 AND x NOT IN ({_STOPPED})) AS terms, {_ADDED} AS added, {_MORE} AS more, CASE {_HINT} END AS hint FROM raw),
+texts AS (SELECT asked, hint, unnest(list_distinct([query, array_to_string([query] || (SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(added) AS x, generate_subscripts(added, 1) AS i) WHERE NOT list_contains(terms, x) GROUP BY x)), ' ')] || more)) AS t FROM ruled)
+SELECT DISTINCT t AS query_id, t AS query FROM texts"""
+
+
+@query(
+    _bm25_sql(FIELDS, "WITH " + _LISTS, extra=_VECTORS)
+    .replace("WITH chunks AS", "WITH " + _LISTS.rpartition("\n")[0] + ",\nchunks AS", 1)
+    .replace("q AS (WITH " + _LISTS + ")", "q AS (SELECT DISTINCT t AS query_id, t AS query FROM texts)")
+    + """, passing AS (SELECT * FROM chunks WHERE lang IN ('en', 'es')),
+lk AS (SELECT asked, t, NULL AS scope FROM texts UNION ALL SELECT asked, t, hint FROM texts WHERE hint IS NOT NULL),
+placed AS (SELECT asked, t, scope, chunk_id, row_number() OVER (PARTITION BY asked, t, scope ORDER BY round(score, 9) DESC, chunk_id) AS place FROM lk JOIN scored ON query_id = t JOIN passing USING (chunk_id) WHERE scope IS NULL OR scope = source),
+fused AS (SELECT asked, chunk_id, row_number() OVER (PARTITION BY asked ORDER BY round(sum(1.0::DOUBLE / (60 + place)), 12) DESC, chunk_id) AS rank FROM placed WHERE place <= 40 GROUP BY asked, chunk_id),
+ex AS (SELECT asked, chunk_id, row_number() OVER (PARTITION BY asked ORDER BY chunk_id) AS rank FROM raw JOIN passing ON citation = query),
+vk AS (SELECT query_id AS asked, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs JOIN passing USING (chunk_id)),
+arms AS (SELECT asked, chunk_id, rank, 'keyword' AS kind, 1.0::DOUBLE AS w FROM fused WHERE rank <= 40 UNION ALL SELECT asked, chunk_id, rank, 'vector', 1.0 FROM vk WHERE rank <= 40 UNION ALL SELECT asked, chunk_id, rank, 'exact', 4.0 FROM ex WHERE rank <= 10),
+f AS (SELECT asked, chunk_id, sum(w / (60 + rank)) AS score, array_to_string(list_sort(list(DISTINCT kind)), ',') AS match_types FROM arms GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
+SELECT asked AS query_id, chunk_id, source, lang, title, match_types, round(score, 9) AS score, rank FROM r JOIN passing USING (chunk_id) WHERE rank <= 10"""
+)
+def search_local(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole search: items by their texts and sources by their names, expanded, hinted and focused by rules; words,
+    citations and vectors merged; only chunks of two languages, which the filter picks before every limit."""
+    rows = chunks(spark, folder)
+    names = rows.filter("source IS NOT NULL").select("source").distinct().select((F.lit(1_000_000) + F.substring("source", 4, 9).cast("long")).alias("query_id"), F.col("source").alias("query"))
+    asked = _queries(spark, folder).unionByName(names)
+    text = F.col("query")
+    lists = search.keyword_lists(asked, T.expand_text(text, EXPANSIONS), T.focused_texts(text, FOCUSED), T.first_hint(text, HINTS))
+    where = F.col("lang").isin("en", "es")
+    citations = rows.select("chunk_id", F.col("citation").alias("normalized_citation"), F.col("citation").alias("display_citation"))
+    vectors, nearby = _vectors(spark, folder)
+    vector = search.vector_top_k(vectors.join(rows.filter(where).select("chunk_id"), "chunk_id", "left_semi"), nearby, 40)
+    shown = rows.select("chunk_id", "source", "lang", "title")
+    found = search.search(index(spark, folder, FIELDS), shown, lists, citations, asked.withColumn("normalized", text), vector, list(FIELDS.values()), 10, where)
+    return found.select("query_id", "chunk_id", "source", "lang", "title", "match_types", F.round("score", 9).alias("score"), "rank")
+
+
 _RAW = _bm25_sql(
     BODY,
     extra=""",
@@ -186,7 +255,7 @@ merged AS (SELECT query_id, chunk_id, score + CASE WHEN list_contains(kinds, 'ci
 
 
 def _raw_merge(spark: SparkSession, folder: str) -> DataFrame:
-    keyword = _keyword(spark, folder, dict(BODY), 40)
+    keyword = _keyword(spark, folder, BODY, 40)
     part = lambda test, kind, score: keyword.filter(test).select("query_id", "chunk_id", F.lit(kind).alias("kind"), score.alias("score"))
     lists = part("rank <= 20", "keyword", F.col("score")).unionByName(part("rank <= 5", "keyword", F.col("score")))
     lists = lists.unionByName(part("rank BETWEEN 3 AND 30", "vector", F.col("score") / 2)).unionByName(part("rank = 7", "citation", F.lit(1.0)))
@@ -200,7 +269,7 @@ def merge_raw_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     _RAW
-    + rf""", q2 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(array_to_string(regexp_extract_all(lower(text), '{WORDS}')[1:4], ' '), '[a-z0-9][a-z0-9-]*'), lambda x: len(x) > 1 AND x NOT IN ({_STOP})) AS terms FROM benchmark),
+    + rf""", q2 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'), lambda x: len(x) > 1 AND x NOT IN ({_STOP})) AS terms FROM benchmark),
 lex AS (SELECT g.*, coalesce(list_sum(list_transform(terms, lambda x: CASE WHEN contains(lower(citation), x) THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(title), x) THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(text), x) THEN 0.5 ELSE 0 END)), 0)
   + CASE WHEN list_has_any(terms, ['the', 'that']) AND contains(lower(title), 'en') THEN 4.0 ELSE 0 END AS lexical
   FROM merged g JOIN q2 USING (query_id) JOIN chunks USING (chunk_id)),
@@ -209,7 +278,7 @@ SELECT query_id, chunk_id, match_type, round(score, 6) AS score, row_number() OV
 )
 def rerank_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     terms = _queries(spark, folder).select("query_id", T.meaningful_terms(F.col("query")).alias("terms"))
-    rows = _raw_merge(spark, folder).join(small(terms), "query_id").join(chunks(spark, folder), "chunk_id")
+    rows = _raw_merge(spark, folder).join(terms, "query_id").join(chunks(spark, folder), "chunk_id")
     bonus = [(["the", "that"], "title", ["en"], 4.0)]
     lexical = search.lexical_quality(F.col("terms"), F.col("title"), F.col("citation"), F.col("text"), bonus)
     ranked = search.rerank(rows.select("query_id", "chunk_id", "score", "match_type", lexical.alias("lexical")))
@@ -263,7 +332,7 @@ ranks AS (SELECT case_id, min(rank) AS any_rank, CASE WHEN count(rank) = count(*
 )
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
     """Sources stand for citations; every second case expects two."""
-    ranked = _keyword(spark, folder, dict(BODY), 40).join(chunks(spark, folder).select("chunk_id", "citation"), "chunk_id").withColumnRenamed("query_id", "case_id")
+    ranked = _keyword(spark, folder, BODY, 40).join(chunks(spark, folder).select("chunk_id", "citation"), "chunk_id").withColumnRenamed("query_id", "case_id")
     cases = table(spark, folder, "benchmark").select(F.col("item_id").alias("case_id"))
     one = cases.select("case_id", F.concat(F.lit("src"), F.col("case_id") % 20).alias("citation"))
     two = cases.filter("case_id % 2 = 0").select("case_id", F.concat(F.lit("src"), (F.col("case_id") + 7) % 20).alias("citation"))

@@ -15,19 +15,10 @@ RECORD = StructType([StructField(f, StringType()) for f in [*RECORD_FIELDS, "_co
 
 BUNDLE = "format string, pages array<struct<url:string,title:string,retrieved_at:string,html:string>>"
 
-#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 10_000
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked to be broadcast if it has few rows, which is looked up, not guessed."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def property_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of JSON records: the kept fields as text, empty ones as null, broken lines in ``_corrupt``. No inference."""
     rows = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)

@@ -1,4 +1,6 @@
 import io
+import re
+import unicodedata
 import zipfile
 
 import pytest
@@ -235,19 +237,75 @@ def test_docx(spark):
     assert [tuple(r) for r in documents.docx_paragraphs(rows, "c", "id").collect()] == [(1, 0, "Heading1", "Title"), (1, 1, None, "new text")]
 
 
-def test_saved_index_answers_like_a_fresh_one(spark):
-    rows = spark.createDataFrame([(1, "heat and water"), (2, "Heat heat"), (3, "rent")], "chunk_id int, text string")
-    terms = spark.createDataFrame([(7, "heat")], "query_id int, term string")
-    index, statistics = search.postings(rows, {"text": 1.0}), search.index_statistics(rows, {"text": 1.0})
-    saved = search.save_index(index, "saved_index", 4)
-    scores = lambda i: sorted((r["chunk_id"], round(r["score"], 9)) for r in search.bm25(i, statistics, terms).collect())
-    assert scores(saved) == scores(index) and [c for c, _ in scores(saved)] == [1, 2]
-
-
-def test_vector_top_k_equals_the_joined_form(spark, monkeypatch):
-    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(50)] + [(90, [1.0]), (91, None), (92, [float("nan")] * 3)], "chunk_id long, embedding array<float>").repartition(5)
-    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, -1.0, 0.5])], "query_id long, vector array<float>")
-    rows = lambda **kw: sorted(map(tuple, search.vector_top_k(vectors, queries, 6, **kw).collect()))
-    fast = rows(), rows(positive=True)
-    monkeypatch.setattr(search, "MATRIX_QUERIES", 1)
-    assert fast == (rows(), rows(positive=True)) and len(fast[0]) == 12
+def plain_bm25(chunks, query, weights):
+    """Scores by a loop over whole texts: what a full-text index with phrases gives. chunks: id -> texts of the fields."""
+    import math
+
+    fold = lambda t: [w for w in re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)))]
+    held = {i: [fold(t or "") for t in texts] for i, texts in chunks.items()}
+    mean = sum(len(f) for fs in held.values() for f in fs) / len(held)
+    scores = {}
+    for token in dict.fromkeys(t for t in re.findall(r"[\w§-]+", query.lower()) if len(t) > 1):
+        p = fold(token)
+        if not p:
+            continue
+        count = {i: sum(w for f, w in zip(fs, weights) for at in range(len(f)) if f[at : at + len(p)] == p) for i, fs in held.items()}
+        found = {i: c for i, c in count.items() if c}
+        idf = max(math.log((len(held) - len(found) + 0.5) / (len(found) + 0.5)), 1e-6)
+        for i, f in found.items():
+            scores[i] = scores.get(i, 0) + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(map(len, held[i])) / mean))
+    return {i: round(s, 9) for i, s in scores.items()}
+
+
+def test_index_finds_words_and_phrases_without_diacritics(spark, tmp_path):
+    texts = {
+        1: ("Heat", "code 27-2005", "The owner shall provide heat. Section 27-2005 applies, and 2005 rules."),
+        2: ("Año nuevo", None, "El año 2005 trae 27 señales; 2005-27 no."), 3: (None, "27 2005", "27 2005 2005"), 4: ("", "", None), 5: ("ÉTÉ", "x", "L'été à Montréal, the-the the the"),
+    }
+    rows = spark.createDataFrame([(i, *t) for i, t in texts.items()], "chunk_id long, title string, citation string, text string")
+    index = search.save_index(rows, ["title", "citation", "text"], f"file://{tmp_path}/index")
+    queries = {1: "27-2005", 2: "ano ete montreal", 3: "heat 27-2005 señales", 4: "the-the", 5: "2005 27", 6: "§ ? a", 7: "owner-shall-provide heat-owner"}
+    asked = search.ask(spark.createDataFrame(list(queries.items()), "query_id long, query string"), "query", "query_id")
+    got = {}
+    for r in search.bm25(index, asked, [10.0, 8.0, 1.0], "query_id").collect():
+        got.setdefault(r["query_id"], {})[r["chunk_id"]] = round(r["score"], 9)
+    assert got == {q: want for q, t in queries.items() if (want := plain_bm25(texts, t, [10, 8, 1]))}
+    assert set(got[1]) == {1, 3} and set(got[2]) == {2, 5} and set(got[7]) == {1}
+    one = {r["chunk_id"]: round(r["score"], 9) for r in search.best_for(index, "Heat 2005", [10.0, 8.0, 1.0], 9).collect()}
+    assert one == plain_bm25(texts, "heat 2005", [10, 8, 1])
+    assert search.save_index(rows.limit(0), ["title", "text"], f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 1])
+def test_vector_top_k_equals_a_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    held = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(50)] + [(90, [1.0]), (91, None), (92, [float("nan")] * 3)]
+    asked = [(1, [1.0, 0.0, 0.0]), (2, [0.0, -1.0, 0.5]), (3, None), (4, [2.0])]
+    vectors = spark.createDataFrame(held, "chunk_id long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    for positive in (False, True):
+        want = set()
+        for q, v in asked:
+            scores = [(-sum(a * b for a, b in zip(x, v)) if len(x) == len(v) else -0.0, i) for i, x in held if x] if v else []
+            scores = sorted((s, i) for s, i in scores if s == s and (s < 0 or not positive))
+            want |= {(q, i, -s, n) for n, (s, i) in enumerate(scores[:6], 1)}
+        assert {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in search.vector_top_k(vectors, queries, 6, positive).collect()} == want
+    assert search.vector_top_k(vectors, queries.limit(0), 6).count() == 0
+
+
+def test_decorated_results(spark):
+    columns = "chunk_id int, source_name string, publisher string, jurisdiction string, origin string, provenance_json string, locator_json string"
+    rows = [(1, "Code", "City", "nyc", "official", '{"title": "", "authority_category": "law"}', '{"page": 2}'), (2, "Mine", "x", "y", "user", '{"title": "My notes", "publisher": "Me"}', "[1]"), (3, "Bad", "p", "j", "official", "no json", None)]
+    got = {r["chunk_id"]: r.asDict() for r in search.decorated(spark.createDataFrame(rows, columns)).collect()}
+    assert got[1] | {"locator_json": "{}"} == {"chunk_id": 1, "source_name": "Code", "publisher": "City", "jurisdiction": "nyc", "origin": "official", "locator_json": "{}", "category": "law"}
+    assert (got[2]["source_name"], got[2]["publisher"], got[2]["jurisdiction"], got[2]["category"], got[2]["locator_json"]) == ("My notes", "Me", "", "official", "{}")
+    assert got[1]["locator_json"] == '{"page": 2}' and got[3]["category"] == "official" and got[3]["locator_json"] == "{}"
+
+
+def test_searchable_and_matching(spark):
+    rows = spark.createDataFrame([(1, True, "public_web", "open_data", True, "a", True), (2, True, "login", "open_data", True, "a", True), (3, None, "public_api", "open_data", True, "b", None)], "id int, active boolean, access string, licence string, current boolean, slug string, model boolean")
+    assert [r["id"] for r in rows.filter(search.searchable(*map(F.col, ("active", "access", "licence", "current")))).collect()] == [1]
+    assert [r["id"] for r in rows.filter(search.matching({"source": "slug"}, "model", source="a")).collect()] == [1, 2]
+    assert rows.filter(search.matching({"source": "slug"}, source=None)).count() == 3
+    merged = rows.select("id", F.lit(1.0).alias("score"), F.lit("a").alias("hint"), F.col("slug").alias("source"))
+    assert [r["score"] for r in search.boosted(merged).orderBy("id").collect()] == [3.0, 3.0, 1.0]
