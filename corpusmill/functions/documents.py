@@ -9,10 +9,11 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, groupby, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -75,26 +76,33 @@ def page_sections(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame
     return pages.select(*keys, F.inline(parse(F.col(html))))
 
 
+def _pieces(text: str | None) -> Iterator[tuple[int, str]]:
+    """Paragraphs with their numbers from 1; one over the limits comes in parts that no encoding makes too heavy."""
+    paragraphs = filter(None, map(str.strip, (text or "").split("\n")))
+    width = min(TARGET_CHARS, MOST_BYTES // 4)
+    for n, paragraph in enumerate(paragraphs, 1):
+        fits = len(paragraph) <= MOST_CHARS and len(paragraph.encode()) <= MOST_BYTES
+        parts = [paragraph] if fits else map(str.strip, re.findall(rf"(?s).{{1,{width}}}", paragraph))
+        yield from ((n, part) for part in parts if part)
+
+
 def pack(text: str | None) -> list[tuple[str, int, int]]:
-    """(text, first paragraph, last paragraph): paragraphs packed greedily up to a target; long ones are cut first."""
-    pieces = []
-    for n, paragraph in enumerate((p for p in (x.strip() for x in re.split(r"\n+", text or "")) if p), 1):
-        if len(paragraph) <= MOST_CHARS and len(paragraph.encode()) <= MOST_BYTES:
-            pieces.append((paragraph, n))
-        else:
-            width = min(TARGET_CHARS, MOST_BYTES // 4)
-            pieces += [(x, n) for x in (paragraph[i : i + width].strip() for i in range(0, len(paragraph), width)) if x]
-    out: list[list] = []
-    size = weight = 0
-    for piece, n in pieces:
-        chars, octets = len(piece), len(piece.encode())
-        if out and size + 1 + chars <= TARGET_CHARS and weight + 1 + octets <= MOST_BYTES:
-            out[-1][0].append(piece)
-            out[-1][2], size, weight = n, size + 1 + chars, weight + 1 + octets
-        else:
-            out.append([[piece], n, n])
-            size, weight = chars, octets
-    return [("\n".join(texts), a, z) for texts, a, z in out]
+    """(text, first paragraph, last paragraph) of each chunk: as many pieces, joined by line ends, as stay within the targets."""
+
+    def place(state: tuple, piece: tuple[int, str]) -> tuple:
+        """The piece's chunk with the characters and bytes in it so far; a new chunk if it doesn't fit."""
+        chunk, chars, octets, _ = state
+        more, weight = len(piece[1]), len(piece[1].encode())
+        if chunk and chars + 1 + more <= TARGET_CHARS and octets + 1 + weight <= MOST_BYTES:
+            return chunk, chars + 1 + more, octets + 1 + weight, piece
+        return chunk + 1, more, weight, piece
+
+    placed = islice(accumulate(_pieces(text), place, initial=(0, 0, 0, None)), 1, None)
+    out = []
+    for _, members in groupby(placed, lambda s: s[0]):
+        pieces = [m[3] for m in members]
+        out.append(("\n".join(t for _, t in pieces), pieces[0][0], pieces[-1][0]))
+    return out
 
 
 def chunked(docs: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -113,7 +121,7 @@ def split_at(docs: DataFrame, text: str, header: str, *keys: str) -> DataFrame:
 
     Lines are exploded within the row and put together again by array functions, so nothing is shuffled.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     starts = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(header), i)), lambda i: i.isNotNull())
     spans = F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines))), lambda a, z: F.struct(a.alias("a"), (F.coalesce(z, F.size(lines)) - a).alias("n")))
     named = F.transform(F.filter(spans, lambda s: s["a"].isNotNull()), lambda s: F.struct(F.regexp_extract(F.get(lines, s["a"]), header, 1).alias("section"), F.array_join(F.slice(lines, s["a"] + 1, s["n"]), "\n").alias("body")))
@@ -129,20 +137,31 @@ def best_section(sections: DataFrame, *keys: str) -> DataFrame:
     return sections.groupBy(*keys, "section").agg(F.max_by("body", quality).alias("body"), F.min("ordinal").alias("ordinal"))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_embedding(texts: pd.Series) -> pd.Series:
-    """A deterministic bag-of-words vector of 64 dimensions and length 1, for tests without a model."""
+def hash_embedding(text: Column, dimension: int = 64) -> Column:
+    """A deterministic bag-of-words vector of length 1, for tests without a model; a text without words has zeros.
 
-    def one(text: str | None) -> list[float] | None:
-        if text is None:
-            return None
-        v = np.zeros(64)
-        for word in text.lower().split():
-            v[int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big") % 64] += 1
-        norm = np.linalg.norm(v)
-        return (v / norm if norm else v).tolist()
+    The first byte of a word's hash names its slot, the next two its weight.
+    """
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
 
-    return texts.map(one)
+        def one(value: str | None) -> list[float] | None:
+            if value is None:
+                return None
+            out = np.zeros(dimension)
+            for word in value.lower().split():
+                if word not in known:
+                    slot, high, low = hashlib.sha256(word.encode("utf-8", "surrogatepass")).digest()[:3]
+                    known[word] = (slot % dimension, (high * 256 + low) / 65535 + 0.01)
+                out[known[word][0]] += known[word][1]
+            norm = np.linalg.norm(out)
+            return (out / norm if norm else out).tolist()
+
+        return texts.map(one)
+
+    return embed(text)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -206,32 +225,46 @@ def batches_by_budget(rows: DataFrame, text: str, most_rows: int, most_chars: in
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+#: A package whose parts add up to more than so many times its size, or this size if it is smaller, is refused.
+INFLATION, SMALL_PACKAGE = 200, 1 << 16
+
+
 def docx_paragraphs(files: DataFrame, content: str, *keys: str) -> DataFrame:
     """Paragraphs of Word files as they read in the end: deleted runs left out, inserted ones kept; with their style.
 
-    A file that isn't a Word package, or whose parts add up to far more than it should hold, gives no rows.
+    ``status`` is ok for each of them. A file that is refused has one row without text, whose status says why: empty,
+    not_a_package, too_large, no_document or broken_xml; one without paragraphs has a row with no_text.
     """
-    kind = ArrayType(StructType([StructField("ordinal", IntegerType()), StructField("style", StringType()), StructField("text", StringType())]))
+    kind = ArrayType(StructType([StructField("status", StringType()), StructField("ordinal", IntegerType()), StructField("style", StringType()), StructField("text", StringType())]))
 
-    def one(blob: bytes) -> list[dict]:
+    def refused(why: str) -> list[dict]:
+        return [{"status": why, "ordinal": None, "style": None, "text": None}]
+
+    def one(blob: bytes | None) -> list[dict]:
+        if not blob:
+            return refused("empty")
         try:
             with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                if sum(i.file_size for i in archive.infolist()) > 200 * max(len(blob), 1 << 16):
-                    return []
+                if sum(i.file_size for i in archive.infolist()) > INFLATION * max(len(blob), SMALL_PACKAGE):
+                    return refused("too_large")
                 body = ET.fromstring(archive.read("word/document.xml"))
-        except (zipfile.BadZipFile, KeyError, ET.ParseError):
-            return []
+        except zipfile.BadZipFile:
+            return refused("not_a_package")
+        except KeyError:
+            return refused("no_document")
+        except ET.ParseError:
+            return refused("broken_xml")
         out = []
         for p in body.iter(f"{_W}p"):
             gone = {id(t) for d in p.iter(f"{_W}del") for t in d.iter()}
             style = p.find(f"{_W}pPr/{_W}pStyle")
             text = "".join(t.text or "" for t in p.iter(f"{_W}t") if id(t) not in gone).strip()
             if text:
-                out.append({"ordinal": len(out), "style": None if style is None else style.get(f"{_W}val"), "text": text})
-        return out
+                out.append({"status": "ok", "ordinal": len(out), "style": None if style is None else style.get(f"{_W}val"), "text": text})
+        return out or refused("no_text")
 
     @F.pandas_udf(kind)
     def parse(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: one(b) if b else [])
+        return blobs.map(one)
 
     return files.select(*keys, F.inline(parse(F.col(content))))

@@ -86,15 +86,59 @@ def address_key(*parts: Column) -> Column:
     return F.concat_ws("|", *map(strip, parts))
 
 
+# Codes of boroughs, and how the last word of a street is written out.
+BOROUGHS = {"1": "MANHATTAN", "2": "BRONX", "3": "BROOKLYN", "4": "QUEENS", "5": "STATEN ISLAND", "MN": "MANHATTAN", "BX": "BRONX", "BK": "BROOKLYN", "QN": "QUEENS", "SI": "STATEN ISLAND"}
+STREET_SUFFIXES = {"ST": "STREET", "ST.": "STREET", "AVE": "AVENUE", "AVE.": "AVENUE", "RD": "ROAD", "BLVD": "BOULEVARD"}
+
+
+def _mapped(value: Column, known: dict[str, str]) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[value], value)
+
+
+def canonical_house(value: Column) -> Column:
+    """A house number in capitals with single spaces; null if it holds anything but digits, letters, spaces and hyphens."""
+    house = collapse(F.upper(value))
+    return F.when(house.rlike(r"^[0-9A-Z -]{1,30}$"), house)
+
+
+def canonical_street(value: Column) -> Column:
+    """A street in capitals, commas gone, its last word written out; null if other characters are in it."""
+    words = F.split(collapse(F.upper(F.replace(value, F.lit(","), F.lit(" ")))), " ")
+    last = F.element_at(words, -1)
+    street = F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(_mapped(last, STREET_SUFFIXES))), " ")
+    return F.when(street.rlike(r"^[0-9A-Z .'-]{1,100}$"), street)
+
+
+def canonical_borough(value: Column) -> Column:
+    """A borough's name from its name, number or code; null if it is none."""
+    name = _mapped(collapse(F.upper(value)), BOROUGHS)
+    return F.when(name.isin(*dict.fromkeys(BOROUGHS.values())), name)
+
+
+def encode_cursor(request_hash: Column, building_id: Column, inspection_date: Column, violation_id: Column) -> Column:
+    """A page's end as URL-safe text: compact JSON with sorted names, in base 64."""
+    end = F.struct(building_id.alias("building_id"), inspection_date.alias("inspection_date"), request_hash.alias("request_hash"), violation_id.alias("violation_id"))
+    return F.translate(F.base64(F.encode(F.to_json(end, {"ignoreNullFields": "false"}), "UTF-8")), "+/", "-_")
+
+
+def decode_cursor(cursor: Column, request_hash: Column) -> Column:
+    """building_id, inspection_date and violation_id of a cursor; null if it is broken, of another request or not numbered."""
+    text = F.try_to_binary(F.translate(cursor, "-_", "+/"), F.lit("base64")).cast("string")
+    end = F.from_json(text, "building_id string, inspection_date string, request_hash string, violation_id string")
+    named = F.array_contains(F.json_object_keys(text), "inspection_date")
+    good = (end["request_hash"] == request_hash) & end["building_id"].rlike(r"^\d+$") & end["violation_id"].rlike(r"^\d+$") & named
+    return F.when(good, F.struct(end["building_id"].alias("building_id"), end["inspection_date"].alias("inspection_date"), end["violation_id"].alias("violation_id")))
+
+
 def spreadsheet_safe(value: Column) -> Column:
     """A quote before what a spreadsheet would take for a formula."""
     return F.when(value.rlike(r"(?U)^\s*[=+@-]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
 def lenient_date(value: Column) -> Column:
-    """A date from any of three ISO forms, else null."""
+    """A date from any of three ISO forms, else null; months, days and times may have one digit."""
     text = F.substring(falsy(value), 1, 26)
-    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd")
+    forms = ("yyyy-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-M-d")
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in forms))
 
 
@@ -108,6 +152,31 @@ def slug(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def short_hash(value: Column, digits: int) -> Column:
+    return F.substring(F.sha1(value), 1, digits)
+
+
+def section_key(title: Column, place: Column) -> Column:
+    """A section's key: its title as a slug, or else its place, and a short hash of both."""
+    name = F.coalesce(F.nullif(slug(title), F.lit("")), F.concat(F.lit("section-"), place.cast("string")))
+    return F.concat_ws("-", F.substring(name, 1, 100), short_hash(F.concat_ws(":", place.cast("string"), title), 6))
+
+
+def _page_name(url: Column) -> Column:
+    return F.regexp_replace(F.substring_index(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/", -1), r"\.page$", "")
+
+
+def document_key(url: Column, otherwise: str = "guidance") -> Column:
+    """A document's key: the last part of its URL's path as a slug, and a short hash of the URL."""
+    return F.concat_ws("-", F.substring(slug(F.coalesce(F.nullif(_page_name(url), F.lit("")), F.lit(otherwise))), 1, 120), short_hash(url, 8))
+
+
+def title_from_url(url: Column, otherwise: str = "Guidance") -> Column:
+    """The last part of a URL's path as words with capitals."""
+    words = F.transform(F.split(_page_name(url), "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
+    return F.when(_page_name(url) == "", otherwise).otherwise(F.array_join(words, " "))
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme, host and path without query, fragment or closing slash."""
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
@@ -135,9 +204,48 @@ def money(value: Column) -> Column:
     return F.bround(value.cast("decimal(38,18)"), 8).cast("decimal(18,8)")
 
 
+def token_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
+    """Cost at rates per million tokens, to eight decimals with ties to even; null without a rate for what goes in."""
+    exact = tokens_in.cast("decimal(12,0)") * rate_in.cast("decimal(18,8)") + tokens_out.cast("decimal(12,0)") * F.coalesce(rate_out, F.lit(0)).cast("decimal(18,8)")
+    return F.bround(exact.cast("decimal(32,8)") * F.lit("0.000001").cast("decimal(6,6)"), 8).cast("decimal(18,8)")
+
+
+def embedding_segments(text: Column, limit: int) -> Column:
+    """A text in pieces of at most ``limit`` characters, cut at the last space that allows it, else in mid-word."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?:^|\s*)(.{{1,{limit}}}\z|.{{1,{limit}}}(?= )|.{{1,{limit}}})"), F.lit(1))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != ""))
+
+
+def seed_embedding(text: Column, dimension: int) -> Column:
+    """A deterministic vector of length 1 from the bytes of the text's hash, over and over; for tests without a model."""
+    digest = F.sha2(text, 256)
+    value = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1
+    values = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value)
+    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(values, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+
+
+def locator_label(locator: Column) -> Column:
+    """Where in its source a chunk stands, in words, from the JSON of its locator: a page, paragraphs or a section."""
+    at = lambda name: F.nullif(F.nullif(F.try_variant_get(F.try_parse_json(locator), f"$.{name}", "string"), F.lit("")), F.lit("0"))
+    start, end = at("paragraph_start"), at("paragraph_end")
+    return (
+        F.when(at("pdf_page").isNotNull(), F.concat(F.lit("PDF page "), at("pdf_page")))
+        .when(start.isNotNull() & (start == end), F.concat(F.lit("paragraph "), start))
+        .when(start.isNotNull() & end.isNotNull(), F.concat(F.lit("paragraphs "), start, F.lit("-"), end))
+        .otherwise(F.coalesce(at("section"), F.lit("not supplied")))
+    )
+
+
 def json_flag(json: Column, name: str) -> Column:
-    """True unless the object says the literal false."""
-    return F.coalesce(F.get_json_object(json, f"$.{name}") != "false", F.lit(True))
+    """True unless the object says the literal false; a text, another value or broken JSON isn't that."""
+    said = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant")
+    return ~F.coalesce((F.schema_of_variant(said) == "BOOLEAN") & ~F.try_variant_get(said, "$", "boolean"), F.lit(False))
+
+
+def json_object(json: Column) -> Column:
+    """The text if it is a JSON object, else an empty object."""
+    return F.when(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), json).otherwise("{}")
 
 
 def stable_id(*parts: Column) -> Column:

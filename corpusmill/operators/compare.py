@@ -48,30 +48,38 @@ def sections(chunks: DataFrame, key: str, order: str) -> DataFrame:
     return grouped.select("section_key", F.col("m.chunk_id").alias("chunk_ids"), F.nullif(F.array_join(titles, " / "), F.lit("")).alias("title"), text.alias("text"), F.sha2(text, 256).alias("text_hash"))
 
 
-def changes(before: DataFrame, after: DataFrame, key: str, text: str, metadata: list[str], parser_changed: bool = False, identical_artifact: bool = False, normalize=collapse) -> DataFrame:
+def normal(text: Column) -> Column:
+    """Texts as they are compared: Unicode normal form C, white space collapsed."""
+    return collapse(nfc(text))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str, text: str, metadata: list[str], parser_changed: bool = False, identical_artifact: bool = False, normalize=normal) -> DataFrame:
     """key, classification, certainty and both sides, by full outer join of two versions.
 
-    Texts are compared in normal form. A text found once among the removed and once among the added rows marks both as
-    uncertain: they may be one section with a new number.
+    Texts are compared by hashes of their normal form, made once on each side. A text found once among the removed and
+    once among the added rows marks both as uncertain: they may be one section with a new number. These are counted on
+    keys and hashes alone, so the texts move once.
     """
-    sides = [v.select(F.col(key), F.struct(text, *metadata).alias(name)) for v, name in ((before, "old"), (after, "new"))]
+    sides = []
+    for v, name in ((before, "old"), (after, "new")):
+        form = normalize(F.col(text))
+        sides.append(v.withColumn("_form", form).select(F.col(key), F.struct(text, *metadata).alias(name), F.xxhash64(text).alias(f"_{name}_raw"), F.when(F.coalesce("_form", F.lit("")) != "", F.sha2("_form", 256)).alias(f"_{name}_hash")))
     joined = sides[0].join(sides[1], key, "full_outer")
     moved = reduce(lambda a, b: a | b, (~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in metadata), F.lit(False))
-    touched = moved | ~F.col(f"old.{text}").eqNullSafe(F.col(f"new.{text}"))
+    touched = moved | (F.col("_old_raw") != F.col("_new_raw"))
     kind = (
         F.when(F.col("old").isNull(), "added")
         .when(F.col("new").isNull(), "removed")
-        .when(normalize(F.col(f"old.{text}")) != normalize(F.col(f"new.{text}")), "text_changed")
+        .when(~F.col("_old_hash").eqNullSafe(F.col("_new_hash")), "text_changed")
         .when(F.lit(parser_changed and identical_artifact) & touched, "parser_only")
         .when(moved, "metadata_only")
         .otherwise("unchanged")
     )
+    narrow = sides[0].select(key, "_old_hash", F.lit(1).alias("_o")).join(sides[1].select(key, "_new_hash", F.lit(1).alias("_n")), key, "full_outer")
+    lone = narrow.filter("_o IS NULL OR _n IS NULL").select(F.coalesce("_old_hash", "_new_hash").alias("_hash"), "_o", "_n").filter("_hash IS NOT NULL")
+    pairs = lone.groupBy("_hash").agg(F.count("_n").alias("a"), F.count("_o").alias("r")).filter("a = 1 AND r = 1").select("_hash", F.lit(True).alias("_pair"))
     classed = joined.withColumn("classification", kind)
-    same_text = normalize(F.coalesce(f"old.{text}", f"new.{text}"))
-    lone = classed.filter(F.col("classification").isin("added", "removed")).select(key, "classification", same_text.alias("_text")).filter("_text <> ''")
-    # both sides are counted by the hash of the text, so the texts themselves aren't shuffled
-    pairs = lone.withColumn("_hash", F.sha2("_text", 256)).groupBy("_hash").agg(F.count_if(F.col("classification") == "added").alias("a"), F.count_if(F.col("classification") == "removed").alias("r")).filter("a = 1 AND r = 1").select("_hash", F.lit(True).alias("_pair"))
-    hashed = classed.withColumn("_hash", F.when(F.col("classification").isin("added", "removed"), F.sha2(same_text, 256)))
+    hashed = classed.withColumn("_hash", F.when(F.col("classification").isin("added", "removed"), F.coalesce("_old_hash", "_new_hash")))
     marked = hashed.join(pairs, "_hash", "left")
     return marked.select(
         key,

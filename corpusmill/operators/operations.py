@@ -74,8 +74,9 @@ def redact(text: Column, replacements: list[tuple[str, str]]) -> Column:
 
 
 def find_values(json: Column, name: str) -> Column:
-    """All string values of a key at any depth, in order of appearance."""
-    return F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    """All string values of a key at any depth, in order of appearance, with their escapes resolved."""
+    found = F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.transform(found, lambda x: F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0])
 
 
 def month_cutoff(ts: Column, zone: str, months: int) -> Column:

@@ -116,9 +116,9 @@ def url_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, lower(text) AS t, text FROM conversations),
-f AS (SELECT conv_id, turn, contains(t, 'violation') OR contains(t, 'building id') OR contains(t, 'registration id') OR contains(t, 'address') AS named, contains(t, 'section') OR contains(t, '§') OR contains(t, 'rpapl') OR contains(t, 'admin code') OR contains(t, 'housing maintenance code') OR contains(t, 'multiple dwelling law') AS legal,
-  regexp_matches(t, '\b(show|list|find|search|lookup|look up|check|see|get)\b') AS verb, regexp_matches(text, '(?i)\b(building|registration)(\s+id)?\s*[:#]?\s*\d+\b') OR regexp_matches(text, '(?i)\b\d+(-\d+)?[a-z]?\s+[a-z][a-z0-9 .''-]*?(\s+(violations?|open|closed|complaints?|problems?))?\s*$') AS given FROM q)
-SELECT conv_id, turn, CASE WHEN named AND given AND NOT legal THEN 'property_signal_with_identifier' WHEN NOT legal AND verb AND named THEN 'property_lookup_missing_identifier' ELSE 'default_legal' END AS reason FROM f""")
+f AS (SELECT conv_id, turn, contains(t, 'hpd') OR contains(t, 'violation') OR contains(t, 'building') OR contains(t, 'registration') OR contains(t, 'apartment') OR contains(t, 'property') OR contains(t, 'address') AS named, contains(t, 'violation') OR contains(t, 'building id') OR contains(t, 'registration id') OR contains(t, 'address') AS sought, contains(t, 'section') OR contains(t, '§') OR contains(t, 'rpapl') OR contains(t, 'admin code') OR contains(t, 'housing maintenance code') OR contains(t, 'multiple dwelling law') AS legal,
+  regexp_matches(t, '\b(show|list|find|search|lookup|look up|check|see|get)\b') AS verb, regexp_matches(text, '(?i)\b(building|registration)(\s+id)?\s*[:#]?\s*\d+\b') OR regexp_matches(text, '(?i)\b\d+(-\d+)?[a-z]?\s+[a-z][a-z0-9 .''-]*?(\s+(violations?|hpd|open|closed|complaints?|problems?))?\s*$') AS given FROM q)
+SELECT conv_id, turn, CASE WHEN named AND given AND NOT legal THEN 'property_signal_with_identifier' WHEN NOT legal AND verb AND sought THEN 'property_lookup_missing_identifier' ELSE 'default_legal' END AS reason FROM f""")
 def question_routing(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", routing.route(F.col("text"))["reason"].alias("reason"))
 
@@ -160,7 +160,7 @@ def unified_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", documents.hash_embedding("text").alias("embedding"))
+    return table(spark, folder, "documents").select("doc_id", documents.hash_embedding(F.col("text")).alias("embedding"))
 
 
 @query("SELECT vec_id, 64 AS dimension, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 5) AS squared FROM embeddings")

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import citations, documents, routing
+from corpusmill.functions import citations, documents
 from corpusmill.functions import text as T
 from corpusmill.operators import compare, ledger, property, relations, search
 from corpusmill.sources import sinks, tables
@@ -77,16 +77,6 @@ def test_citations_keep_the_first_spelling(spark):
     assert [(r["citation_text"].strip(), r["normalized_citation"]) for r in rows] == [("27-2005", "NYC Admin Code § 27-2005"), ("MDL 78", "Multiple Dwelling Law § 78")]
 
 
-def test_routing(spark):
-    route = lambda q: value(spark, routing.route(F.col("q"))["reason"], q=q)
-    assert route("violations for building 123") == "property_signal_with_identifier"
-    assert route("show me violations") == "property_lookup_missing_identifier"
-    assert route("section 27 violations for building 123") == "default_legal"
-    rules = spark.createDataFrame([("r1", "(?i)heat", "(?i)no heat pump", "en", 2), ("r2", "(?i)heat", None, None, 1)], "rule_id string, pattern string, unless string, lang string, priority int")
-    asked = spark.createDataFrame([(1, "no heat", "en"), (2, "no heat pump", "en"), (3, "heat", "es")], "id int, text string, lang string")
-    assert sorted((r["id"], r["rule_id"]) for r in routing.matching_rules(asked, "text", rules).collect()) == [(1, "r1"), (1, "r2"), (2, "r2"), (3, "r2")]
-
-
 def test_html_sections():
     page = "<nav>menu</nav><p>Intro</p><h1>One &amp; only</h1><p>a  b</p><script>x()</script><li>c</li><h2>Empty</h2><footer>z</footer>"
     assert documents.html_sections(page) == [(None, "Intro"), ("One & only", "a b\nc")]
@@ -234,7 +224,8 @@ def test_docx(spark):
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("word/document.xml", xml)
     rows = spark.createDataFrame([(1, bytearray(buffer.getvalue())), (2, bytearray(b"no zip")), (3, None)], "id int, c binary")
-    assert [tuple(r) for r in documents.docx_paragraphs(rows, "c", "id").collect()] == [(1, 0, "Heading1", "Title"), (1, 1, None, "new text")]
+    got = [tuple(r) for r in documents.docx_paragraphs(rows, "c", "id").collect()]
+    assert got == [(1, "ok", 0, "Heading1", "Title"), (1, "ok", 1, None, "new text"), (2, "not_a_package", None, None, None), (3, "empty", None, None, None)]
 
 
 def plain_bm25(chunks, query, weights):
