@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def test_embeddings_for_tests(spark):
 def test_segments_costs_and_labels(spark):
     assert values(spark, T.embedding_segments(F.col("t"), 10), [("short",), ("one two three four",), ("abcdefghijklmnop qr",), ("0123456789 ab",)], "t string") == [["short"], ["one two", "three four"], ["abcdefghij", "klmnop qr"], ["0123456789", "ab"]]
     cost = T.token_cost(F.col("a"), F.col("b"), F.col("x").cast("decimal(18,8)"), F.col("y").cast("decimal(18,8)"))
-    assert [None if c is None else f"{c:f}" for c in values(spark, cost, [(1000, 500, "0.15", "0.6"), (1, 0, "0.005", None), (3, 0, "0.005", None), (5, 5, None, "1")], "a long, b long, x string, y string")] == ["0.00045000", "0.00000000", "0.00000002", None]
+    costs = values(spark, cost, [(1000, 500, "0.15", "0.6"), (1, 0, "0.005", None), (3, 0, "0.005", None), (5, 5, None, "1")], "a long, b long, x string, y string")
+    assert costs == [Decimal("0.00045"), Decimal(0), Decimal("0.00000002"), None]
     labels = ['{"pdf_page": 3}', '{"paragraph_start": 1, "paragraph_end": 4}', '{"paragraph_start": 2, "paragraph_end": 2}', '{"section": "26-501"}', "{}", None]
     assert values(spark, T.locator_label(F.col("l")), [(x,) for x in labels], "l string") == ["PDF page 3", "paragraphs 1-4", "paragraph 2", "26-501", "not supplied", "not supplied"]
 
