@@ -1,7 +1,8 @@
 """Token-id output: flat files of unsigned integers with 64-bit document offsets, to be memory-mapped.
 
 Texts are encoded where they are read, and only their ids are dealt out: range-partitioned and sorted by document id, in
-as many ranges as their bytes ask for. Each task writes its range into files of its own below a shared folder:
+as many ranges as their bytes ask for. The ranges' bounds come from a sample of ids taken beforehand, as in any range
+partitioning; they decide which task writes what, not what is written. Each task writes its range into files of its own below a shared folder:
 ``tokens`` (16 bits an id if the vocabulary fits, else 32), ``offsets`` (64 bits, one more than there are documents) and
 ``docs`` (64-bit document ids). A manifest, one row per range, says which attempt's files count and how many tokens each
 holds; prefix sums over it give every range its base in the whole. All numbers are little-endian.
@@ -28,8 +29,10 @@ END = 0
 #: Stands for a null id in ``docs``; such documents come first.
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
-#: Bytes of ids in a range, about; smaller data has a range per shuffle partition.
+#: Bytes of text in a range, about; smaller data has a range per shuffle partition.
 RANGE_BYTES = 256_000_000
+#: Sampled rows for each range.
+SAMPLED = 100
 #: Ids read at a time when a file can't be mapped.
 READ_IDS = 1 << 22
 
@@ -53,23 +56,54 @@ def store_of(folder: str, settings: dict[str, str]) -> tuple[fs.FileSystem, str]
     return fs.FileSystem.from_uri(folder)  # hdfs, viewfs, gs, abfs
 
 
-def encoded(docs: DataFrame, text: str, key: str, tokenizer: str | None) -> DataFrame:
-    """doc_id, tie (a hash of the text), ids (bytes, with the end id) and width for every row."""
-    rows = picked(docs, doc_id=F.col(key).cast("long"), tie=F.xxhash64(F.coalesce(F.col(text), F.lit(""))), text=F.coalesce(F.col(text), F.lit("")))
+def _places(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, tie and row: what the documents are ordered by. Rows with one id and text are alike, so any order of them will do."""
+    return picked(docs, doc_id=F.col(key).cast("long"), tie=F.xxhash64(F.coalesce(F.col(text), F.lit(""))), row=F.xxhash64(F.monotonically_increasing_id()), text=F.coalesce(F.col(text), F.lit("")))
+
+
+def _bounds(places: DataFrame, least: int) -> tuple[int, np.ndarray]:
+    """The number of ranges, and where each but the first begins: rows of (1 if there is an id, id, tie, row), ascending."""
+    count, size = places.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(least, -(-(size or 0) // RANGE_BYTES))
+    drawn = places.select("doc_id", "tie", "row").sample(min(1.0, SAMPLED * n / max(count, 1)), seed=7).collect()
+    sample = sorted((d is not None, d or 0, t, r) for d, t, r in drawn)
+    at = [len(sample) * i // n for i in range(1, n)]
+    return n, np.array([sample[i] for i in at] if sample else [], dtype=np.int64).reshape(-1, 4)
+
+
+def _range_of(bounds: np.ndarray, ids: pa.Array, tie: pa.Array, row: pa.Array) -> np.ndarray:
+    """For each document the number of bounds at or before its place."""
+    numbers = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.stack([ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), numbers(ids), numbers(tie), numbers(row)], axis=1)
+    both = np.concatenate([bounds, rows])
+    order = np.lexsort((np.arange(len(both)) >= len(bounds), *both.T[::-1]))  # a bound stands before the rows at its place
+    before = np.cumsum(order < len(bounds))
+    out = np.empty(len(both), dtype=np.int64)
+    out[order] = before
+    return out[len(bounds) :]
+
+
+def encoded(docs: DataFrame, text: str, key: str, tokenizer: str | None, least: int) -> tuple[int, DataFrame]:
+    """The number of ranges, and range, doc_id, tie, row, ids (bytes, with the end id) and width for every document."""
+    places = _places(docs, text, key)
+    n, bounds = _bounds(places, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
         end = np.array([END], dtype=kind).tobytes()
-        for batch in portions(batches):
-            texts = batch.column(2).to_pylist()
+        for whole in portions(batches):
+            texts = whole.column(3).to_pylist()
             for a, z in chunks(texts):
+                batch = whole.slice(a, z - a)
                 ids = [np.frombuffer(b, dtype="<u4").astype(kind).tobytes() + end for b in encode.encode(texts[a:z])]
+                place = [batch.column(i) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], ["doc_id", "tie", "ids", "width"]
+                    [pa.array(_range_of(bounds, *place).astype(np.int32)), *place, pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())],
+                    ["range", "doc_id", "tie", "row", "ids", "width"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary, width int")
+    return n, places.mapInArrow(run, "range int, doc_id long, tie long, row long, ids binary, width int")
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
@@ -82,11 +116,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, text: str = "text",
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     settings = _settings(spark, folder)
-    rows = cut(encoded(docs, text, key, tokenizer).withColumn("row", F.monotonically_increasing_id()))
-    size = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    place = ["doc_id", "tie", "row"]  # rows with one id and text are alike, so any order of them will do, and they can be dealt to several ranges
-    dealt = rows.repartitionByRange(n, *place).sortWithinPartitions(*place).drop("row")
+    n, rows = encoded(docs, text, key, tokenizer, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionById(n, "range").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "ids", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -99,8 +130,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, text: str = "text",
             offsets.write(np.zeros(1, dtype="<i8").tobytes())
             for batch in batches:
                 if batch.num_rows:
-                    width = batch.column(3)[0].as_py()
-                    rows = batch.column(2).cast(pa.binary())
+                    width = batch.column(2)[0].as_py()
+                    rows = batch.column(1).cast(pa.binary())
                     edge = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
                     tokens.write(rows.buffers()[2].slice(int(edge[0]), int(edge[-1] - edge[0])))
                     sizes = np.diff(edge.astype("<i8")) // width

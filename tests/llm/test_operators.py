@@ -240,6 +240,15 @@ def test_token_files_on_other_stores(tmp_path):
     assert there.mapped is None and there.length == 100 and there.read(7, 10).tolist() == [7, 8, 9]
 
 
+def test_ranges_follow_the_order_and_split_a_repeated_id(spark):
+    rows = spark.range(0, 20_000, 1, 7).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.pmod(F.xxhash64("id"), F.lit(50_000)) - 20_000).alias("doc_id"), F.lit("same text").alias("text"))
+    n, out = token_output.encoded(rows, "text", "doc_id", None, 16)
+    placed = out.select("range", "doc_id", "tie", "row").collect()
+    order = sorted(placed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"], r["row"]))
+    assert n == 16 and [r["range"] for r in order] == sorted(r["range"] for r in placed)
+    assert max(Counter(r["range"] for r in placed).values()) < 3 * 20_000 / 16 and len({r["range"] for r in placed if r["doc_id"] is None}) >= 5
+
+
 def test_token_output_reads_long_documents_in_steps(spark, docs, monkeypatch):
     want = sorted(map(tuple, token_output.tokenized(docs).collect()), key=str)
     monkeypatch.setattr(token_output, "READ_IDS", 50)
