@@ -253,6 +253,18 @@ def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
+# Fixed value: the name space of URLs.
+URL_SPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def uuid5(space: Column, name: Column) -> Column:
+    """The version 5 UUID of a name in a name space: a SHA-1 with version and variant set."""
+    digest = F.sha1(F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    part = lambda start, n: F.substring(digest, start, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def expand_terms(query: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """The meaningful terms and the additions of all rules whose pattern the query matches, each once and in order."""
     none = F.array().cast("array<string>")

@@ -93,3 +93,10 @@ def append_order(existing: DataFrame, new: DataFrame, key: str, order: str) -> D
     last = existing.groupBy(key).agg(F.max("display_order").alias("_last"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return new.join(last, key, "left").withColumn("display_order", F.coalesce("_last", F.lit(0)) + place).drop("_last")
+
+
+def digests(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """by and a hash of the group's rows, whatever their order: rows are hashed and their hashes added up, so no group is gathered."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring("_row", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
+    return rows.select(by, row.alias("_row")).groupBy(by).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))

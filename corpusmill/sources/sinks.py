@@ -4,36 +4,50 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import spreadsheet_safe
+from corpusmill.sources.shared import file_system, remove_folder
 
-POINTER = "ACTIVE"
+#: Below it stands a numbered entry for every activation; an entry is never changed, and the last whole one counts.
+POINTERS = "pointers"
+#: Buckets of a table that is merged in place, and activations whose files stay when older ones are cleared.
+BUCKETS, KEPT = 64, 2
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the target and renames, so that a reader sees the old text or the new."""
-    fs, to_path = _file_system(spark, path)
-    aside = to_path(f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(aside, True)
+def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    fs, to_path = file_system(spark, path)
+    stream = fs.create(to_path(path), overwrite)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if not fs.rename(aside, to_path(path)):
-        fs.delete(to_path(path), False)
-        fs.rename(aside, to_path(path))
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, to_path = _file_system(spark, path)
-    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(to_path(path)) else None
+def _entry_names(spark: SparkSession, folder: str) -> list[str]:
+    fs, to_path = file_system(spark, folder)
+    at = to_path(f"{folder}/{POINTERS}")
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _entry(spark: SparkSession, folder: str, name: str) -> dict | None:
+    """What an entry says; None for one whose writer didn't finish."""
+    try:
+        return json.loads(spark.read.text(f"{folder}/{POINTERS}/{name}", wholetext=True).first()[0])
+    except (TypeError, ValueError):
+        return None
+
+
+def latest(spark: SparkSession, folder: str) -> dict | None:
+    """The newest whole entry."""
+    return next((e for n in reversed(_entry_names(spark, folder)) if (e := _entry(spark, folder, n))), None)
+
+
+def commit(spark: SparkSession, folder: str, entry: dict) -> None:
+    """Appends an entry. Its number must be free, so that of two writers one fails and can look again; nothing is overwritten."""
+    names = _entry_names(spark, folder)
+    _write_text(spark, f"{folder}/{POINTERS}/{int(names[-1]) + 1 if names else 1:012d}", json.dumps(entry, sort_keys=True), overwrite=False)
 
 
 def publish(df: DataFrame, folder: str, activate: bool = True) -> str:
@@ -46,13 +60,13 @@ def publish(df: DataFrame, folder: str, activate: bool = True) -> str:
 
 
 def history(spark: SparkSession, folder: str) -> list[str]:
-    """Generations in the order of their activation; the last is active."""
-    text = _read_text(spark, f"{folder}/{POINTER}")
-    return json.loads(text) if text else []
+    """Generations in the order of their last activation; the last is active."""
+    found = [e["generation"] for n in _entry_names(spark, folder) if (e := _entry(spark, folder, n))]
+    return list(reversed(dict.fromkeys(reversed(found))))
 
 
 def activate_generation(spark: SparkSession, folder: str, generation: str) -> None:
-    _write_text(spark, f"{folder}/{POINTER}", json.dumps([*(g for g in history(spark, folder) if g != generation), generation]))
+    commit(spark, folder, {"generation": generation})
 
 
 def roll_back(spark: SparkSession, folder: str) -> str:
@@ -60,15 +74,39 @@ def roll_back(spark: SparkSession, folder: str) -> str:
     past = history(spark, folder)
     if len(past) < 2:
         raise ValueError("There is no earlier generation to go back to.")
-    _write_text(spark, f"{folder}/{POINTER}", json.dumps([past[-1], *past[:-1]]))
+    activate_generation(spark, folder, past[-2])
     return past[-2]
 
 
 def active(spark: SparkSession, folder: str) -> DataFrame:
-    past = history(spark, folder)
-    if not past:
+    now = latest(spark, folder)
+    if not now:
         raise ValueError("No generation is active.")
-    return spark.read.parquet(f"{folder}/generations/{past[-1]}")
+    paths = sorted(set(now["buckets"].values())) if "buckets" in now else [f"{folder}/generations/{now['generation']}"]
+    return spark.read.parquet(*paths)
+
+
+def merge_buckets(batch: DataFrame, folder: str, key: list[str], merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
+    """Merges a batch into a table of buckets by key: only buckets that it touches are read and written anew.
+
+    ``merge`` gets the batch and the old rows of those buckets, or None if there are none. The new entry names a folder
+    for every bucket; folders that no kept entry names are removed.
+    """
+    spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+    touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
+    if not touched:
+        return
+    known = (latest(spark, folder) or {}).get("buckets", {})
+    old = [known[str(b)] for b in touched if str(b) in known]
+    generation = uuid.uuid4().hex
+    out = f"{folder}/generations/{generation}"
+    merge(batch, spark.read.parquet(*old) if old else None).withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(out)
+    commit(spark, folder, {"generation": generation, "buckets": known | {str(b): f"{out}/_bucket={b}" for b in touched}})
+    names = _entry_names(spark, folder)
+    kept = {p for n in names[-KEPT:] for p in (_entry(spark, folder, n) or {}).get("buckets", {}).values()}
+    gone = {p for n in names[-KEPT - 1 : -KEPT] for p in (_entry(spark, folder, n) or {}).get("buckets", {}).values()} - kept
+    for path in gone:
+        remove_folder(spark, path)
 
 
 def export_csv(df: DataFrame, folder: str, columns: list[str], methodology: dict | None = None) -> None:
@@ -87,9 +125,47 @@ def store_artifacts(content: DataFrame, folder: str) -> DataFrame:
     """Appends the blobs whose hash isn't stored yet, as (content_hash, content), and returns those it added."""
     spark = content.sparkSession
     fresh = content.select(F.sha2("content", 256).alias("content_hash"), "content").dropDuplicates(["content_hash"])
-    fs, to_path = _file_system(spark, folder)
+    fs, to_path = file_system(spark, folder)
     if fs.exists(to_path(folder)):
         fresh = fresh.join(spark.read.parquet(folder).select("content_hash"), "content_hash", "left_anti")
     batch = f"{folder}/batch={uuid.uuid4().hex}"
     fresh.write.parquet(batch)
     return spark.read.parquet(batch)
+
+
+def export_markdown(rows: DataFrame, folder: str, title: str, text: str, *order: str) -> None:
+    """A Markdown file part per partition: a heading and a text for each row, in order."""
+    block = F.concat(F.lit("## "), F.coalesce(F.regexp_replace(title, r"\s+", " "), F.lit("")), F.lit("\n\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    rows.orderBy(*order).select(block.alias("value")).write.text(folder)
+
+
+def back_up(tables: dict[str, DataFrame], folder: str, private: dict[str, list[str]] | None = None) -> DataFrame:
+    """Copies tables below ``folder`` with a manifest: table, rows and a digest of its rows. Private tables come without rows.
+
+    ``private``: table -> columns to leave out; an empty list leaves out the rows.
+    """
+    manifest = None
+    for name, df in sorted(tables.items()):
+        left_out = (private or {}).get(name)
+        kept = df if left_out is None else df.limit(0) if not left_out else df.drop(*left_out)
+        kept.write.parquet(f"{folder}/{name}")
+        row = checked(kept.sparkSession.read.parquet(f"{folder}/{name}"), name)
+        manifest = row if manifest is None else manifest.unionByName(row)
+    manifest.write.parquet(f"{folder}/_manifest")
+    return manifest.sparkSession.read.parquet(f"{folder}/_manifest")
+
+
+def checked(df: DataFrame, name: str) -> DataFrame:
+    """table, rows and digest, a sum of row hashes that doesn't depend on the order, in one row."""
+    digest = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")) if df.columns else F.lit(0)
+    return df.agg(F.count("*").alias("rows"), F.coalesce(digest, F.lit(0)).cast("string").alias("digest")).select(F.lit(name).alias("table"), "rows", "digest")
+
+
+def restored_backup(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a back-up, if all of them still have the rows that its manifest names; else an error."""
+    manifest = {r["table"]: (r["rows"], r["digest"]) for r in spark.read.parquet(f"{folder}/_manifest").collect()}
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in manifest}
+    broken = [name for name, df in tables.items() if checked(df, name).first()[1:] != manifest[name]]
+    if broken:
+        raise ValueError(f"The back-up was changed: {', '.join(broken)}.")
+    return tables

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,19 +57,79 @@ def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int]
 
 
 def upsert_sink(folder: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """Merges each batch into the active generation below ``folder`` and publishes the result; a batch that comes again changes nothing."""
+    """Merges each batch into the table below ``folder``, bucket by bucket; a batch that comes again changes nothing."""
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
         fresh = latest_per_key(batch, key, [F.desc(order), *map(F.col, key)])
-        known = sinks.history(batch.sparkSession, folder)
-        merged = fresh
-        if known:
-            old = sinks.active(batch.sparkSession, folder)
-            newer = fresh.alias("n").join(old.alias("o"), key, "left").filter(F.col(f"o.{order}").isNull() | (F.col(f"n.{order}") >= F.col(f"o.{order}")))
-            merged = upsert(old, newer.select("n.*"), key, [F.desc(order)])
-        sinks.publish(merged, folder)
+        if old is None:
+            return fresh
+        newer = fresh.alias("n").join(old.alias("o"), key, "left").filter(F.col(f"o.{order}").isNull() | (F.col(f"n.{order}") >= F.col(f"o.{order}")))
+        return upsert(old, newer.select("n.*"), key, [F.desc(order)])
 
-    return sink
+    return lambda batch, _: sinks.merge_buckets(batch, folder, key, merge)
+
+
+def run_mode(requested: str, state: dict | None) -> tuple[str, bool, str | None]:
+    """full or delta, whether an unfinished run goes on, and where a delta starts: its watermark less the overlap.
+
+    ``state``: mode, complete, last_key and watermark (an ISO date) of the last run, or None.
+    """
+    if requested not in ("auto", "full", "delta"):
+        raise ValueError("The mode must be auto, full or delta.")
+    state = state or {}
+    mode = requested if requested != "auto" else "delta" if state.get("complete") else "full"
+    mode = "full" if mode == "delta" and not state.get("watermark") else mode
+    resumes = bool(state) and not state.get("complete") and state.get("mode") == mode
+    start = None
+    if mode == "delta" and not (resumes and state.get("last_key")):
+        start = (dt.date.fromisoformat(state["watermark"]) - dt.timedelta(days=int(OVERLAP.split()[0]))).isoformat()
+    return mode, resumes, start
+
+
+def delta_page(rows: DataFrame, mode: str, size: int, last_key: tuple | None, start: str | None, id_: str = "violation_id", status: str = "status_date") -> DataFrame:
+    """The next page of a feed: by id for a full run, by time of status and id for a delta, after the last page's key.
+
+    Times are compared in full, so a page that one day fills doesn't come again.
+    """
+    if mode == "full":
+        wanted = rows if last_key is None else rows.filter(F.col(id_) > last_key[-1])
+        return wanted.orderBy(id_).limit(size)
+    if last_key is None:
+        wanted = rows.filter(F.col(status) >= F.lit(start).cast("timestamp_ntz"))
+    else:
+        at = F.lit(last_key[0]).cast("timestamp_ntz")
+        wanted = rows.filter((F.col(status) > at) | ((F.col(status) == at) & (F.col(id_) > last_key[1])))
+    return wanted.orderBy(status, id_).limit(size)
+
+
+def ingest_pages(feed: DataFrame, folder: str, mode: str = "auto", size: int = 1000, most_pages: int | None = None) -> dict:
+    """Takes a feed page by page into a table of buckets, and keeps its state after every page; stops after ``most_pages``.
+
+    ``feed``: violation_id, status_date and more. State: mode, complete, last_key, watermark and, for each page, its
+    number, rows and checksum. The watermark moves only when a run is complete. Running again goes on where it stopped.
+    """
+    spark = feed.sparkSession
+    state = sinks.latest(spark, f"{folder}/state")
+    chosen, resumes, start = run_mode(mode, state)
+    now = {"mode": chosen, "complete": False, "last_key": state["last_key"] if resumes else None, "watermark": (state or {}).get("watermark"), "pages": state["pages"] if resumes else [], "seen": state.get("seen") if resumes else None}
+    sink = upsert_sink(f"{folder}/table", ["violation_id"], "status_date")
+    taken = 0
+    while most_pages is None or taken < most_pages:
+        page = delta_page(feed, chosen, size, tuple(now["last_key"]) if now["last_key"] else None, start).cache()
+        last = page.agg(F.count("*").alias("n"), F.max(F.struct("status_date", "violation_id") if chosen == "delta" else F.struct("violation_id")).alias("k"), F.max("status_date").alias("seen"), F.sum(F.xxhash64(*page.columns).cast("decimal(38,0)")).alias("x")).first()
+        if last["n"]:
+            sink(page, taken)
+            key = [str(v) if isinstance(v, dt.datetime) else v for v in last["k"]]
+            seen = max(filter(None, (now["seen"], last["seen"].date().isoformat() if last["seen"] else None)), default=None)
+            now |= {"last_key": key, "seen": seen, "pages": [*now["pages"], {"page": len(now["pages"]), "rows": last["n"], "checksum": str(last["x"])}]}
+        page.unpersist()
+        taken += 1
+        if last["n"] < size:
+            now |= {"complete": True, "watermark": max(filter(None, (now["watermark"], now["seen"])), default=None)}
+        sinks.commit(spark, f"{folder}/state", now | {"generation": str(len(now["pages"]))})
+        if now["complete"]:
+            break
+    return now
 
 
 def deduplicated(stream: DataFrame, key: str, ts: str, late: str = OVERLAP) -> DataFrame:
@@ -81,6 +142,14 @@ def tumbling(stream: DataFrame, ts: str, width: str, *by: str, late: str = OVERL
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), *by, "n")
 
 
+def changed_counts(stream: DataFrame, folder: str, *by: str) -> DataFrame:
+    """Every change of the counts by group, in the order of batches: group, n and batch. Groups that stay the same write nothing."""
+    counts, out = stream.groupBy(*by).agg(F.count("*").alias("n")), f"{folder}/changes-{uuid.uuid4().hex}"
+    write = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+    run_once(counts, f"{folder}/checkpoint-{uuid.uuid4().hex}", write, "update")
+    return stream.sparkSession.read.parquet(out)
+
+
 def sliding(stream: DataFrame, ts: str, width: str, step: str, *by: str, late: str = OVERLAP) -> DataFrame:
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width, step).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), *by, "n")
 
