@@ -118,7 +118,7 @@ def canonical_borough(value: Column) -> Column:
 def encode_cursor(request_hash: Column, building_id: Column, inspection_date: Column, violation_id: Column) -> Column:
     """A page's end as URL-safe text: compact JSON with sorted names, in base 64."""
     end = F.struct(building_id.alias("building_id"), inspection_date.alias("inspection_date"), request_hash.alias("request_hash"), violation_id.alias("violation_id"))
-    return F.translate(F.base64(F.encode(F.to_json(end, {"ignoreNullFields": "false"}), "UTF-8")), "+/", "-_")
+    return F.translate(F.base64(F.encode(F.to_json(end, {"ignoreNullFields": "false"}), "UTF-8")), "+/\r\n", "-_")
 
 
 def decode_cursor(cursor: Column, request_hash: Column) -> Column:

@@ -104,7 +104,7 @@ def title_only(text: Column, title: Column, short: int = 40) -> Column:
 
 
 def matter_index(items: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """One searchable text per matter, from its items in order."""
+    """One searchable text per matter, from its items in order. A matter is what one person keeps together, so its items fit a row."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return items.groupBy(key).agg(parts.alias("p")).select(key, F.array_join("p.t", "\n").alias("body"), F.size("p").alias("n_items"))
 

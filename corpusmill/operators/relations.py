@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.shared import shared_folder
+
 
 def latest_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``; end the order with an id so that ties are settled."""
@@ -100,3 +102,20 @@ def digests(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring("_row", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(5)]
     return rows.select(by, row.alias("_row")).groupBy(by).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` with their place, from 1, in an order over all of them; end the order with an id.
+
+    Rows are dealt out by ranges and sorted inside them; a place is the rows of earlier ranges plus that inside its own,
+    so no task sorts the table. The ranges are written to the shared folder, as both parts have to see the same ones.
+    """
+    spark, mark = rows.sparkSession, f"_{name}"
+    shared_folder(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright(mark, 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    bases = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_base"))
+    at = F.col("_base") + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").select(*rows.columns, at.alias(name))

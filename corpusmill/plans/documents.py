@@ -11,7 +11,7 @@ from corpusmill.operators import audit, compare, property
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import chunks, table
 
-_SIDES = r"""WITH a AS (SELECT doc_id, text, source AS citation, substr(text, 1, 20) AS title FROM documents WHERE doc_id % 7 <> 0),
+_SIDES = r"""WITH a AS (SELECT doc_id, text, source AS citation, substr(text, 1, 20) AS title FROM documents WHERE lang IS DISTINCT FROM 'fr'),
 b AS (SELECT CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' more' WHEN doc_id % 3 = 0 THEN replace(text, ' ', '  ') ELSE text END AS text,
   CASE WHEN doc_id % 13 = 0 THEN NULL ELSE source END AS citation, substr(text, 1, 20) AS title FROM documents),
 n AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NULL AS added, b.doc_id IS NULL AS removed, trim(regexp_replace(a.text, '\s+', ' ', 'g')) AS o, trim(regexp_replace(b.text, '\s+', ' ', 'g')) AS w,
@@ -26,7 +26,8 @@ def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" more"))).when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
     moved = F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id"))
     after = rows.select(moved.alias("doc_id"), text.alias("text"), F.when(F.col("doc_id") % 13 != 0, F.col("citation")).alias("citation"), "title")
-    return rows.filter("doc_id % 7 <> 0"), after
+    before = table(spark, folder, "documents").filter("NOT lang <=> 'fr'").select("doc_id")
+    return rows.join(before, "doc_id", "left_semi"), after
 
 
 @query(_SIDES + " SELECT doc_id, classification, CASE WHEN classification = 'uncertain' THEN 'low' ELSE 'high' END AS certainty FROM r")
@@ -40,12 +41,12 @@ def diff_class_counts(spark: SparkSession, folder: str) -> DataFrame:
     return compare.changes(*_versions(spark, folder), "doc_id", "text", ["citation", "title"]).groupBy("classification").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS item_id, event_id % 997 AS chunk_id FROM events), ch AS (SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 9 = 0)
+@query("""WITH e AS (SELECT DISTINCT user_id AS item_id, event_id AS chunk_id FROM events), ch AS (SELECT doc_id AS chunk_id FROM documents WHERE lang = 'de')
 SELECT item_id, array_to_string(list_sort(list(chunk_id)), ',') AS matching, (SELECT max(ts) FROM events WHERE user_id = item_id AND event_type = 'signup') AS reviewed_at FROM e JOIN ch USING (chunk_id) GROUP BY item_id""")
 def comparison_impacts(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    items = events.groupBy(F.col("user_id").alias("item_id")).agg(F.collect_set(F.col("event_id") % 997).alias("chunk_ids"))
-    changed = table(spark, folder, "documents").filter("doc_id % 9 = 0").select(F.col("doc_id").alias("chunk_id"))
+    items = events.groupBy(F.col("user_id").alias("item_id")).agg(F.collect_set("event_id").alias("chunk_ids"))
+    changed = table(spark, folder, "documents").filter("lang = 'de'").select(F.col("doc_id").alias("chunk_id"))
     reviews = events.filter("event_type = 'signup'").select(F.col("user_id").alias("item_id"), F.col("ts").alias("reviewed_at"))
     found = compare.impacts(items, changed, reviews)
     return found.select("item_id", F.array_join(F.transform("matching_chunk_ids", lambda x: x.cast("string")), ",").alias("matching"), "reviewed_at")

@@ -35,11 +35,11 @@ def job_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return ops.newest_histogram(_jobs(spark, folder), [F.desc("ts"), F.desc("event_id")], "state", 100)
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'withdrawn' WHEN a.h <> b.h THEN 'changed' ELSE 'unchanged' END AS state FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 6 <> 0) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'withdrawn' WHEN a.h <> b.h THEN 'changed' ELSE 'unchanged' END AS state FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang IS DISTINCT FROM 'fr') a FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE source IS DISTINCT FROM 'src1') b ON a.doc_id = b.doc_id")
 def update_check(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents")
-    offered = rows.filter("doc_id % 6 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    there = rows.filter("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
+    offered = rows.filter("NOT lang <=> 'fr'").select("doc_id", F.sha2("text", 256).alias("h"))
+    there = rows.filter("NOT source <=> 'src1'").select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
     return ops.update_check(offered, there, "doc_id", "h")
 
 
@@ -126,7 +126,7 @@ def revision_check(spark: SparkSession, folder: str) -> DataFrame:
     return ops.compare_and_swap(rows, changes, "s_suppkey", "revision")
 
 
-@query("SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 50) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+@query("SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 200) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def idempotent_append(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select("user_id", "event_id", "ts")
-    return ops.first_requests(rows, rows.filter("event_id < 50"), "user_id", [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_id")
+    return ops.first_requests(rows, table(spark, folder, "events").filter("value > 200").select("user_id"), "user_id", [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_id")

@@ -61,9 +61,11 @@ def ilike_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("status", "class").agg(F.count("*").alias("total"), F.min("inspection_date").alias("first_date"))
 
 
-@query(f"{V} SELECT violation_id, inspection_date FROM v {ORDER} LIMIT 10 OFFSET 14000")
+@query(f"{V} SELECT violation_id, inspection_date, row_number() OVER ({ORDER}) AS position FROM v")
 def nulls_last_order(spark: SparkSession, folder: str) -> DataFrame:
-    return property.ordered(_v(spark, folder)).select("violation_id", "inspection_date").offset(14000).limit(10)
+    """All rows with their place in the order, those without a date last."""
+    rows = _v(spark, folder).select("violation_id", "inspection_date")
+    return relations.numbered(rows, [F.desc_nulls_last("inspection_date"), F.asc("violation_id")], "position")
 
 
 @query("""SELECT c_custkey AS building_id, upper(c_name) AS name, nullif(regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g'), '') AS name_part,
@@ -73,23 +75,23 @@ def address_normalize(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("building_id"), F.upper("c_name").alias("name"), T.address_part(F.col("c_name")).alias("name_part"), T.address_key(F.col("c_mktsegment"), F.lit(None).cast("string"), F.col("c_name")).alias("address_key"))
 
 
-_FEED = """f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_shipdate AS d, l_linestatus AS s, l_quantity AS q FROM lineitem WHERE l_orderkey % 3 = 0),
+_FEED = """f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_shipdate AS d, l_linestatus AS s, l_quantity AS q FROM lineitem WHERE l_linestatus = 'O'),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC, n DESC) AS place FROM f) WHERE place = 1)"""
 
 
 def _feed(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").alias("d"), F.col("l_linestatus").alias("s"))
+    return table(spark, folder, "lineitem").filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").alias("d"), F.col("l_linestatus").alias("s"))
 
 
-@query(f"WITH {_FEED}, old AS (SELECT o_orderkey AS k, o_orderdate AS d, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0) SELECT k, d, s FROM newest UNION ALL SELECT k, d, s FROM old WHERE k NOT IN (SELECT k FROM newest)")
+@query(f"WITH {_FEED}, old AS (SELECT o_orderkey AS k, o_orderdate AS d, o_orderstatus AS s FROM orders WHERE o_orderpriority <> '1-URGENT') SELECT k, d, s FROM newest UNION ALL SELECT k, d, s FROM old WHERE k NOT IN (SELECT k FROM newest)")
 def upsert_merge(spark: SparkSession, folder: str) -> DataFrame:
-    old = table(spark, folder, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("o_orderstatus").alias("s"))
+    old = table(spark, folder, "orders").filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("o_orderstatus").alias("s"))
     return relations.upsert(old, _feed(spark, folder), ["k"], [F.desc("d"), F.desc("n")])
 
 
-@query(f"WITH {_FEED} SELECT count(*) FILTER (WHERE k % 2 <> 0 OR k NOT IN (SELECT o_orderkey FROM orders)) AS created, count(*) FILTER (WHERE k % 2 = 0 AND k IN (SELECT o_orderkey FROM orders)) AS updated FROM newest")
+@query(f"WITH {_FEED} SELECT count(*) FILTER (WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT')) AS created, count(*) FILTER (WHERE k IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT')) AS updated FROM newest")
 def upsert_counts(spark: SparkSession, folder: str) -> DataFrame:
-    old = table(spark, folder, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"))
+    old = table(spark, folder, "orders").filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"))
     return relations.upsert_counts(old, _feed(spark, folder), ["k"])
 
 
@@ -112,11 +114,11 @@ def last_wins_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(V + """ SELECT violation_id, label, date FROM (SELECT violation_id, 'inspected' AS label, inspection_date AS date FROM v UNION ALL
-  SELECT l_orderkey, 'shipped ' || CAST(l_linenumber AS VARCHAR), max(l_shipdate) FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber) WHERE date IS NOT NULL""")
+  SELECT l_orderkey, 'shipped ' || CAST(l_linenumber AS VARCHAR), max(l_shipdate) FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE date IS NOT NULL""")
 def unpivot_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("violation_id")).pivot("l_linenumber", [1, 2]).agg(F.max("l_shipdate"))
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("violation_id")).pivot("l_linenumber", list(range(1, 8))).agg(F.max("l_shipdate"))
     rows = _v(spark, folder).select("violation_id", "inspection_date").join(lines, "violation_id", "full")
-    return property.timeline(rows, "violation_id", {"inspection_date": "inspected", "1": "shipped 1", "2": "shipped 2"})
+    return property.timeline(rows, "violation_id", {"inspection_date": "inspected"} | {str(n): f"shipped {n}" for n in range(1, 8)})
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -131,10 +133,11 @@ def semi_member(spark: SparkSession, folder: str) -> DataFrame:
     return relations.unindexed(rows, table(spark, folder, "labels").filter("quality = 1"), table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
-@query("SELECT doc_id FROM documents LEFT JOIN (SELECT doc_id, sha256(text || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 3 = 0) k USING (doc_id) WHERE sha256(text) IS DISTINCT FROM k.h")
+@query("SELECT doc_id FROM documents LEFT JOIN (SELECT doc_id, sha256(text || CASE WHEN lang = 'de' THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) k USING (doc_id) WHERE sha256(text) IS DISTINCT FROM k.h")
 def stale_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
-    known = table(spark, folder, "documents").filter("doc_id % 3 = 0").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")), 256).alias("text_hash"))
+    labelled = table(spark, folder, "documents").join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
+    known = labelled.select("doc_id", F.sha2(F.concat("text", F.when(F.col("lang") == "de", "x").otherwise("")), 256).alias("text_hash"))
     return relations.stale(rows, known, "doc_id", "text_hash").select("doc_id")
 
 
@@ -153,9 +156,9 @@ def bundle_closure(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT')")
 def broken_references(spark: SparkSession, folder: str) -> DataFrame:
-    parents = table(spark, folder, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    parents = table(spark, folder, "orders").filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return relations.broken_references(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), parents, "l_orderkey")
 
 
@@ -178,11 +181,11 @@ def tag_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return relations.case_insensitive_distinct(rows, "p_size", "p_brand", "p_partkey")
 
 
-@query("WITH old AS (SELECT o_custkey AS k, max(o_orderkey % 10) AS last FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT o_custkey AS k, o_orderkey AS item, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS display_order FROM orders LEFT JOIN old ON k = o_custkey WHERE o_orderkey % 2 = 1")
+@query("WITH old AS (SELECT o_custkey AS k, max(o_orderkey % 10) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT o_custkey AS k, o_orderkey AS item, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS display_order FROM orders LEFT JOIN old ON k = o_custkey WHERE o_orderstatus <> 'F'")
 def append_display_order(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("item"))
-    old = rows.filter("item % 2 = 0").withColumn("display_order", F.col("item") % 10)
-    return relations.append_order(old, rows.filter("item % 2 = 1"), "k", "item").withColumn("display_order", F.col("display_order").cast("long"))
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("item"), "o_orderstatus")
+    old = rows.filter("o_orderstatus = 'F'").withColumn("display_order", F.col("item") % 10)
+    return relations.append_order(old, rows.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), "k", "item").withColumn("display_order", F.col("display_order").cast("long"))
 
 
 @query("""WITH a AS (SELECT source, list(DISTINCT lang) AS langs FROM documents GROUP BY 1) SELECT source, array_to_string(list_sort(list_filter(['de', 'en', 'es', 'fr', 'it', 'pt'], lambda x: NOT list_contains(langs, x))), ',') AS missing,
@@ -226,10 +229,10 @@ def rate_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id AS cache_key, ts AS last_accessed, CAST(floor(value * 100) AS BIGINT) AS size_bytes, event_type = 'signup' AS pinned FROM events), t AS (SELECT sum(size_bytes) AS total FROM e),
-p AS (SELECT cache_key, coalesce(sum(size_bytes) OVER (ORDER BY last_accessed, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e WHERE NOT pinned) SELECT cache_key FROM p, t WHERE total - before > 10000000""")
+p AS (SELECT cache_key, coalesce(sum(size_bytes) OVER (ORDER BY last_accessed, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e WHERE NOT pinned) SELECT cache_key FROM p, t WHERE total - before > 20000""")
 def lru_evict(spark: SparkSession, folder: str) -> DataFrame:
     entries = table(spark, folder, "events").select(F.col("event_id").alias("cache_key"), F.col("ts").alias("last_accessed"), F.floor(F.col("value") * 100).alias("size_bytes"), (F.col("event_type") == "signup").alias("pinned"))
-    return ledger.evictions(entries, 10_000_000).select("cache_key")
+    return ledger.evictions(entries, 20_000).select("cache_key")
 
 
 @query("SELECT user_id, count(*) AS n_references FROM events GROUP BY 1 HAVING bool_and(ts < TIMESTAMP '2024-01-20' OR event_type <> 'purchase')")
@@ -292,9 +295,9 @@ def percentile_nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
     return audit.nearest_rank(table(spark, folder, "orders"), "o_totalprice", 0.95, "o_orderstatus")
 
 
-@query("SELECT count(DISTINCT source) AS all_sources, count(DISTINCT CASE WHEN lang = 'de' AND doc_id % 50 = 0 THEN source END) AS scope_sources FROM documents")
+@query("SELECT count(DISTINCT source) AS all_sources, count(DISTINCT CASE WHEN lang = 'de' AND contains(text, '###') THEN source END) AS scope_sources FROM documents")
 def distinct_scopes(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.scope_counts(table(spark, folder, "documents"), "source", (F.col("lang") == "de") & (F.col("doc_id") % 50 == 0))
+    return audit.scope_counts(table(spark, folder, "documents"), "source", (F.col("lang") == "de") & F.contains("text", F.lit("###")))
 
 
 @query("""WITH m AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels) AS i, doc_id IN (SELECT vec_id FROM embeddings) AS e FROM documents)
