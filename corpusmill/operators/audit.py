@@ -173,3 +173,13 @@ def override(base: Column, user: Column) -> Column:
 def distinct_paths(tables: list[tuple[DataFrame, str]]) -> DataFrame:
     """The different paths that any of the tables names."""
     return reduce(DataFrame.unionByName, (df.select(F.col(c).alias("path")) for df, c in tables)).filter(F.col("path").isNotNull()).distinct()
+
+
+def allowed(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose value is on the list; with an empty list, all."""
+    return rows.filter(F.col(column).isin(values)) if values else rows
+
+
+def not_hidden(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose value isn't on the list; rows without a value stay."""
+    return rows.filter(~F.coalesce(F.col(column).isin(values), F.lit(False)))

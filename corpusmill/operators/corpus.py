@@ -160,6 +160,27 @@ def embed(spark: SparkSession, folder: str, vectors: DataFrame) -> None:
     _append(folder, "embeddings", vectors.select(F.sha2("chunk_id", 256).alias("embedding_id"), "chunk_id", "vector"))
 
 
+def to_embed(spark: SparkSession, folder: str) -> DataFrame:
+    """chunk_id and text of what is active, may be used by models and has no vector yet."""
+    found = generation(spark, folder)
+    eligible = found["chunks"].join(found["members"].filter("eligible").select("chunk_id"), "chunk_id", "left_semi")
+    return eligible.select("chunk_id", "text") if "embeddings" not in found else eligible.join(found["embeddings"].select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "text")
+
+
+def index_active(spark: SparkSession, folder: str, vector: Column, batches: int = 1) -> dict:
+    """Embeds what lacks a vector, in batches that are each kept, and then publishes the active versions again.
+
+    A run that stops goes on with what is left. The new generation becomes active only if every eligible chunk has its
+    vector. ``vector``: an expression over the column text.
+    """
+    missing = to_embed(spark, folder)
+    for b in range(batches):
+        part = missing.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == b)
+        embed(spark, folder, part.select("chunk_id", vector.alias("vector")).filter("vector IS NOT NULL"))
+    whole = to_embed(spark, folder).isEmpty()
+    return publish(spark, folder, list(status(spark, folder)["versions"].values()), [], allow_partial=True, activate=whole)
+
+
 def without_sources(spark: SparkSession, folder: str, slugs: list[str], required: list[str]) -> dict:
     """Publishes what is active without some sources; required ones can't go."""
     now = status(spark, folder)["versions"]
@@ -174,6 +195,19 @@ def with_sources(spark: SparkSession, folder: str, slugs: list[str], required: l
     return publish(spark, folder, list((status(spark, folder)["versions"] | found).values()), required, allow_partial=True)
 
 
+def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manifests and sections of another store's current records, one row per chunk: of each source the newest version, citations once.
+
+    ``records``: slug, name, source_type, publisher, jurisdiction, source_url, content_hash, retrieved_at, document,
+    document_title, document_url, section_key, citation, title, text, place.
+    """
+    newest = relations.latest_per_key(records.select("slug", "content_hash", "retrieved_at").distinct(), ["slug"], [F.desc("retrieved_at"), F.desc("content_hash")])
+    rows = records.join(newest.select("slug", "content_hash"), ["slug", "content_hash"], "left_semi")
+    first = rows.groupBy("slug").agg(*(F.min(c).alias(c) for c in ("name", "source_type", "publisher", "jurisdiction", "source_url")))
+    manifests = first.select("*", F.lit("migrated").alias("parser_version"), F.lit("core").alias("origin"), F.lit(True).alias("model_use_allowed"), F.array().cast("array<string>").alias("required_citations"), F.lit(0).alias("minimum_documents"))
+    return manifests, relations.latest_per_key(rows, ["slug", "document", "section_key"], [F.asc("place")]).select(*SECTIONS.split(", "))
+
+
 def removal_preview(spark: SparkSession, folder: str, pack: list[str], selected: list[str] | None = None) -> dict:
     """Which of a pack's modules, or of those selected, are installed and would go."""
     chosen = list(dict.fromkeys(pack if selected is None else selected))

@@ -159,11 +159,6 @@ def unified_diff(spark: SparkSession, folder: str) -> DataFrame:
     return joined.filter("a <> b").select("doc_id", compare.unified_diff("a", "b").alias("diff"))
 
 
-@query()
-def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", documents.hash_embedding(F.col("text")).alias("embedding"))
-
-
 @query("SELECT vec_id, 64 AS dimension, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 5) AS squared FROM embeddings")
 def vector_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors through their binary form and back."""

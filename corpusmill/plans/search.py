@@ -300,6 +300,42 @@ def query_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("item_id", terms.alias("terms"), T.first_hint(F.col("text"), HINTS).alias("hint"))
 
 
+_HOSTED = rf"""
+WITH raw AS (SELECT item_id AS query_id, text AS query, item_id % 20 AS s FROM benchmark),
+q AS (SELECT *, list_filter(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9-]*'), lambda x: len(x) > 1 AND x NOT IN ({_STOPPED})) AS base, {_ADDED} AS added, CASE {_HINT} END AS hint FROM raw),
+q2 AS (SELECT query_id, s, query, hint, base, base || added AS terms FROM q),
+c AS (SELECT doc_id AS chunk_id, split_part(text, chr(10), 1) AS title, source AS citation, source, text, lower(split_part(text, chr(10), 1)) AS t, lower(source) AS ci, lower(text) AS b FROM documents),
+o AS (SELECT query_id, chunk_id, source, hint, (len(list_filter(base, lambda x: contains(t || ' ' || ci || ' ' || b, x))) + len(list_filter(base, lambda x: contains(t, x))) + len(list_filter(base, lambda x: contains(ci, x)))) / len(base) AS score FROM q2, c WHERE len(base) > 0),
+k AS (SELECT * FROM o WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10),
+kh AS (SELECT * FROM o WHERE score > 0 AND source = hint QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10),
+ci AS (SELECT query_id, chunk_id FROM q2 JOIN c ON citation = 'src' || s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 10){_VECTORS},
+v AS (SELECT query_id, chunk_id, score FROM vs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 10),
+lists AS (SELECT query_id, chunk_id, 'keyword' AS kind, score FROM k UNION ALL SELECT query_id, chunk_id, 'keyword', score FROM kh UNION ALL SELECT query_id, chunk_id, 'citation', 1.0 FROM ci UNION ALL SELECT query_id, chunk_id, 'vector', score FROM v),
+m AS (SELECT query_id, chunk_id, sum(score * CASE kind WHEN 'citation' THEN 3.0::DOUBLE WHEN 'keyword' THEN 1.0 ELSE 0.5 END) AS score, list(DISTINCT kind) AS kinds FROM lists GROUP BY ALL),
+g AS (SELECT query_id, chunk_id, score + CASE WHEN list_contains(kinds, 'citation') THEN 10.0 ELSE 0.0 END + CASE WHEN hint = source THEN 2.0 ELSE 0 END AS score, CASE WHEN list_contains(kinds, 'citation') THEN 'citation' WHEN len(kinds) > 1 THEN 'hybrid' ELSE kinds[1] END AS match_type,
+  coalesce(list_sum(list_transform(list_distinct(terms), lambda x: CASE WHEN contains(ci, x) THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN contains(t, x) THEN 2.0 ELSE 0 END + CASE WHEN contains(b, x) THEN 0.5 ELSE 0 END)), 0) AS lexical FROM m JOIN q2 USING (query_id) JOIN c USING (chunk_id)),
+z AS (SELECT query_id, chunk_id, match_type, score + CASE WHEN match_type = 'citation' THEN 100.0 ELSE lexical END - CASE WHEN max(lexical) OVER (PARTITION BY query_id) > 0 AND match_type = 'vector' AND lexical = 0 THEN 5.0 ELSE 0 END AS score FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM z)
+SELECT query_id, chunk_id, match_type, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+
+
+@query(_HOSTED)
+def search_by_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The search by raw scores: a cited source, term overlap with and without the hinted source, and vectors, merged and reranked."""
+    rows, text = chunks(spark, folder), F.col("query")
+    asked = _queries(spark, folder)
+    rules = asked.select("query_id", T.expand_terms(text, EXPANSIONS).alias("terms"), T.first_hint(text, HINTS).alias("hint"))
+    overlap = search.term_overlap(rows, asked, "title", "citation", "text")
+    hinted = overlap.join(rules.select("query_id", "hint"), "query_id").join(rows.select("chunk_id", "source"), "chunk_id").filter("hint = source").select("query_id", "chunk_id", "score")
+    source = F.concat(F.lit("src"), F.col("query_id") % 20)
+    cited = search.exact_matches(rows, rows.select("chunk_id", F.col("citation").alias("normalized_citation"), F.col("citation").alias("display_citation")), asked.select("query_id", source.alias("query"), source.alias("normalized")), 10)
+    kinds = {"keyword": [search.top_k(overlap, 10, "query_id"), search.top_k(hinted, 10, "query_id")], "citation": [cited.withColumn("score", F.lit(1.0))], "vector": [search.vector_top_k(*_vectors(spark, folder), 10, positive=True)]}
+    parts = [df.select("query_id", "chunk_id", F.lit(kind).alias("kind"), "score") for kind, dfs in kinds.items() for df in dfs]
+    lists = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    found = search.search_by_scores(lists, rules, rows, {"citation": 3.0, "keyword": 1.0, "vector": 0.5}, 10)
+    return found.select("query_id", "chunk_id", "match_type", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""
 SELECT d.doc_id, source, coalesce(l.quality = 1, false) AS allowed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang = 'en'
 """)

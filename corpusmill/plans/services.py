@@ -67,7 +67,7 @@ def json_literal_flag(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents), h AS (SELECT doc_id, sha256(word) AS h FROM w),
 s AS (SELECT doc_id, CAST(('0x' || h[1:2])::INTEGER % 64 AS INTEGER) AS slot, sum(CAST(('0x' || h[3:6])::INTEGER AS DOUBLE) / 65535 + 0.01) AS v FROM h GROUP BY ALL)
 SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s""")
-def hash_vectors(spark: SparkSession, folder: str) -> DataFrame:
+def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", F.posexplode(documents.hash_embedding(F.col("text"))).alias("slot", "v"))
     return rows.filter("v <> 0").select("doc_id", "slot", F.round("v", 6).alias("value"))
 
@@ -368,3 +368,11 @@ def source_problems(spark: SparkSession, folder: str) -> DataFrame:
     given, parts = _corpus(spark, folder)
     strict = given.withColumn("minimum_documents", F.lit(2)).withColumn("required_citations", F.when(F.col("slug") == "src3", F.array(F.lit("x"))).otherwise(F.col("required_citations")))
     return corpus.problems(strict.join(parts.select("slug").distinct(), "slug", "left_semi"), parts).select("slug", F.array_join("problems", ",").alias("problems"))
+
+
+@query("SELECT d.doc_id, l.quality = 1 AS keep, 'src' || (d.doc_id % 20) AS source_slug, round(length(text) / 4.0, 2) AS tokens FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND (lang IS NULL OR lang NOT IN ('de', 'fr'))")
+def listed_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of an allowlist whose class isn't among those hidden."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    kept = audit.not_hidden(audit.allowed(rows, "quality", [1]), "lang", ["de", "fr"])
+    return kept.select("doc_id", (F.col("quality") == 1).alias("keep"), F.concat(F.lit("src"), F.col("doc_id") % 20).alias("source_slug"), F.round(F.length("text") / 4, 2).alias("tokens"))

@@ -117,6 +117,32 @@ def export_csv(df: DataFrame, folder: str, columns: list[str], methodology: dict
         _write_text(df.sparkSession, f"{folder}/methodology.json", json.dumps(methodology, sort_keys=True))
 
 
+# The columns of a property export, in order.
+PROPERTY_COLUMNS = [
+    "export_version", "dataset_id", "dataset_url", "connector_version", "fetched_at", "fetch_started_at", "fetch_completed_at", "source_update_time", "cache_status", "stale", "request_scope_json",
+    "loaded_scope_complete", "total_count", "has_more", "continuation_available", "violation_id", "building_id", "registration_id", "borough", "house_number", "street_name", "zip_code", "apartment",
+    "class", "inspection_date", "current_status", "description",
+]
+
+
+def export_properties(records: DataFrame, folder: str, scope: dict[str, object]) -> None:
+    """Property records as CSV in the fixed columns, with what holds for all of them in every row; what is missing is empty."""
+    said = {"export_version": 2} | scope
+    rows = records.withColumns({c: F.lit(str(v).lower() if isinstance(v, bool) else v).cast("string") for c, v in said.items() if c in PROPERTY_COLUMNS and v is not None})
+    export_csv(rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in PROPERTY_COLUMNS)), folder, PROPERTY_COLUMNS)
+
+
+def append_log(rows: DataFrame, folder: str, *ids: str) -> DataFrame:
+    """Appends rows to a log (retrievals, answers, runs, extractions), leaving out those whose id it has; returns the log."""
+    spark = rows.sparkSession
+    fs, to_path = file_system(spark, folder)
+    fresh = rows.dropDuplicates(list(ids))
+    if fs.exists(to_path(folder)):
+        fresh = fresh.join(spark.read.parquet(folder).select(*ids), list(ids), "left_anti")
+    fresh.write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def export_json(df: DataFrame, folder: str) -> None:
     df.write.json(folder)
 

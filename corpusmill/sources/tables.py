@@ -45,6 +45,29 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("content_hash", F.sha2("content", 256)).withColumn("media_type", kind)
 
 
+MANIFESTS = (
+    "slug string, name string, source_type string, publisher string, jurisdiction string, source_url string, parser_version string, pack_id string, minimum_documents int, required_citations array<string>, query_terms array<string>"
+)
+CASES = ("id string, query string, question string, expected_citations array<string>, relevant_citations array<string>, category string, expected_empty boolean, filters struct<jurisdiction:string,source_type:string,source_slug:string>")
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Source manifests from JSON files, one object or a list in each, with a version, no origin but core and models allowed."""
+    rows = spark.read.schema(MANIFESTS).option("multiLine", True).json(path)
+    return rows.withColumns({"origin": F.lit("core"), "model_use_allowed": F.lit(True), "minimum_documents": F.coalesce("minimum_documents", F.lit(1)), "required_citations": F.coalesce("required_citations", F.array().cast("array<string>"))})
+
+
+def cases(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
+    """Evaluation cases from a JSON list. An error if there are too few, ids repeat, or one has neither a query nor what is expected of it."""
+    rows = spark.read.schema(CASES).option("multiLine", True).json(path)
+    expected = F.size(F.coalesce("expected_citations", "relevant_citations", F.array().cast("array<string>"))) > 0
+    sound = F.col("id").isNotNull() & (F.coalesce("query", "question", F.lit("")) != "") & (expected | F.coalesce("expected_empty", F.lit(False)))
+    n, ids, bad = rows.agg(F.count("*"), F.count_distinct("id"), F.count_if(~F.coalesce(sound, F.lit(False)))).first()
+    if n < least or ids < n or bad:
+        raise ValueError(f"The cases are refused: {n} of at least {least}, {n - ids} repeated ids, {bad} incomplete.")
+    return rows
+
+
 def jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
     """A table of a database, read in ranges of a numeric column."""
     bounds = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}

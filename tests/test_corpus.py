@@ -99,3 +99,22 @@ def test_resources(spark, tmp_path):
     assert [r["stable_id"] for r in corpus.preview(spark, folder, added["version_id"], 1, "s1").collect()] == ["s2"]
     corpus.export_bundle(spark, folder, f"file://{tmp_path}/bundle")
     assert spark.read.parquet(f"file://{tmp_path}/bundle/modules").filter("origin = 'user'").count() == 0 and spark.read.parquet(f"file://{tmp_path}/bundle/members").count() == 3
+
+
+def test_indexing_goes_on_and_activates_when_whole(spark, tmp_path):
+    folder = f"file://{tmp_path}/corpus"
+    corpus.install(spark, folder, manifests(spark, "code", "guide"), sections(spark), at(1), ["code"])
+    vector = T.seed_embedding(F.col("text"), 4)
+    before = corpus.status(spark, folder)["generation"]
+    part = corpus.index_active(spark, folder, F.when(F.col("text").contains("311"), vector))
+    assert part["readiness"] == "hybrid_partial" and corpus.status(spark, folder)["generation"] == before and corpus.to_embed(spark, folder).count() == 2
+    whole = corpus.index_active(spark, folder, vector, batches=2)
+    assert whole["readiness"] == "hybrid_ready" and corpus.status(spark, folder)["generation"] == whole["generation"] and corpus.to_embed(spark, folder).isEmpty()
+
+
+def test_records_of_another_store(spark, tmp_path):
+    columns = "slug string, name string, source_type string, publisher string, jurisdiction string, source_url string, content_hash string, retrieved_at string, document string, document_title string, document_url string, section_key string, citation string, title string, text string, place int"
+    row = lambda h, day, key, text, n: ("code", "Code", "law", "City", "nyc", "u", h, day, "d", "D", "u", key, "27-2005", "T", text, n)
+    given, parts = corpus.from_records(spark.createDataFrame([row("h1", "2024-01-01", "s1", "old", 0), row("h2", "2024-01-02", "s1", "new", 0), row("h2", "2024-01-02", "s1", "again", 1), row("h2", "2024-01-02", "s2", "more", 2)], columns))
+    assert sorted(r["text"] for r in parts.collect()) == ["more", "new"]
+    assert corpus.install(spark, f"file://{tmp_path}/c", given, parts, at(2), ["code"])["chunks"] == 2

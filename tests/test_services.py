@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import plans
 from corpusmill.operators import audit, ledger, matters, relations
-from corpusmill.sources import sinks
+from corpusmill.sources import sinks, tables
 from corpusmill.streaming import ingest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -104,6 +104,29 @@ def test_backups_leave_private_tables_out_and_notice_changes(spark, tmp_path):
     assert "".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*"))).startswith("## A b\n\nx\n")
 
 
+def test_readers_and_exports(spark, tmp_path):
+    import csv
+    import json
+
+    (tmp_path / "m.json").write_text(json.dumps([{"slug": "a", "required_citations": ["x"], "other": 1}, {"slug": "b"}]))
+    assert sorted((r["slug"], r["minimum_documents"], tuple(r["required_citations"])) for r in tables.manifests(spark, f"file://{tmp_path}/m.json").collect()) == [("a", 1, ("x",)), ("b", 1, ())]
+    good = [{"id": str(i), "query": "q", "expected_citations": ["c"]} for i in range(2)] + [{"id": "e", "query": "q", "expected_empty": True}]
+    for name, cases, ok in (("good", good, True), ("few", good[:1], False), ("twice", [*good, good[0]], False), ("bare", [*good, {"id": "z", "query": "q"}], False)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(cases))
+        if ok:
+            assert tables.cases(spark, f"file://{tmp_path}/{name}.json", 2).count() == 3
+        else:
+            with pytest.raises(ValueError, match="refused"):
+                tables.cases(spark, f"file://{tmp_path}/{name}.json", 2)
+    records = spark.createDataFrame([("1", "=2", None)], "violation_id string, description string, borough string").coalesce(1)
+    sinks.export_properties(records, f"file://{tmp_path}/csv", {"dataset_id": "d", "stale": False, "total_count": None})
+    (row,) = csv.DictReader(next((tmp_path / "csv" / "rows").glob("part-*")).open())
+    assert len(row) == 27 and (row["export_version"], row["dataset_id"], row["stale"], row["total_count"], row["description"], row["borough"]) == ("2", "d", "false", "", "'=2", "")
+    log = f"file://{tmp_path}/log"
+    sinks.append_log(spark.createDataFrame([(1, "a"), (1, "a")], "id int, q string"), log, "id")
+    assert rows(sinks.append_log(spark.createDataFrame([(1, "b"), (2, "c")], "id int, q string"), log, "id")) == [(1, "a"), (2, "c")]
+
+
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     for i in range(3):
