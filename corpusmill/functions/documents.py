@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from corpusmill.operators.audit import range_sections
+
 SKIPPED = ("script", "style", "noscript", "nav", "header", "footer", "svg")
 HEADINGS = ("h1", "h2", "h3", "h4")
 TARGET_CHARS, MOST_CHARS, MOST_BYTES = 2500, 3000, 7500
@@ -177,20 +179,43 @@ def decode_vector(blobs: pd.Series) -> pd.Series:
     return blobs.map(one)
 
 
+def checked_vectors(rows: DataFrame, dimension: int) -> DataFrame:
+    """``rows`` with vector and fault: what is stored as bytes, decoded, or why it can't be used. All but decoding is done on the bytes.
+
+    ``rows``: vector_bytes, dimension, dtype, normalized, checksum and more. Faults: not_normalized, dtype, dimension,
+    checksum, not_finite.
+    """
+    fault = (
+        F.when(~F.coalesce("normalized", F.lit(False)), "not_normalized")
+        .when(~F.col("dtype").eqNullSafe("float32-le"), "dtype")
+        .when((F.col("dimension") != dimension) | (F.coalesce(F.length("vector_bytes"), F.lit(-1)) != 4 * dimension), "dimension")
+        .when(~F.sha2("vector_bytes", 256).eqNullSafe(F.col("checksum")), "checksum")
+    )
+    found = rows.withColumn("fault", fault).withColumn("vector", decode_vector(F.when(F.col("fault").isNull(), F.col("vector_bytes"))))
+    return found.withColumn("fault", F.when(F.col("fault").isNull() & F.col("vector").isNull(), "not_finite").otherwise(F.col("fault")))
+
+
 @F.pandas_udf(BinaryType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
 def xml_sections(archives: DataFrame, content: str, *keys: str) -> DataFrame:
-    """Sections of the XML members of ZIP archives: LEVEL elements of style Section, their heading and paragraphs."""
+    """Sections of the XML members of ZIP archives: LEVEL elements of style Section, their heading and paragraphs.
+
+    Members that aren't sound XML give none.
+    """
     kind = ArrayType(StructType([StructField("member", StringType()), StructField("heading", StringType()), StructField("text", StringType())]))
 
     def one(blob: bytes | None) -> list[dict]:
         out = []
         with zipfile.ZipFile(io.BytesIO(blob)) as archive:
             for name in sorted(n for n in archive.namelist() if n.lower().endswith(".xml")):
-                for level in ET.fromstring(archive.read(name)).iter("LEVEL"):
+                try:
+                    body = ET.fromstring(archive.read(name))
+                except ET.ParseError:
+                    continue
+                for level in body.iter("LEVEL"):
                     if level.get("style-name") == "Section":
                         heading = " ".join(" ".join(h.itertext()) for h in level.iter("HEADING"))
                         paragraphs = [" ".join("".join(p.itertext()).split()) for p in level.iter("PARA")]
@@ -204,6 +229,18 @@ def xml_sections(archives: DataFrame, content: str, *keys: str) -> DataFrame:
     return archives.select(*keys, F.inline(parse(F.col(content))))
 
 
+def archive_range(archives: DataFrame, content: str, first: str, last: str) -> DataFrame:
+    """Sections of the XML in archives whose number lies between two numbers, both included: citation, title, text, in order.
+
+    A heading reads like "§ 26-501 Title."; of sections with one number the longest text stays, and broken XML gives none.
+    """
+    rows = xml_sections(archives, content)
+    number = F.regexp_extract("heading", r"(\d+-\d+(?:\.\d+)*)", 1)
+    title = F.regexp_replace("heading", r"^.*?\d+-\d+(?:\.\d+)*\s*", "")
+    named = rows.filter(number != "").select(number.alias("citation"), title.alias("title"), "text", F.monotonically_increasing_id().alias("place"))
+    return range_sections(named, first, last).select("citation", "title", "text")
+
+
 def batches_by_budget(rows: DataFrame, text: str, most_rows: int, most_chars: int) -> DataFrame:
     """Rows numbered by greedy batches within each partition: at most so many rows and, unless alone, characters."""
     schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])

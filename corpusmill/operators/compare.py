@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,10 +15,10 @@ from pyspark.sql.types import StringType
 from corpusmill.functions.text import collapse
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode normal form C, for which there is no built-in function."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.arrow_udf(StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Unicode normal form C, for which Spark has no built-in function; Arrow's own works on whole columns."""
+    return pc.utf8_normalize(texts, form="NFC")
 
 
 @F.pandas_udf(StringType())
@@ -40,7 +41,10 @@ def canonical_key(citation: Column, document: Column, stable: Column) -> Column:
 
 
 def sections(chunks: DataFrame, key: str, order: str) -> DataFrame:
-    """Chunks of one key as one section: ids and titles in order, texts joined by line ends, and a hash of the text."""
+    """Chunks of one key as one section: ids and titles in order, texts joined by line ends, and a hash of the text.
+
+    The key names one section of one document, whose chunks are as many as it takes to print it; they fit a row.
+    """
     members = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "chunk_id", "title", "text")))
     grouped = chunks.groupBy(F.col(key).alias("section_key")).agg(members.alias("m"))
     titles = F.array_distinct(F.filter("m.title", lambda t: t.isNotNull() & (t != "")))
@@ -98,3 +102,9 @@ def impacts(items: DataFrame, changed: DataFrame, reviews: DataFrame) -> DataFra
     hit = items.select("item_id", F.explode(F.array_distinct("chunk_ids")).alias("chunk_id")).join(changed.select("chunk_id").distinct(), "chunk_id")
     found = hit.groupBy("item_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("matching_chunk_ids"))
     return found.join(reviews.groupBy("item_id").agg(F.max("reviewed_at").alias("reviewed_at")), "item_id", "left")
+
+
+def shown(changes: DataFrame, key: str, classes: list[str] | None = None, hide_unchanged: bool = True) -> DataFrame:
+    """Changes of some classes, or of all, without those that changed nothing if asked, by key."""
+    kept = changes.filter(F.col("classification") != "unchanged") if hide_unchanged else changes
+    return (kept.filter(F.col("classification").isin(classes)) if classes else kept).orderBy(key)

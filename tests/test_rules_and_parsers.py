@@ -167,3 +167,34 @@ def test_expectations_and_runs(spark):
     first = answers.report_digest(checks, "run", "ok", "g").collect()
     again = answers.report_digest(checks.repartition(5).orderBy(F.desc("run")), "run", "ok", "g").collect()
     assert sorted(map(tuple, first)) == sorted(map(tuple, again)) and len({r["digest"] for r in first}) == 3
+
+
+def test_checked_vectors(spark):
+    import struct
+
+    raw = struct.pack("<2f", 0.6, 0.8)
+    bad = struct.pack("<2f", float("nan"), 1)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [(0, raw, 2, "float32-le", True, digest(raw)), (1, raw, 2, "float32-le", False, digest(raw)), (2, raw, 2, "f8", True, digest(raw)), (3, raw[:4], 2, "float32-le", True, digest(raw)), (4, raw, 2, "float32-le", True, "x"), (5, bad, 2, "float32-le", True, digest(bad)), (6, None, 2, "float32-le", True, None)]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b), *r) for i, b, *r in rows], "id int, vector_bytes binary, dimension int, dtype string, normalized boolean, checksum string")
+    got = {r["id"]: (r["fault"], r["vector"]) for r in documents.checked_vectors(df, 2).collect()}
+    assert got[0] == (None, [pytest.approx(0.6), pytest.approx(0.8)]) and [got[i][0] for i in range(1, 7)] == ["not_normalized", "dtype", "dimension", "checksum", "not_finite", "dimension"]
+
+
+def test_sections_of_a_range_from_archives(spark):
+    import io
+    import zipfile
+
+    level = lambda n, text: f'<LEVEL style-name="Section"><RECORD><HEADING>§ {n} Title {n}.</HEADING></RECORD><PARA>{text}</PARA></LEVEL>'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("a.xml", f"<DOC>{level('26-501', 'short')}{level('26-520.1', 'beyond')}{level('26-501.2', 'two')}</DOC>")
+        z.writestr("b.XML", f"<DOC>{level('26-501', 'a longer text')}{level('26-520', 'last')}{level('27-1', 'other')}</DOC>")
+        z.writestr("broken.xml", "<DOC>")
+    archive = spark.createDataFrame([(bytearray(buffer.getvalue()),)], "c binary")
+    assert [tuple(r) for r in documents.archive_range(archive, "c", "26-501", "26-520").collect()] == [("26-501", "Title 26-501.", "a longer text"), ("26-501.2", "Title 26-501.2.", "two"), ("26-520", "Title 26-520.", "last")]
+
+
+def test_shown_changes(spark):
+    rows = spark.createDataFrame([("b", "added"), ("a", "removed"), ("c", "unchanged")], "k string, classification string")
+    assert [r["k"] for r in compare.shown(rows, "k").collect()] == ["a", "b"] and [r["k"] for r in compare.shown(rows, "k", ["added", "unchanged"], False).collect()] == ["b", "c"]
