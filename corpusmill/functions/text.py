@@ -218,11 +218,11 @@ def embedding_segments(text: Column, limit: int) -> Column:
 
 def seed_embedding(text: Column, dimension: int) -> Column:
     """A deterministic vector of length 1 from the bytes of the text's hash, over and over; for tests without a model."""
-    digest = F.sha2(text, 256)
-    value = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1
-    values = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value)
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(values, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    value = lambda digest, i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1
+    many = F.sequence(F.lit(0), F.lit(dimension - 1))
+    values = F.transform(F.array(F.sha2(text, 256)), lambda digest: F.transform(many, lambda i: value(digest, i)))  # the hash and the length are computed once
+    scaled = F.transform(values, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+    return F.transform(scaled, lambda s: F.transform(s["v"], lambda x: x / F.when(s["norm"] == 0, 1.0).otherwise(s["norm"])))[0]
 
 
 def locator_label(locator: Column) -> Column:
