@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.sources.shared import new_folder, remove_folder, shared_folder
 
-__all__ = ["chunks", "cut", "fresh", "held_out", "new_folder", "picked", "portions", "remove_folder", "small", "table"]
+__all__ = ["by_portion", "chunks", "cut", "fresh", "held_out", "new_folder", "picked", "portions", "remove_folder", "small", "table"]
 
 #: Characters of text that one step of a vectorised operator works on; a longer document is a step of its own.
 CHUNK_CHARS = 1 << 20
@@ -60,6 +60,12 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PORTION)
 
 
+def by_portion(texts: pa.Array, f: Callable[[list[str | None]], list], kind: pa.DataType) -> pa.Array:
+    """``f`` of the texts, of at most ``PORTION`` at a time: the body of an Arrow function of a column of texts."""
+    parts = [pa.array(f(texts.slice(at, PORTION).to_pylist()), kind) for at in range(0, len(texts), PORTION)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters each; no text is split."""
     start = size = 0

@@ -21,14 +21,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusmill.llm.common import chunks, cut, picked, portions
+from corpusmill.llm.common import by_portion, chunks, cut, picked, portions
 
 K1, B = 1.2, 0.75
 #: Least mean share of the question's and the answer's 5-grams that a passage must hold.
@@ -397,11 +396,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -
 
 
 def _clean(group: Broadcast):
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = None
-        for texts in batches:
-            items = items or Benchmark(group.value)
-            yield pd.Series([not found for found in items.leaks([t if isinstance(t, str) else None for t in texts])], dtype=bool)
+    held: list[Benchmark] = []  # filled once in a worker
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Benchmark(group.value))
+        return by_portion(texts, lambda part: [not found for found in held[0].leaks(part)], pa.bool_())
 
     return clean

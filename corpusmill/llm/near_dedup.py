@@ -13,14 +13,13 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from corpusmill.llm.common import cut, fresh, picked
+from corpusmill.llm.common import by_portion, cut, fresh, picked
 from corpusmill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -50,10 +49,10 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint_udf(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def fingerprint_udf(texts: pa.Array) -> pa.Array:
     """The fingerprint's 64 bits as a signed integer."""
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+    return by_portion(texts, lambda part: np.array([fingerprint(t) for t in part], dtype=np.uint64).view(np.int64), pa.int64())
 
 
 def _tables(n: int) -> list[int]:

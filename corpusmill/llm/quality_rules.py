@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, picked, portions
+from corpusmill.llm.common import by_portion, chunks, picked, portions
 
 #: n-gram length in words -> largest share of the word characters that repeated n-grams of this length may cover.
 LIMITS = {5: 0.40, 8: 0.35, 12: 0.30}
@@ -151,10 +150,9 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     Rows with a null or empty text go; repeated rows stay or go together; an empty table gives an empty one.
     """
 
-    @F.pandas_udf("boolean")
-    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series(measure([None if t is None or t != t else t for t in part])["kept"])
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        return by_portion(texts, lambda part: measure(part)["kept"], pa.bool_())
 
     return docs.filter(kept(F.col(text)))
 
