@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontamination, language_id, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts, token_output
+from corpusmill.llm import (
+    centroid_clusters,
+    decontamination,
+    language_id,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    pii,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    token_output,
+    url_filters,
+)
 from corpusmill.llm.common import table
 
 
@@ -61,7 +75,42 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings after ten rounds. See ``centroid_clusters.clustered`` for nulls, ties and few vectors."""
+    return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of which are made periodic; null texts have none. See ``periodic_runs.periodic_runs``."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; a null url has an empty host and path. See ``url_filters.filter_urls``."""
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_model, op2_personal_data, op3_token_counts, op4_quality_rules, op5_language_id, op6_token_output, op7_decontamination, op8_near_dedup, op9_secret_scan, op10_mix_sources)
+    f.__name__: f
+    for f in (
+        op1_quality_model,
+        op2_personal_data,
+        op3_token_counts,
+        op4_quality_rules,
+        op5_language_id,
+        op6_token_output,
+        op7_decontamination,
+        op8_near_dedup,
+        op9_secret_scan,
+        op10_mix_sources,
+        op11_centroid_clusters,
+        op12_periodic_runs,
+        op13_url_filters,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality_rules.SQL,
+    "op10_mix_sources": mixing.SQL,
+    "op11_centroid_clusters": centroid_clusters.sql(),
+    "op13_url_filters": url_filters.sql(),
 }
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL, "op10_mix_sources": mixing.SQL}
