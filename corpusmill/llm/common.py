@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.sources.shared import new_folder, remove_folder, shared_folder
 
-__all__ = ["by_portion", "chunks", "cut", "fresh", "held_out", "new_folder", "picked", "portions", "remove_folder", "small", "table"]
+__all__ = ["by_portion", "chunks", "cut", "fresh", "held_out", "mixed", "new_folder", "picked", "portions", "remove_folder", "small", "table"]
 
 #: Characters of text that one step of a vectorised operator works on; a longer document is a step of its own.
 CHUNK_CHARS = 1 << 20
@@ -78,6 +79,17 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+_GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit value that looks random for each number."""
+    x = x.astype(np.uint64) + _GOLDEN
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
 #: Bytes, as JSON, up to which a table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 8_000_000
 

@@ -1,33 +1,41 @@
 """Benchmark decontamination: passages of the corpus search an inverted BM25 index of the benchmark items.
 
-The index holds postings by term, with their largest impact in each of a few ranges of items and in each short block.
-Sums of the range maxima tell in which ranges a passage is worth searching. There block-max WAND runs for many passages
-side by side: the lists of a passage are ordered by the item they stand at, the first item that the lists up to it could
-lift to the threshold is the pivot, and the lists before it skip to the pivot, or beyond the blocks that can't reach it.
+The terms of the index are word 5-grams: what makes an item leak is that a passage holds its 5-grams, and a corpus in the
+items' own language shares few of these with them, while it shares nearly all of their words. A table of bits tells which
+5-grams of a text any item has, so the cost of a text doesn't grow with the benchmark. Those that are left meet postings
+with their largest impact in each short block. Where the largest impacts of a passage's terms add up to the threshold,
+block-max WAND runs for many passages side by side: the lists of a passage are ordered by the item they stand at, the
+first item that the lists up to it could lift to the threshold is the pivot, and the lists before it skip to the pivot,
+or beyond the blocks that can't reach it.
 
 What is found is verified by the word 5-grams of the item's question and answer that the passage holds. The threshold
-follows from that rule: for each item it is a lower bound of the BM25 score of any passage that would pass, so the search
-loses none. Impacts are divided by it, and one threshold of 1 serves all items. The index is built in tasks and broadcast
-in groups of a bounded number of characters; documents are not shuffled.
+follows from that rule: for each item it is the least BM25 score of any passage that would pass, so the search loses none.
+Impacts are divided by it, and one threshold of 1 serves all items.
+
+The index is built and written by tasks, in groups of items, to files in the shared folder, which workers map where it is
+a disk. All groups are searched in one pass over the documents, which are cut into words once and not shuffled.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusmill.llm.common import by_portion, chunks, cut, picked, portions
+from corpusmill.llm.common import by_portion, chunks, cut, mixed, new_folder, picked, portions
+from corpusmill.llm.token_output import _settings, store_of
 
 K1, B = 1.2, 0.75
 #: Least mean share of the question's and the answer's 5-grams that a passage must hold.
@@ -37,10 +45,13 @@ GRAM = 5
 SHORT = 12
 #: Words of a segment, at least; a passage is two segments, and a segment is as long as the longest item of its index.
 MIN_SEGMENT = 32
-#: Postings in a block, and ranges of items in an index.
-BLOCK, RANGES = 16, 32
-#: Characters of benchmark text in one broadcast. A larger benchmark is searched in blocks of about so many.
+#: Postings in a block.
+BLOCK = 16
+#: Characters of benchmark text in one group, which one task builds. Groups change no result.
 GROUP_CHARS = 8_000_000
+#: Bits of the table for each 5-gram of the benchmark; bits of a part of it, which one task makes; and bits at most, 64 MB:
+#: of a benchmark beyond 16 million 5-grams more of what the table lets through is looked up in vain, nothing is lost.
+BITS, PART_BITS, MOST_BITS = 32, 23, 29
 #: (passage, list) cells that WAND moves side by side.
 CELLS = 1 << 17
 #: Sums of 32-bit impacts may fall short of the threshold by so much.
@@ -94,121 +105,134 @@ def overlaps(ws: list, split: int, passage: list) -> tuple[float, float]:
 
 
 def least_score(ws: list, split: int, impact: dict) -> float:
-    """A lower bound of the impacts of the words in any passage that holds enough of the item.
+    """A lower bound of the impacts of the 5-grams in any passage that holds enough of the item.
 
-    Each word's impact is dealt out evenly over the 5-grams that it stands in; what a passage's 5-grams were dealt is at
-    most the impact of its words. The cheapest 5-grams that are enough together, the last one in part, give the bound.
+    Each 5-gram is worth its shares of the question and of the answer; those that cost least for what they are worth and
+    are enough together, the last one in part, give the bound.
     """
-    both = halves(ws, split)
-    holders = Counter(w for half in both for g in half for w in set(g))
-    priced = sorted((len(half) * sum(impact[w] / holders[w] for w in set(g)), 1 / len(half)) for half in both for g in half)
-    need, total = 2 * OVERLAP if len(ws) >= SHORT else 2.0, 0.0
-    for price, credit in priced:
-        part = min(credit, need)
+    if len(ws) < SHORT:
+        return sum(impact.values()) * (1 - 1e-6)
+    question, answer = halves(ws, split)
+    worth = {g: (g in question) / len(question) + (g in answer) / len(answer) for g in question | answer}
+    need, total = 2 * OVERLAP, 0.0
+    for price, g in sorted((impact[g] / w, g) for g, w in worth.items()):
+        part = min(worth[g], need)
         total, need = total + price * part, need - part
         if need <= 1e-12:
             break
     return total * (1 - 1e-6)
 
 
+def gram_keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of each run of n words, given the words' hashes."""
+    out = mixed(hashes[: max(len(hashes) - n + 1, 0)] + np.uint64(n))
+    for i in range(1, n):
+        out = mixed(out ^ hashes[i : len(out) + i])
+    return out
+
+
+def word_hashes(ws: Iterator[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), dtype=np.uint64, count=n)
+
+
 @dataclass
 class Index:
-    """Items of like length. Postings of a term are those from start[term] to start[term + 1], by item; impacts are over the threshold."""
+    """Items of like length. Postings of a term are those from start[term] to start[term + 1], by item; impacts are over the threshold.
+
+    key: the terms' keys, ascending; words: the items' words, those of item i from edge[i] to edge[i + 1].
+    """
 
+    gram: int
     segment: int
-    ids: list
-    words: np.ndarray
+    ids: pa.Array
+    words: pa.Array
     edge: np.ndarray
     split: np.ndarray
     least: np.ndarray
+    key: np.ndarray
     start: np.ndarray
     item: np.ndarray
     impact: np.ndarray
-    block_start: np.ndarray = field(init=False)
-    block_last: np.ndarray = field(init=False)
-    block_max: np.ndarray = field(init=False)
-    term_max: np.ndarray = field(init=False)
-    bounds: np.ndarray = field(init=False)
-    range_max: np.ndarray = field(init=False)
-    key: np.ndarray = field(init=False)
-    block_key: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        sizes = np.diff(self.start)
-        n_blocks = -(-sizes // BLOCK)
-        self.block_start = np.concatenate([[0], np.cumsum(n_blocks)])
-        term_of = np.repeat(np.arange(len(sizes)), n_blocks)
-        first = self.start[term_of] + BLOCK * (np.arange(len(term_of)) - self.block_start[term_of])
-        self.block_last = self.item[np.minimum(first + BLOCK, self.start[term_of + 1]) - 1].astype(np.int64)
-        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else self.impact[:0]
-        n, terms = len(self.ids), np.repeat(np.arange(len(sizes)), sizes)
-        self.bounds = np.arange(min(RANGES, n) + 1) * n // max(min(RANGES, n), 1)  # the items of range r are those from bounds[r] to bounds[r + 1]
-        self.range_max = np.zeros((len(sizes), min(RANGES, n)), dtype=np.float32)
-        np.maximum.at(self.range_max, (terms, np.searchsorted(self.bounds, self.item, side="right") - 1), self.impact)
-        self.term_max = self.range_max.max(axis=1, initial=0)
-        self.key = terms * (n + 1) + self.item
-        self.block_key = term_of * (len(self.ids) + 1) + self.block_last
-
-    def words_of(self, item: int) -> list[int]:
-        return self.words[self.edge[item] : self.edge[item + 1]].tolist()
-
-
-def build(items: list[tuple], df: dict[bytes, int], n_items: int, mean_length: float) -> tuple[list[bytes], list[dict]]:
-    """Vocabulary and the fields of an ``Index`` for each class of lengths. items: (id, text); the statistics are the whole benchmark's."""
-    vocabulary: dict[bytes, int] = {}
-    classes: dict[int, list] = {}
+    term_max: np.ndarray
+    block_start: np.ndarray
+    block_key: np.ndarray
+    block_last: np.ndarray
+    block_max: np.ndarray
+    place: np.ndarray
+
+    def words_of(self, item: int) -> list[bytes]:
+        return self.words[int(self.edge[item]) : int(self.edge[item + 1])].to_pylist()
+
+
+def build(items: list[tuple], df: dict[int, int], n_items: int, mean_length: float) -> list[dict]:
+    """The fields of an ``Index`` for each class of lengths. items: (id, text); ``df`` by key; the statistics are the whole benchmark's."""
+    classes: dict[tuple, list] = {}
     for item_id, text in items:
         question, answer = parts(text)
         ws = question + answer
-        counts = Counter(ws)
-        impact = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean_length)) for w, n in counts.items()}
-        own = sum(impact.values())
-        least = least_score(ws, len(question), impact)
-        numbers = {w: vocabulary.setdefault(w, len(vocabulary)) for w in impact}
+        n = min(len(ws), GRAM)
+        keys = gram_keys(word_hashes(iter(ws), len(ws)), n).tolist()
+        gram_of = {tuple(ws[i : i + n]): k for i, k in enumerate(keys)}
+        impact = {k: math.log(1 + (n_items - df[k] + 0.5) / (df[k] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(keys) / mean_length)) for k, c in Counter(keys).items()}
+        least = least_score(ws, len(question), {g: impact[k] for g, k in gram_of.items()})
         segment = max(MIN_SEGMENT, 1 << (len(ws) - 1).bit_length())
-        classes.setdefault(segment, []).append((item_id, [numbers[w] for w in ws], len(question), least / own, [(numbers[w], x / least) for w, x in impact.items()]))
+        classes.setdefault((n, segment), []).append((item_id, ws, len(question), least / sum(impact.values()), [(k, x / least) for k, x in impact.items()]))
     out = []
-    for segment, rows in sorted(classes.items()):
+    for (n, segment), rows in sorted(classes.items()):
         rows.sort(key=lambda r: (len(r[1]), r[1]))
-        posted = sorted((term, i, x) for i, r in enumerate(rows) for term, x in r[4])
-        terms = np.array([p[0] for p in posted], dtype=np.int64)
+        posted = sorted((k, i, x) for i, r in enumerate(rows) for k, x in r[4])
+        key, begin = np.unique(np.array([p[0] for p in posted], dtype=np.uint64), return_index=True)
+        start = np.append(begin, len(posted)).astype(np.int64)
+        item, impact = np.array([p[1] for p in posted], dtype=np.int32), np.array([p[2] for p in posted], dtype=np.float32)
+        n_blocks = -(-np.diff(start) // BLOCK)
+        block_start = np.concatenate([[0], np.cumsum(n_blocks)])
+        term_of = np.repeat(np.arange(len(key)), n_blocks)
+        first = start[term_of] + BLOCK * (np.arange(len(term_of)) - block_start[term_of])
+        block_last = item[np.minimum(first + BLOCK, start[term_of + 1]) - 1].astype(np.int64)
         out.append({
+            "gram": n,
             "segment": segment,
             "ids": [r[0] for r in rows],
-            "words": np.array([w for r in rows for w in r[1]], dtype=np.int32),
+            "words": [w for r in rows for w in r[1]],
             "edge": np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]),
             "split": np.array([r[2] for r in rows], dtype=np.int32),
             "least": np.array([r[3] for r in rows]),
-            "start": np.searchsorted(terms, np.arange(len(vocabulary) + 1)),
-            "item": np.array([p[1] for p in posted], dtype=np.int32),
-            "impact": np.array([p[2] for p in posted], dtype=np.float32),
+            "key": key,
+            "start": start,
+            "item": item,
+            "impact": impact,
+            "term_max": np.maximum.reduceat(impact, begin),
+            "block_start": block_start,
+            "block_key": term_of * (len(rows) + 1) + block_last,
+            "block_last": block_last,
+            "block_max": np.maximum.reduceat(impact, first),
+            "place": np.repeat(np.arange(len(key)), np.diff(start)) * (len(rows) + 1) + item,
         })
-    return list(vocabulary), out
+    return out
 
 
-def wand(edge: np.ndarray, terms: np.ndarray, ranges: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item and score of all that reach the threshold. Row p is a passage with the different terms from edge[p] to edge[p + 1], and a range of items."""
+def wand(edge: np.ndarray, terms: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item and score of all that reach the threshold. Row p is a passage with the different terms from edge[p] to edge[p + 1]."""
     n, reach = len(index.ids), 1 - SLACK
     found = []
     rows = np.arange(len(edge) - 1)
     place = np.arange(int(np.diff(edge).max(initial=0)))[None, :]
     real = place < np.diff(edge)[:, None]
     term = np.where(real, terms[np.minimum(edge[:-1, None] + place, max(len(terms) - 1, 0))], 0)
-    most = np.where(real, index.range_max[term, ranges[:, None]], np.float32(0))
-    end = index.bounds[ranges + 1]
+    most = np.where(real, index.term_max[term], np.float32(0))
 
-    def item_at(post: np.ndarray, term: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where a list stands; the end of the row's range if it has no more."""
-        return np.where(post < index.start[term + 1], np.minimum(index.item[np.minimum(post, len(index.item) - 1)], end), end)
+    def item_at(post: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Where a list stands; n if it has no more."""
+        return np.where(post < index.start[term + 1], index.item[np.minimum(post, len(index.item) - 1)], n)
 
-    at = np.where(real, item_at(np.searchsorted(index.key, term * (n + 1) + index.bounds[ranges][:, None]), term, end[:, None]), end[:, None])
+    at = np.where(real, item_at(index.start[term], term), n)
     while len(rows):
         order = np.argsort(at, axis=1)
         reached = np.cumsum(np.take_along_axis(most, order, axis=1), axis=1) >= reach
         pivot = np.take_along_axis(at, np.take_along_axis(order, reached.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
-        alive = reached[:, -1] & (pivot < end)
+        alive = reached[:, -1] & (pivot < n)
         if not alive.all():
-            rows, term, most, at, pivot, end = (x[alive] for x in (rows, term, most, at, pivot, end))
+            rows, term, most, at, pivot = (x[alive] for x in (rows, term, most, at, pivot))
             if not len(rows):
                 break
         r, c = np.nonzero(at <= pivot[:, None])
@@ -221,14 +245,14 @@ def wand(edge: np.ndarray, terms: np.ndarray, ranges: np.ndarray, index: Index)
         beyond = np.where(at > pivot[:, None], at, n).min(axis=1)
         np.minimum.at(beyond, r, np.where(more, index.block_last[block] + 1, n))
         target = np.where(good, pivot, beyond)[r]
-        post = np.searchsorted(index.key, t * (n + 1) + target)
+        post = np.searchsorted(index.place, t * (n + 1) + target)
         inside = post < index.start[t + 1]
-        post = np.minimum(post, len(index.key) - 1)
+        post = np.minimum(post, len(index.place) - 1)
         hit = inside & good[r] & (index.item[post] == d)
         score = np.bincount(r, np.where(hit, index.impact[post], 0), len(rows))
         best = np.flatnonzero(good & (score >= reach))
         found.append((rows[best], pivot[best], score[best]))
-        at[r, c] = item_at(np.where(inside, post + hit, index.start[t + 1]), t, end[r])
+        at[r, c] = item_at(np.where(inside, post + hit, index.start[t + 1]), t)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -239,83 +263,123 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def search(n_words: np.ndarray, term: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, float]]:
+def search(n_words: np.ndarray, at: np.ndarray, keys: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, float]]:
     """(document, first word of the passage, item, score) of all passages and items at the threshold or above.
 
-    ``term``: the documents' words, one after the other, as positions in the vocabulary or -1. Passages start at every
-    segment, so that any copy of an item lies inside one.
+    ``at`` and ``keys``: places among the documents' words, one document after the other, of terms that may be the index's.
+    Passages start at every segment, so that any copy of an item lies inside one; they hold the terms that end in them.
     """
+    term = np.minimum(np.searchsorted(index.key, keys), len(index.key) - 1)
+    known = index.key[term] == keys
+    at, term = at[known], term[known]
     n_segments = -(-n_words // index.segment)
     base = np.cumsum(n_segments) - n_segments
-    known = np.flatnonzero((term >= 0) & (index.term_max[term] > 0)) if len(index.term_max) else np.zeros(0, np.int64)
     ends = np.cumsum(n_words)
-    doc = np.searchsorted(ends, known, side="right")
-    place = known - (ends - n_words)[doc]
-    segment, term = base[doc] + place // index.segment, term[known]
-    size, n_terms = int(n_segments.sum()), max(len(index.term_max), 1)
-    earlier = place >= index.segment  # these words stand in the passage that starts a segment before, too
-    pairs = np.concatenate([segment * n_terms + term, (segment[earlier] - 1) * n_terms + term[earlier]])
-    pairs.sort()
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    doc = np.searchsorted(ends, at, side="right")
+    place = at - (ends - n_words)[doc]
+    segment = base[doc] + place // index.segment
+    size, n_terms = int(n_segments.sum()), len(index.key)
+    earlier = (place >= index.segment) & (place % index.segment + index.gram <= index.segment)  # in the passage that starts a segment before, too
+    pairs = np.unique(np.concatenate([segment * n_terms + term, (segment[earlier] - 1) * n_terms + term[earlier]]))
     passage, term = pairs // n_terms, pairs % n_terms
-    edge = np.searchsorted(passage, np.arange(size + 1))
     alive = np.flatnonzero(np.bincount(passage, index.term_max[term], minlength=size) >= 1 - SLACK)
+    edge = np.searchsorted(passage, np.arange(size + 1))
+    lengths = (edge[1:] - edge[:-1])[alive]
+    order = np.argsort(lengths, kind="stable")  # rows side by side have like many lists
     owner = np.repeat(np.arange(len(n_words)), n_segments)
-    for part in np.array_split(alive, int((edge[alive + 1] - edge[alive]).sum()) * index.range_max.shape[1] // (16 * CELLS) + 1):
-        lengths = edge[part + 1] - edge[part]
-        held = term[_ranges(edge[part], lengths)]
-        begin = np.cumsum(lengths) - lengths
-        p, r = np.nonzero(np.add.reduceat(index.range_max[held], begin, axis=0) >= 1 - SLACK) if len(part) else (begin, begin)
-        of, lists = np.repeat(np.arange(len(p)), lengths[p]), held[_ranges(begin[p], lengths[p])]
-        useful = index.range_max[lists, r[of]] > 0
-        of, lists = of[useful], lists[useful]
-        lengths = np.bincount(of, minlength=len(p))
-        begin = np.cumsum(lengths) - lengths
-        order = np.argsort(lengths, kind="stable")  # rows side by side have like many lists
-        stop = len(order)
-        while stop:
-            start = max(0, stop - max(1, CELLS // int(lengths[order[stop - 1]])))
-            side = order[start:stop]
-            row, item, score = wand(np.concatenate([[0], np.cumsum(lengths[side])]), lists[_ranges(begin[side], lengths[side])], r[side], index)
-            for k in range(len(row)):
-                at = int(part[p[side[row[k]]]])
-                yield int(owner[at]), (at - int(base[owner[at]])) * index.segment, int(item[k]), float(score[k])
-            stop = start
+    stop = len(order)
+    while stop:
+        start = max(0, stop - max(1, CELLS // int(lengths[order[stop - 1]])))
+        side = order[start:stop]
+        row, item, score = wand(np.concatenate([[0], np.cumsum(lengths[side])]), term[_ranges(edge[alive[side]], lengths[side])], index)
+        for k in range(len(row)):
+            here = int(alive[side[row[k]]])
+            yield int(owner[here]), (here - int(base[owner[here]])) * index.segment, int(item[k]), float(score[k])
+        stop = start
 
 
 class Benchmark:
-    """A group of items in a worker: vocabulary and an index for each class of lengths."""
+    """The index in a worker: a table of bits, and an ``Index`` for each group and class of lengths."""
+
+    def __init__(self, bits: np.ndarray, indexes: list[Index]):
+        self.bits, self.shift = bits, np.uint64(64 - 3 - (len(bits).bit_length() - 1))
+        self.indexes = indexes
 
-    def __init__(self, packed: bytes):
-        terms, fields = pickle.loads(packed)  # plain data: a worker may lack the classes
-        self.vocabulary = {w: i for i, w in enumerate(terms)}
-        self.indexes = [Index(**f) for f in fields]
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that some item may have."""
+        slot = keys >> self.shift
+        return np.flatnonzero(self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text (item id, first word of the passage, score, question overlap, answer overlap), one per item at most."""
         out: list[dict] = [{} for _ in texts]
-        get = self.vocabulary.get
         for a, z in chunks([t or "" for t in texts]):
             split = [words(t) for t in texts[a:z]]
             n_words = np.array([len(ws) for ws in split])
-            term = np.fromiter((get(w, -1) for ws in split for w in ws), dtype=np.int64, count=int(n_words.sum()))
-            begin = np.cumsum(n_words) - n_words
-            for n, index in enumerate(self.indexes):
-                for doc, start, item, score in search(n_words, term, index):
-                    passage = term[begin[doc] + start : min(begin[doc] + start + 2 * index.segment, begin[doc] + n_words[doc])].tolist()
-                    shares = overlaps(index.words_of(item), int(index.split[item]), passage)
-                    if sum(shares) / 2 >= OVERLAP:
-                        found = (index.ids[item], start, score * float(index.least[item]), *shares)
-                        at = out[a + doc]
-                        if (n, item) not in at or (sum(shares), found[2], -start) > (sum(at[n, item][3:]), at[n, item][2], -at[n, item][1]):
-                            at[n, item] = found
+            hashes = word_hashes(chain.from_iterable(split), int(n_words.sum()))
+            doc = np.repeat(np.arange(len(split)), n_words)
+            for gram in sorted({index.gram for index in self.indexes}):
+                keys = gram_keys(hashes, gram)
+                at = self.may_have(keys)
+                at = at[doc[at] == doc[at + gram - 1]]
+                for n, index in enumerate(self.indexes):
+                    if index.gram != gram or not len(at):
+                        continue
+                    for d, start, item, score in search(n_words, at, keys[at], index):
+                        shares = overlaps(index.words_of(item), int(index.split[item]), split[d][start : start + 2 * index.segment])
+                        if sum(shares) / 2 >= OVERLAP:
+                            found = (index.ids[item].as_py(), start, score * float(index.least[item]), *shares)
+                            held = out[a + d]
+                            if (n, item) not in held or (sum(shares), found[2], -start) > (sum(held[n, item][3:]), held[n, item][2], -held[n, item][1]):
+                                held[n, item] = found
         return [list(x.values()) for x in out]
 
 
-def index_groups(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> list[Broadcast]:
-    """The benchmark as broadcasts of indexes, each of about ``GROUP_CHARS`` of text at most. Repeated rows count once.
+NUMBERS = {"edge": "int64", "split": "int32", "least": "float64", "key": "uint64", "start": "int64", "item": "int32", "impact": "float32", "term_max": "float32", "block_start": "int64", "block_key": "int64", "block_last": "int64", "block_max": "float32", "place": "int64"}
 
-    Statistics cover the whole benchmark. Indexes are built in tasks, a group in each; the driver passes on one at a time.
+
+@dataclass
+class Files:
+    """An index in the shared folder, as plain data: what a worker needs to open it."""
+
+    folder: str
+    settings: dict
+    bits: int
+    parts: list
+    groups: list
+
+    def open(self) -> Benchmark:
+        """Maps the files where the folder is a disk, else reads them."""
+        store, root = store_of(self.folder, self.settings)
+
+        def source(name: str):
+            path = f"{root}/{name}"
+            return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else pa.BufferReader(store.open_input_file(path).read())
+
+        bits = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
+        for part, name in self.parts:
+            held = np.frombuffer(source(name).read_buffer(), dtype=np.uint8)
+            bits[part * len(held) : (part + 1) * len(held)] = held
+        indexes = []
+        for gram, segment, name in self.groups:
+            row = pa.ipc.open_file(source(name)).get_batch(0)
+            fields = {n: row.column(n)[0].values for n in ("ids", "words", *NUMBERS)}
+            indexes.append(Index(gram, segment, **{n: v.to_numpy() if n in NUMBERS else v for n, v in fields.items()}))
+        return Benchmark(bits, indexes)
+
+
+def _write(store: fs.FileSystem, path: str, index: dict, id_type: pa.DataType) -> None:
+    kinds = {"ids": id_type, "words": pa.binary(), **{n: pa.type_for_alias(k) for n, k in NUMBERS.items()}}
+    row = pa.RecordBatch.from_arrays([pa.array([index[n]], pa.list_(k)) for n, k in kinds.items()], list(kinds))
+    with store.open_output_stream(path) as out, pa.ipc.new_file(out, row.schema) as file:
+        file.write_batch(row)
+
+
+def write_index(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Files | None:
+    """Builds the index in the shared folder; None if no item has a word. Repeated rows count once.
+
+    Statistics cover the whole benchmark. A group of about ``GROUP_CHARS`` of text at most is the work of one task, which
+    returns the names of its files: a task that is tried again writes others. The driver keeps a name per group and class.
     """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(key).alias("item_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).dropDuplicates()
@@ -324,28 +388,52 @@ def index_groups(benchmark: DataFrame, text: str = "text", key: str = "item_id")
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             split = [words(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(ws) for ws in split], pa.int64()), pa.array([sorted(set(ws)) for ws in split], pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["item", "n", "terms"])
+            keys = [gram_keys(word_hashes(iter(ws), len(ws)), min(len(ws), GRAM)) if ws else np.zeros(0, np.uint64) for ws in split]
+            terms = pa.array([np.unique(k).view(np.int64) for k in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(k) for k in keys], pa.int64()), terms], ["item", "n", "terms"])
 
-    split = cut(numbered.select("item", "text").mapInArrow(tokenised, "item long, n long, terms array<binary>").filter("n > 0"))
+    split = cut(numbered.select("item", "text").mapInArrow(tokenised, "item long, n long, terms array<long>").filter("n > 0"))
     n_items, mean = split.agg(F.count("*"), F.avg("n")).first()
     if not n_items:
-        return []
-    groups = -(-numbered.agg(F.sum(F.length("text"))).first()[0] // GROUP_CHARS)
+        return None
+    folder = new_folder(spark, "benchmark")
+    settings, id_type = _settings(spark, folder), to_arrow_type(benchmark.schema[key].dataType)
+    n_groups = -(-numbered.agg(F.sum(F.length("text"))).first()[0] // GROUP_CHARS)
     posted = split.select("item", F.explode("terms").alias("term"))
-    counted = posted.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("item").agg(F.collect_list(F.struct("term", "df")).alias("p"))
-    rows = numbered.join(counted, "item").select(F.pmod(F.xxhash64("item"), F.lit(groups)).alias("shard"), "item_id", "text", F.col("p.term").alias("terms"), F.col("p.df").alias("dfs"))
+    df = cut(posted.groupBy("term").agg(F.count("*").alias("df")))
+    counted = posted.join(df, "term").groupBy("item").agg(F.collect_list(F.struct("term", "df")).alias("p"))
+    rows = numbered.join(counted, "item").select(F.pmod(F.xxhash64("item"), F.lit(n_groups)).alias("shard"), "item_id", "text", F.col("p.term").alias("terms"), F.col("p.df").alias("dfs"))
+    place = lambda name: (*store_of(folder, settings), f"{name}-{uuid.uuid4().hex}")
 
     def built(group: pa.Table) -> pa.Table:
-        df: dict[bytes, int] = {}
-        for terms, counts in zip(group["terms"], group["dfs"], strict=True):
-            df.update(zip(terms.as_py(), counts.as_py(), strict=True))
+        counts: dict[int, int] = {}
+        for terms, n in zip(group["terms"], group["dfs"], strict=True):
+            counts.update(zip((t % (1 << 64) for t in terms.as_py()), n.as_py(), strict=True))
         pairs = sorted(zip(group["item_id"].to_pylist(), group["text"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x))
-        return pa.table({"shard": group["shard"][:1], "packed": pa.array([pickle.dumps(build(pairs, df, n_items, mean))], pa.binary())})
-
-    packed = cut(rows.groupBy("shard").applyInArrow(built, "shard long, packed binary"))
-    numbers = [r["shard"] for r in packed.select("shard").orderBy("shard").collect()]
-    return [spark.sparkContext.broadcast(packed.filter(F.col("shard") == s).first()["packed"]) for s in numbers]
+        names = []
+        for index in build(pairs, counts, n_items, mean):
+            store, root, name = place("index")
+            store.create_dir(root, recursive=True)
+            _write(store, f"{root}/{name}", index, id_type)
+            names.append((index["gram"], index["segment"], name))
+        return pa.table(dict(zip(("gram", "segment", "name"), (pa.array(c) for c in zip(*names, strict=True)), strict=True)))
+
+    groups = [tuple(r) for r in cut(rows.groupBy("shard").applyInArrow(built, "gram long, segment long, name string")).orderBy("gram", "segment", "name").collect()]
+    bits = min(MOST_BITS, max(16, (BITS * df.count() - 1).bit_length()))
+    part_bits = min(bits, PART_BITS)
+
+    def marked(group: pa.Table) -> pa.Table:
+        slot = group["term"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        flags = np.zeros(1 << part_bits, dtype=bool)
+        flags[(slot & np.uint64((1 << part_bits) - 1)).astype(np.int64)] = True
+        store, root, name = place("bits")
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(np.packbits(flags, bitorder="little").tobytes())
+        return pa.table({"part": group["part"][:1].cast(pa.int64()), "name": [name]})
+
+    slots = df.select("term", F.shiftrightunsigned("term", 64 - bits + part_bits).alias("part") if bits > part_bits else F.lit(0).cast("long").alias("part"))
+    return Files(folder, settings, bits, [tuple(r) for r in cut(slots.groupBy("part").applyInArrow(marked, "part long, name string")).collect()], groups)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
@@ -361,28 +449,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     schema = f"doc_id {id_type}, item_id {item_field.dataType.simpleString()}, passage_start long, bm25 double, question_overlap double, answer_overlap double"
     kinds = (to_arrow_type(item_field.dataType), pa.int64(), *[pa.float64()] * 3)
 
-    def one(group: Broadcast) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = None
-            for batch in portions(batches):
-                items = items or Benchmark(group.value)
-                found = items.leaks(batch.column(1).to_pylist())
-                at = [i for i, rows in enumerate(found) for _ in rows]
-                columns = list(zip(*(r for rows in found for r in sorted(rows, key=repr)), strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))],
-                    ["doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap"],
-                )
-
-        return rows.mapInArrow(run, schema)
-
-    passes = [one(b) for b in index_groups(benchmark, key=item_key)]
-    if not passes:
+    index = write_index(benchmark, key=item_key)
+    if index is None:
         return docs.sparkSession.createDataFrame([], schema)
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = None
+        for batch in portions(batches):
+            items = items or index.open()
+            found = items.leaks(batch.column(1).to_pylist())
+            at = [i for i, rows in enumerate(found) for _ in rows]
+            columns = list(zip(*(r for rows in found for r in sorted(rows, key=repr)), strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))],
+                ["doc_id", "item_id", "passage_start", "bm25", "question_overlap", "answer_overlap"],
+            )
+
+    return rows.mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -390,18 +473,15 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -
 
     Rows with a null or empty text stay, as do all rows if the benchmark is empty; repeated rows stay or go together.
     """
-    for group in index_groups(benchmark):
-        docs = docs.filter(_clean(group)(F.col(text)))
-    return docs
-
-
-def _clean(group: Broadcast):
+    index = write_index(benchmark)
+    if index is None:
+        return docs
     held: list[Benchmark] = []  # filled once in a worker
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         if not held:
-            held.append(Benchmark(group.value))
+            held.append(index.open())
         return by_portion(texts, lambda part: [not found for found in held[0].leaks(part)], pa.bool_())
 
-    return clean
+    return docs.filter(clean(F.col(text)))

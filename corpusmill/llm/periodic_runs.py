@@ -20,25 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, chunks, picked, portions
+from corpusmill.llm.common import WORD, chunks, mixed, picked, portions
 
 #: A run has so many words, and so many periods, at least.
 LEAST, TIMES = 24, 3
 #: Least overlap of a run with itself moved by its period, over all periods.
 K = min(max(LEAST - q, (TIMES - 1) * q) for q in range(1, LEAST + 1))
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 RUN = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit value that looks random for each number."""
-    x = x.astype(np.uint64) + BASE
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 class Prefixes:
     """Hashes of any stretch of a sequence of numbers; equal stretches have equal hashes."""
 
