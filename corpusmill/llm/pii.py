@@ -32,13 +32,12 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 AT_WORDS = ("[at]", "(at)", "{at}")
 STREETS = ("Street", "Avenue", "Boulevard", "Road", "Lane", "Drive", "Square", "Court", "Place", "Way", "St", "Ave", "Blvd", "Rd", "Ln", "Dr", "Sq", "Ct", "Pl")
 ACCOUNTS = ("iban", "account", "acct", "ssn")
-#: The most characters that HOUSE can match.
-LONGEST_HOUSE = 92
+#: Words of prose that no street name in lower case has, so that a number earlier in the sentence isn't taken for a house's.
+PROSE = frozenset("a an and are at be but by down for from had has have he her his i in is it its my near of off on or our she that the their them then there they this to up was we were with you your".split())
 LETTERS = LOCAL - frozenset("0123456789._%+-")
 SCHEME = LETTERS | frozenset("0123456789+.-")
 AUTHORITY = re.compile(r"[^\s/?#<>\"'@]+@[A-Za-z0-9.\[\]:-]+")
 SPELLED_HOST = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]+)+")
-HOUSE = re.compile(r"(?<![A-Za-z0-9])[1-9][0-9]{0,5}[A-Za-z]?(?: [A-Z][A-Za-z'.-]{0,19}){1,4} \Z")
 NUMBER = re.compile(r"(?: ?(?:number|no\.?|num|nr\.?|#))?(?: ?[:#=]| is)? ?((?-i:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})|[0-9](?:[ -]?[0-9])+)", re.IGNORECASE | re.ASCII)
 
 
@@ -55,6 +54,30 @@ def _iban(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def house(text: str, at: int, low: int, capital: bool) -> tuple[int, int]:
+    """Where the address begins whose street word follows the space at ``at``, or -1, and the number of its names.
+
+    Names are words of letters, one space apart, each with a capital if the street word has one; before them stands a house number,
+    digits with a letter at most. There may be any number of names, of any length; nothing before ``low`` is looked at.
+    """
+    here, names = at, 0
+    while here > low:
+        start = here
+        while start > low and (text[start - 1].isalpha() or text[start - 1] in "'.-"):
+            start -= 1
+        word = text[start:here]
+        fits = word[:1].isalpha() and start > low and text[start - 1] == " " and (any(map(str.isupper, word)) if capital else word.lower() not in PROSE)
+        if not fits:
+            break
+        here, names = start - 1, names + 1
+    stop = here - (here - 1 > low and text[here - 1] in LETTERS and text[here - 2] in DIGITS)
+    start = stop
+    while start > low and text[start - 1] in DIGITS:
+        start -= 1
+    whole = names and start < stop and text[start] != "0" and not (start and text[start - 1].isalnum())
+    return (start if whole else -1), names
+
+
 _automata: list = []
 
 
@@ -66,7 +89,7 @@ def _anchors():
 
     found = ahocorasick.Automaton()
     words = {"@": "@", "://": "://"} | {d: "digit" for d in DIGITS} | {f"+{d}": "+" for d in DIGITS}
-    words |= {w: "at" for w in AT_WORDS} | {f" {form}": "street" for w in STREETS for form in (w, w.lower(), w.upper())}
+    words |= {w: "at" for w in AT_WORDS} | {f" {form}": kind for w in STREETS for form, kind in ((w, "street"), (w.upper(), "street"), (w.lower(), "lower street"))}
     words |= {form: "account" for w in ACCOUNTS for form in (w, w.capitalize(), w.upper())}
     for word, kind in words.items():
         found.add_word(word, (kind, len(word)))
@@ -79,6 +102,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of everything found, by kind and start; kinds are positions in ``KINDS``, offsets code points."""
     out = []
     done = dict.fromkeys(("@", "ip", "card", "+", "at", "street", "account"), 0)  # where the last match of a kind ended
+    bare = {"street": 0, "lower street": 0}  # where the last names without a house number ended: longer ones have none either
     for last, (anchor, size) in _anchors().iter(text):
         at, end = last - size + 1, last + 1
         if anchor == "digit":
@@ -118,10 +142,14 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             if start < stop and (m := SPELLED_HOST.match(text, end)):
                 done["at"] = m.end()
                 out.append((5, start, m.end()))
-        elif anchor == "street":
-            if not text[end : end + 1].isalnum() and (m := HOUSE.search(text, max(done["street"], at + 1 - LONGEST_HOUSE), at + 1)):
-                done["street"] = end
-                out.append((6, m.start(), end))
+        elif anchor in bare:
+            if not text[end : end + 1].isalnum() and at >= done["street"]:
+                start, names = house(text, at, max(done["street"], bare[anchor]), anchor == "street")
+                if start >= 0:
+                    done["street"] = end
+                    out.append((6, start, end))
+                elif names:
+                    bare[anchor] = at
         elif at >= done["account"] and not (at and text[at - 1].isalnum()) and not text[end : end + 1].isalpha():
             m = NUMBER.match(text, end)
             if m:

@@ -22,8 +22,9 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),  # the same matches as [0-9a-f]+ of 16 characters or more
 }
-#: Runs of 16 or more token characters that hold a digit and a letter; the look-behind lets a run be tried only once.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}"
+#: Runs of token characters, of any kind; the tests tell what they are. A shorter run is too little evidence for any test. The
+#: look-behind lets a run be tried only once.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: kind -> (what a token of this encoding matches, its alphabet, unevenness of the hypothesis to reject); the first match counts.
@@ -120,7 +121,6 @@ def _tested(span: Column) -> Column:
         p = normal_cdf((chi - mean) / F.sqrt(var))
 
         def series(values: Column) -> Column:
-            level = _total(values) / n
             side = F.transform(values, lambda v: (v >= k / 2).cast("double"))
             pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
             turns = _total(F.transform(pairs, lambda q: ((q["a"] >= k / 2) != (q["b"] >= k / 2)).cast("double")))
@@ -128,10 +128,13 @@ def _tested(span: Column) -> Column:
             runs_mean = 1 + 2 * up * (n - up) / n
             runs_var = (runs_mean - 1) * (runs_mean - 2) / (n - 1)
             runs_z = F.when(runs_var > 0, (1 + turns - runs_mean) / F.sqrt(runs_var)).otherwise(F.lit(12.0))
-            spread = _total(F.transform(values, lambda v: (v - level) * (v - level)))
-            product = _total(F.transform(pairs, lambda q: (q["a"] - level) * (q["b"] - level)))
-            serial_z = F.when(spread > 0, (product / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(12.0))
-            return F.least(2 * normal_cdf(-F.abs(runs_z)), 2 * normal_cdf(-F.abs(serial_z)))
+
+            def serial(level: Column) -> Column:  # the mean is computed once, not once per symbol
+                spread = _total(F.transform(values, lambda v: (v - level) * (v - level)))
+                product = _total(F.transform(pairs, lambda q: (q["a"] - level) * (q["b"] - level)))
+                return F.when(spread > 0, (product / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(12.0))
+
+            return F.least(2 * normal_cdf(-F.abs(runs_z)), 2 * normal_cdf(-F.abs(_let(_total(values) / n, serial))))
 
         values = F.transform(F.split(token, ""), lambda c: F.position(c, alphabet).cast("double") - 1)
         bins = F.least(F.lit(BINS * DECADES), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS)).cast("int")

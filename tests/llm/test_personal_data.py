@@ -1,5 +1,7 @@
 """Added kinds of personal data that are longer than any window, and the usual forms of street words."""
 
+import time
+
 import pytest
 
 from corpusmill.llm import pii
@@ -30,3 +32,21 @@ def test_street_words(cue):
 def test_a_long_address_is_whole():
     names = " ".join(["A" + "b" * 19] * 4)
     assert found(f"at 123456c {names} Road.", "address") == [f"123456c {names} Road"]
+
+
+@pytest.mark.parametrize("text", ["12 main street", "1234567 Long Road", "7 one two three four five six seven lane", "9B Rue d'Or St.", "5 Street Road", "3 " + "Abcdefghij" * 9 + " Square"])
+def test_addresses_of_any_length_and_case(text):
+    whole = text.rstrip(".")
+    assert found(f"at {text}, near", "address") == [whole]
+
+
+@pytest.mark.parametrize("text", ["in 2019 we walked down the street", "12 Main street the", "012 Main Street", "a12 Main Street", "12 main Street", "12, Main Street", "12 Street"])
+def test_what_is_no_address(text):
+    assert found(text, "address") in ([], ["12 Main street"] if text.startswith("12 Main street") else [])
+
+
+def test_many_street_words_take_time_in_proportion():
+    for text in ("Main Street " * 30_000, "main street " * 30_000, "4 Street " * 30_000):
+        start = time.perf_counter()
+        pii.spans(text)
+        assert time.perf_counter() - start < 5
