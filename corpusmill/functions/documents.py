@@ -7,6 +7,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate, groupby, islice
@@ -203,28 +204,43 @@ def encode_vector(vectors: pd.Series) -> pd.Series:
 def xml_sections(archives: DataFrame, content: str, *keys: str) -> DataFrame:
     """Sections of the XML members of ZIP archives: LEVEL elements of style Section, their heading and paragraphs.
 
-    Members that aren't sound XML give none.
+    ``status`` is ok for each of them. What can't be read has one row without text, whose status says why: empty,
+    not_a_package or too_large for an archive, broken_member or broken_xml for one of its members.
     """
-    kind = ArrayType(StructType([StructField("member", StringType()), StructField("heading", StringType()), StructField("text", StringType())]))
+    kind = ArrayType(StructType([StructField(n, StringType()) for n in ("status", "member", "heading", "text")]))
 
-    def one(blob: bytes | None) -> list[dict]:
+    def refused(why: str, member: str | None = None) -> dict:
+        return {"status": why, "member": member, "heading": None, "text": None}
+
+    def member(archive: zipfile.ZipFile, name: str) -> list[dict]:
+        try:
+            body = ET.fromstring(archive.read(name))
+        except ET.ParseError:
+            return [refused("broken_xml", name)]
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+            return [refused("broken_member", name)]
         out = []
-        with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-            for name in sorted(n for n in archive.namelist() if n.lower().endswith(".xml")):
-                try:
-                    body = ET.fromstring(archive.read(name))
-                except ET.ParseError:
-                    continue
-                for level in body.iter("LEVEL"):
-                    if level.get("style-name") == "Section":
-                        heading = " ".join(" ".join(h.itertext()) for h in level.iter("HEADING"))
-                        paragraphs = [" ".join("".join(p.itertext()).split()) for p in level.iter("PARA")]
-                        out.append({"member": name, "heading": " ".join(heading.split()), "text": "\n".join(p for p in paragraphs if p)})
+        for level in body.iter("LEVEL"):
+            if level.get("style-name") == "Section":
+                heading = " ".join(" ".join(h.itertext()) for h in level.iter("HEADING"))
+                paragraphs = [" ".join("".join(p.itertext()).split()) for p in level.iter("PARA")]
+                out.append({"status": "ok", "member": name, "heading": " ".join(heading.split()), "text": "\n".join(p for p in paragraphs if p)})
         return out
 
+    def one(blob: bytes | None) -> list[dict]:
+        if not blob:
+            return [refused("empty")]
+        try:
+            with zipfile.ZipFile(io.BytesIO(blob)) as archive:
+                if sum(i.file_size for i in archive.infolist()) > INFLATION * max(len(blob), SMALL_PACKAGE):
+                    return [refused("too_large")]
+                return [row for name in sorted(n for n in archive.namelist() if n.lower().endswith(".xml")) for row in member(archive, name)]
+        except zipfile.BadZipFile:
+            return [refused("not_a_package")]
+
     @F.pandas_udf(kind)
     def parse(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: one(b) if b else [])
+        return blobs.map(one)
 
     return archives.select(*keys, F.inline(parse(F.col(content))))
 
@@ -234,7 +250,7 @@ def archive_range(archives: DataFrame, content: str, first: str, last: str) -> D
 
     A heading reads like "§ 26-501 Title."; of sections with one number the longest text stays, and broken XML gives none.
     """
-    rows = xml_sections(archives, content)
+    rows = xml_sections(archives, content).filter("status = 'ok'")
     number = F.regexp_extract("heading", r"(\d+-\d+(?:\.\d+)*)", 1)
     title = F.regexp_replace("heading", r"^.*?\d+-\d+(?:\.\d+)*\s*", "")
     named = rows.filter(number != "").select(number.alias("citation"), title.alias("title"), "text", F.monotonically_increasing_id().alias("place"))

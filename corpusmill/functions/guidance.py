@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from corpusmill.functions.text import section_key, title_from_url
 
@@ -114,33 +114,39 @@ def _sections(blocks: list[tuple[str, str]], title: str) -> Iterator[tuple[str,
 
 def page_sections(html: str | None, title: str) -> list[tuple[str, str]]:
     """(title, text) of a page's sections: of its container if that has any, else of all its blocks, else the plain text."""
+    return parsed_page(html, title)[0]
+
+
+def parsed_page(html: str | None, title: str) -> tuple[list[tuple[str, str]], bool]:
+    """The sections of a page, and whether they are its plain text only."""
     page = _Page()
     page.feed(html or "")
     page.close()
     inside = list(_sections([(t, x) for t, x, _, contained in page.blocks if contained and t != "title"], title))
     if inside:
-        return inside
+        return inside, False
     seen = [(t, x) for t, x, skipped, _ in page.blocks if not skipped]
     named = next((x for t, x in seen if t == "title"), title)
     whole = list(_sections([(t, x) for t, x in seen if t != "title"], named))
-    return whole or ([(title, "\n".join(page.lines))] if page.lines else [])
+    return (whole, False) if whole else ([(title, "\n".join(page.lines))] if page.lines else [], True)
 
 
-SECTION = ArrayType(StructType([StructField("ordinal", IntegerType()), StructField("title", StringType()), StructField("text", StringType())]))
+SECTION = ArrayType(StructType([StructField("ordinal", IntegerType()), StructField("title", StringType()), StructField("text", StringType()), StructField("plain", BooleanType())]))
 
 
 def guidance_sections(pages: DataFrame, url: str = "url", html: str = "html", title: Column | None = None, *keys: str) -> DataFrame:
     """A row for each section of a guidance page: keys, url, ordinal, section_key, title and text. A page without text gives none.
 
-    ``title`` stands in for a heading; without one, the URL's last part does.
+    ``title`` stands in for a heading; without one, the URL's last part does. The plain text of a page without blocks has
+    the key ``overview``.
     """
 
     @F.pandas_udf(SECTION)
     def parse(bodies: pd.Series, titles: pd.Series) -> pd.Series:
-        found = [page_sections(b if isinstance(b, str) else None, t) for b, t in zip(bodies, titles, strict=True)]
-        return pd.Series([[{"ordinal": i, "title": t, "text": x} for i, (t, x) in enumerate(f)] for f in found])
+        found = [parsed_page(b if isinstance(b, str) else None, t) for b, t in zip(bodies, titles, strict=True)]
+        return pd.Series([[{"ordinal": i, "title": t, "text": x, "plain": plain} for i, (t, x) in enumerate(f)] for f, plain in found])
 
     name = title_from_url(F.col(url))
     fallback = name if title is None else F.coalesce(F.nullif(title, F.lit("")), name)
     rows = pages.select(*keys, url, F.inline(parse(F.col(html), fallback)))
-    return rows.select(*keys, url, "ordinal", section_key(F.col("title"), F.col("ordinal")).alias("section_key"), "title", "text")
+    return rows.select(*keys, url, "ordinal", F.when(F.col("plain"), "overview").otherwise(section_key(F.col("title"), F.col("ordinal"))).alias("section_key"), "title", "text")

@@ -166,12 +166,12 @@ def _page_name(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/", -1), r"\.page$", "")
 
 
-def document_key(url: Column, otherwise: str = "guidance") -> Column:
+def document_key(url: Column, otherwise: str = "hpd-guidance") -> Column:
     """A document's key: the last part of its URL's path as a slug, and a short hash of the URL."""
     return F.concat_ws("-", F.substring(slug(F.coalesce(F.nullif(_page_name(url), F.lit("")), F.lit(otherwise))), 1, 120), short_hash(url, 8))
 
 
-def title_from_url(url: Column, otherwise: str = "Guidance") -> Column:
+def title_from_url(url: Column, otherwise: str = "HPD Guidance") -> Column:
     """The last part of a URL's path as words with capitals."""
     words = F.transform(F.split(_page_name(url), "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
     return F.when(_page_name(url) == "", otherwise).otherwise(F.array_join(words, " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +76,9 @@ def redact(text: Column, replacements: list[tuple[str, str]]) -> Column:
 
 
 def find_values(json: Column, name: str) -> Column:
-    """All string values of a key at any depth, in order of appearance, with their escapes resolved."""
-    found = F.regexp_extract_all(json, F.lit(rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    """All string values of a key at any depth, in order of appearance, with their escapes resolved; the key may have escapes, too."""
+    key = "".join(rf"(?:{re.escape(c)}|\\u(?i:{ord(c):04x}))" for c in name)
+    found = F.regexp_extract_all(json, F.lit(rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
     return F.transform(found, lambda x: F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0])
 
 

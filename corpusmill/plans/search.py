@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import audit, search
 from corpusmill.plans.registry import query
-from corpusmill.sources.shared import new_folder
+from corpusmill.sources.shared import fingerprint, new_folder
 from corpusmill.sources.tables import chunks, table
 
 #: Synthetic rules: (pattern, terms that it adds), (pattern, sub-query of its own) and (pattern, source that it hints at).
@@ -22,8 +22,8 @@ _indexes: dict[tuple, str] = {}
 
 
 def index(spark: SparkSession, folder: str, fields: dict[str, float]) -> DataFrame:
-    """The documents' saved index over some fields, built once in a session."""
-    place = (spark.sparkContext.applicationId, folder, *fields)
+    """The documents' saved index over some fields, built once in a session for the files as they are."""
+    place = (spark.sparkContext.applicationId, fingerprint(spark, f"{folder}/documents.parquet"), *fields)
     if place not in _indexes:
         out = new_folder(spark, "index")
         search.save_index(chunks(spark, folder), list(fields), out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.plans.registry import query
-from corpusmill.sources import sinks
+from corpusmill.sources import feeds, sinks
 from corpusmill.sources.shared import new_folder
 from corpusmill.streaming import ingest
 
@@ -51,3 +51,19 @@ def stream_check_and_record(spark: SparkSession, folder: str) -> DataFrame:
     out = _folder(spark)
     rows = ingest.event_stream(spark, ingest.in_order(spark, f"{folder}/events.parquet", out))
     return ingest.collected(ingest.check_and_record(rows, ["user_id", "event_type"], "ts", "event_id", 86_400, 3), "append", out)
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events WHERE event_type IN ('click', 'purchase') AND user_id >= 50 AND ts >= TIMESTAMP '2024-01-10'")
+def feed_filtered_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed read with its filters: Spark hands them to the source, which leaves out row groups and rows."""
+    rows = feeds.feed(spark, f"{folder}/events.parquet", ["event_id", "user_id", "event_type", "ts"])
+    return rows.filter(F.col("event_type").isin("click", "purchase") & (F.col("user_id") >= 50) & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")))
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events WHERE ts IS NOT NULL")
+def feed_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as a feed in the order of ids, taken into a table of buckets; a delta run afterwards changes nothing."""
+    out = _folder(spark)
+    for _ in range(2):
+        ingest.ingest_feed(spark, f"{folder}/events.parquet", out, "auto", "event_id", "ts")
+    return sinks.active(spark, f"{out}/table").select("event_id", "user_id", "event_type", "ts")

@@ -37,6 +37,16 @@ def file_system(spark: SparkSession, path: str):
     return to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of every file below a path: another one if its data were written anew."""
+    fs, to_path = file_system(spark, path)
+    files, out = fs.listFiles(to_path(path), True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder that nothing reads any more, on whatever store it lies."""
     fs, to_path = file_system(spark, path)

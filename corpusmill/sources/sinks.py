@@ -14,8 +14,8 @@ from corpusmill.sources.shared import file_system, remove_folder
 
 #: Below it stands a numbered entry for every activation; an entry is never changed, and the last whole one counts.
 POINTERS = "pointers"
-#: Buckets of a table that is merged in place, and activations whose files stay when older ones are cleared.
-BUCKETS, KEPT = 64, 2
+#: Buckets of a new table that is merged in place, and bytes of files per bucket from which on their number doubles.
+BUCKETS, BUCKET_BYTES = 16, 256_000_000
 
 
 def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
@@ -39,13 +39,22 @@ def _entry(spark: SparkSession, folder: str, name: str) -> dict | None:
         return None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, to_path = file_system(spark, path)
+    return fs.exists(to_path(path))
+
+
 def latest(spark: SparkSession, folder: str) -> dict | None:
     """The newest whole entry."""
     return next((e for n in reversed(_entry_names(spark, folder)) if (e := _entry(spark, folder, n))), None)
 
 
 def commit(spark: SparkSession, folder: str, entry: dict) -> None:
-    """Appends an entry. Its number must be free, so that of two writers one fails and can look again; nothing is overwritten."""
+    """Appends an entry whose number must be free; nothing is overwritten.
+
+    Of two writers with one number one fails and can look again, where the store creates a file only if there is none in
+    one step, as HDFS and disks do. A store that looks first and writes then needs one writer at a time.
+    """
     names = _entry_names(spark, folder)
     _write_text(spark, f"{folder}/{POINTERS}/{int(names[-1]) + 1 if names else 1:012d}", json.dumps(entry, sort_keys=True), overwrite=False)
 
@@ -82,30 +91,54 @@ def active(spark: SparkSession, folder: str) -> DataFrame:
     now = latest(spark, folder)
     if not now:
         raise ValueError("No generation is active.")
-    paths = sorted(set(now["buckets"].values())) if "buckets" in now else [f"{folder}/generations/{now['generation']}"]
+    paths = sorted(held[0] for held in now["buckets"].values()) if "buckets" in now else [f"{folder}/generations/{now['generation']}"]
     return spark.read.parquet(*paths)
 
 
+def _bucket(key: list[str], n: int):
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
+def _write_buckets(rows: DataFrame, folder: str, key: list[str], n: int) -> tuple[str, dict[str, list]]:
+    """A new generation by bucket, and the folder and bytes of each bucket that has rows."""
+    spark, generation = rows.sparkSession, uuid.uuid4().hex
+    out = f"{folder}/generations/{generation}"
+    rows.withColumn("_bucket", _bucket(key, n)).repartition("_bucket").write.partitionBy("_bucket").parquet(out)
+    fs, to_path = file_system(spark, out)
+    held = [f.getPath() for f in fs.listStatus(to_path(out)) if f.getPath().getName().startswith("_bucket=")]
+    return generation, {p.getName().split("=")[1]: [f"{out}/{p.getName()}", fs.getContentSummary(p).getLength()] for p in held}
+
+
 def merge_buckets(batch: DataFrame, folder: str, key: list[str], merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
     """Merges a batch into a table of buckets by key: only buckets that it touches are read and written anew.
 
     ``merge`` gets the batch and the old rows of those buckets, or None if there are none. The new entry names a folder
-    for every bucket; folders that no kept entry names are removed.
+    and its bytes for every bucket. Where buckets hold more than ``BUCKET_BYTES`` on average, their number doubles first,
+    so a row is moved as often as the table has doubled. Files of older entries stay until ``clear_history``.
     """
-    spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
-    touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
+    spark = batch.sparkSession
+    now = latest(spark, folder) or {}
+    n, known = now.get("n", BUCKETS), now.get("buckets", {})
+    grown = n
+    while sum(size for _, size in known.values()) > grown * BUCKET_BYTES:
+        grown *= 2
+    if grown > n:
+        generation, known = _write_buckets(active(spark, folder), folder, key, grown)
+        commit(spark, folder, {"generation": generation, "n": grown, "buckets": known})
+    touched = [r[0] for r in batch.select(_bucket(key, grown).alias("b")).distinct().collect()]
     if not touched:
         return
-    known = (latest(spark, folder) or {}).get("buckets", {})
-    old = [known[str(b)] for b in touched if str(b) in known]
-    generation = uuid.uuid4().hex
-    out = f"{folder}/generations/{generation}"
-    merge(batch, spark.read.parquet(*old) if old else None).withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(out)
-    commit(spark, folder, {"generation": generation, "buckets": known | {str(b): f"{out}/_bucket={b}" for b in touched}})
+    old = [known[str(b)][0] for b in touched if str(b) in known]
+    generation, fresh = _write_buckets(merge(batch, spark.read.parquet(*old) if old else None), folder, key, grown)
+    kept = {b: held for b, held in known.items() if int(b) not in touched}
+    commit(spark, folder, {"generation": generation, "n": grown, "buckets": kept | fresh})
+
+
+def clear_history(spark: SparkSession, folder: str, keep: int) -> None:
+    """Removes bucket files that none of the newest ``keep`` entries names; readers of older entries must be done."""
     names = _entry_names(spark, folder)
-    kept = {p for n in names[-KEPT:] for p in (_entry(spark, folder, n) or {}).get("buckets", {}).values()}
-    gone = {p for n in names[-KEPT - 1 : -KEPT] for p in (_entry(spark, folder, n) or {}).get("buckets", {}).values()} - kept
-    for path in gone:
+    said = lambda some: {held[0] for name in some for held in (_entry(spark, folder, name) or {}).get("buckets", {}).values()}
+    for path in said(names[:-keep]) - said(names[-keep:]):
         remove_folder(spark, path)
 
 

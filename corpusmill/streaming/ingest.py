@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.operators.relations import latest_per_key, upsert
 from corpusmill.sources import sinks
+from corpusmill.sources.feeds import feed_stream
 
 #: Late rows of so many days are read again.
 OVERLAP = "14 days"
@@ -72,7 +73,7 @@ def upsert_sink(folder: str, key: list[str], order: str) -> Callable[[DataFrame,
 def run_mode(requested: str, state: dict | None) -> tuple[str, bool, str | None]:
     """full or delta, whether an unfinished run goes on, and where a delta starts: its watermark less the overlap.
 
-    ``state``: mode, complete, last_key and watermark (an ISO date) of the last run, or None.
+    ``state``: mode, complete and watermark (an ISO date) of the last run, or None. A run that goes on has its start.
     """
     if requested not in ("auto", "full", "delta"):
         raise ValueError("The mode must be auto, full or delta.")
@@ -81,7 +82,7 @@ def run_mode(requested: str, state: dict | None) -> tuple[str, bool, str | None]
     mode = "full" if mode == "delta" and not state.get("watermark") else mode
     resumes = bool(state) and not state.get("complete") and state.get("mode") == mode
     start = None
-    if mode == "delta" and not (resumes and state.get("last_key")):
+    if mode == "delta" and not resumes:
         start = (dt.date.fromisoformat(state["watermark"]) - dt.timedelta(days=int(OVERLAP.split()[0]))).isoformat()
     return mode, resumes, start
 
@@ -102,33 +103,35 @@ def delta_page(rows: DataFrame, mode: str, size: int, last_key: tuple | None, st
     return wanted.orderBy(status, id_).limit(size)
 
 
-def ingest_pages(feed: DataFrame, folder: str, mode: str = "auto", size: int = 1000, most_pages: int | None = None) -> dict:
-    """Takes a feed page by page into a table of buckets, and keeps its state after every page; stops after ``most_pages``.
+def ingest_feed(spark: SparkSession, path: str, folder: str, mode: str = "auto", id_: str = "violation_id", status: str = "status_date") -> dict:
+    """Takes a feed into a table of buckets as a stream of keys, in one pass over what is new, and returns the state.
 
-    ``feed``: violation_id, status_date and more. State: mode, complete, last_key, watermark and, for each page, its
-    number, rows and checksum. The watermark moves only when a run is complete. Running again goes on where it stopped.
+    A full run reads in the order of ids, a delta in that of status and id from some time before the watermark on. A run
+    that stops anywhere goes on with its own checkpoint: a batch that was begun comes again with the same rows, and merging
+    it again changes nothing. The log has a row per batch: run, batch, rows and a checksum. The watermark, the day of the
+    latest status, moves only when a run is complete. Rows with a null id or, in a delta, a null status have no place.
     """
-    spark = feed.sparkSession
-    state = sinks.latest(spark, f"{folder}/state")
-    chosen, resumes, start = run_mode(mode, state)
-    now = {"mode": chosen, "complete": False, "last_key": state["last_key"] if resumes else None, "watermark": (state or {}).get("watermark"), "pages": state["pages"] if resumes else [], "seen": state.get("seen") if resumes else None}
-    sink = upsert_sink(f"{folder}/table", ["violation_id"], "status_date")
-    taken = 0
-    while most_pages is None or taken < most_pages:
-        page = delta_page(feed, chosen, size, tuple(now["last_key"]) if now["last_key"] else None, start).cache()
-        last = page.agg(F.count("*").alias("n"), F.max(F.struct("status_date", "violation_id") if chosen == "delta" else F.struct("violation_id")).alias("k"), F.max("status_date").alias("seen"), F.sum(F.xxhash64(*page.columns).cast("decimal(38,0)")).alias("x")).first()
-        if last["n"]:
-            sink(page, taken)
-            key = [str(v) if isinstance(v, dt.datetime) else v for v in last["k"]]
-            seen = max(filter(None, (now["seen"], last["seen"].date().isoformat() if last["seen"] else None)), default=None)
-            now |= {"last_key": key, "seen": seen, "pages": [*now["pages"], {"page": len(now["pages"]), "rows": last["n"], "checksum": str(last["x"])}]}
-        page.unpersist()
-        taken += 1
-        if last["n"] < size:
-            now |= {"complete": True, "watermark": max(filter(None, (now["watermark"], now["seen"])), default=None)}
-        sinks.commit(spark, f"{folder}/state", now | {"generation": str(len(now["pages"]))})
-        if now["complete"]:
-            break
+    state = sinks.latest(spark, f"{folder}/state") or {}
+    chosen, resumes, start = run_mode(mode, state or None)
+    run = {"run": state["run"], "start": state["start"]} if resumes else {"run": uuid.uuid4().hex, "start": start}
+    now = {"mode": chosen, "complete": False, "watermark": state.get("watermark"), "generation": run["run"], **run}
+    if not resumes:
+        sinks.commit(spark, f"{folder}/state", now)
+    merge = upsert_sink(f"{folder}/table", [id_], status)
+    log = f"{folder}/log"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        merge(batch, number)
+        row = batch.agg(F.count("*").alias("rows"), F.max(status).alias("seen"), F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
+        sinks.append_log(row.select(F.lit(run["run"]).alias("run"), F.lit(number).cast("long").alias("batch"), "*"), log, "run", "batch")
+
+    rows = feed_stream(spark, path, [id_] if chosen == "full" else [status, id_], run["start"])
+    for _ in range(2 if resumes else 1):  # a run that goes on repeats the batch that was begun, and then takes the rest
+        run_once(rows, f"{folder}/checkpoints/{run['run']}", sink)
+    mine = spark.read.parquet(log).filter(F.col("run") == run["run"]) if sinks.exists(spark, log) else None
+    seen, taken = mine.agg(F.max("seen"), F.coalesce(F.sum("rows"), F.lit(0))).first() if mine else (None, 0)
+    now |= {"complete": True, "rows": taken, "watermark": max(filter(None, (now["watermark"], seen and seen.date().isoformat())), default=None)}
+    sinks.commit(spark, f"{folder}/state", now)
     return now
 
 

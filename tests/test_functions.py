@@ -104,7 +104,27 @@ def test_xml_in_zip(spark):
         z.writestr("a.xml", '<R><LEVEL style-name="Section"><RECORD><HEADING>§ 1 <b>T</b></HEADING><PARA>x  y</PARA><PARA/></RECORD></LEVEL><LEVEL/></R>')
         z.writestr("b.txt", "no")
     rows = documents.xml_sections(spark.createDataFrame([(1, bytearray(buffer.getvalue()))], "id int, c binary"), "c", "id").collect()
-    assert [tuple(r) for r in rows] == [(1, "a.xml", "§ 1 T", "x y")]
+    assert [tuple(r) for r in rows] == [(1, "ok", "a.xml", "§ 1 T", "x y")]
+
+
+def test_archives_that_cannot_be_read_say_why(spark):
+    """A broken archive, or a broken member of a sound one, is a row with a status; the other rows aren't lost."""
+    def package(**members):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, body in members.items():
+                z.writestr(f"{name}.xml", body)
+        return buffer.getvalue()
+
+    sound = '<R><LEVEL style-name="Section"><HEADING>§ 9</HEADING><PARA>t</PARA></LEVEL></R>'
+    mixed = package(a="<R><LEVEL", b=sound)
+    at = mixed.index(b"<R") if b"<R" in mixed else None
+    damaged = bytearray(package(a=sound * 1, b=sound))
+    damaged[40] ^= 255
+    blobs = [None, b"", b"no archive", mixed, bytes(damaged), package(a="<R>" + " " * 50_000_000 + "</R>"), mixed[:-30]]
+    rows = documents.xml_sections(spark.createDataFrame([(i, b if b is None else bytearray(b)) for i, b in enumerate(blobs)], "id int, c binary"), "c", "id").collect()
+    got = [(r["id"], r["status"], r["member"], r["heading"]) for r in rows]
+    assert at is None and got == [(0, "empty", None, None), (1, "empty", None, None), (2, "not_a_package", None, None), (3, "broken_xml", "a.xml", None), (3, "ok", "b.xml", "§ 9"), (4, "broken_member", "a.xml", None), (4, "ok", "b.xml", "§ 9"), (5, "too_large", None, None), (6, "not_a_package", None, None)]
 
 
 def test_batches(spark):

@@ -58,6 +58,8 @@ def test_dates_flags_and_values_in_json(spark):
     flags = ['{"cost_known": "false"}', '{"cost_known": false}', '{"cost_known": null}', "{}", "broken", None, '{"cost_known": 0}', '{"cost_known": true}', "[false]"]
     assert values(spark, T.json_flag(F.col("j"), "cost_known"), [(j,) for j in flags], "j string") == [True, False, True, True, True, True, True, True, True]
     doc = {"id": 'a"b', "list": [{"id": "café"}, {"id": 3, "deep": {"id": "c\\d\n"}}], "text": '"id": "no"'}
+    escaped = '{"a": [{"chunk\\u005fid": "x"}, {"chunk_id": "y"}, {"chunk\\u005FId": "no"}], "\\u0063hunk_id" : "z"}'
+    assert values(spark, operations.find_values(F.col("j"), "chunk_id"), [(escaped,)], "j string") == [["x", "y", "z"]]
     assert values(spark, operations.find_values(F.col("j"), "id"), [(json.dumps(doc),), (json.dumps(doc, ensure_ascii=False),)], "j string") == [['a"b', "café", "c\\d\n"]] * 2
     assert values(spark, T.json_object(F.col("j")), [('{"a": 1}',), ("[1]",), ("x",), (None,)], "j string") == ['{"a": 1}', "{}", "{}", "{}"]
 
@@ -115,7 +117,7 @@ def test_cursors(spark):
 
 def test_keys_of_pages(spark):
     url = "https://www.example.org/site/heat-and-hot-water.page?x=1"
-    assert values(spark, T.title_from_url(F.col("u")), [(url,), ("https://example.org/",)], "u string") == ["Heat And Hot Water", "Guidance"]
+    assert values(spark, T.title_from_url(F.col("u")), [(url,), ("https://example.org/",)], "u string") == ["Heat And Hot Water", "HPD Guidance"]
     assert values(spark, T.document_key(F.col("u")), [(url,)], "u string") == ["heat-and-hot-water-" + hashlib.sha1(url.encode()).hexdigest()[:8]]
     assert values(spark, T.section_key(F.col("t"), F.col("n")), [("Heat & Water!", 2), ("§§", 3)], "t string, n int") == ["heat-water-" + hashlib.sha1("2:Heat & Water!".encode()).hexdigest()[:6], "section-3-" + hashlib.sha1("3:§§".encode()).hexdigest()[:6]]
 
@@ -140,6 +142,18 @@ def test_guidance_pages():
     assert guidance.page_sections("<title>Named</title><p>Text before any heading, long enough to count as one.</p>", "T")[0][0] == "Named"
 
 
+def test_plain_text_of_a_page_is_its_overview(spark):
+    pages = [("https://e.org/heat-and-hot-water.page", "<div>Plain words without any block.</div>"), ("https://e.org/", "Words"), ("https://e.org/a.page", PAGE)]
+    rows = guidance.guidance_sections(spark.createDataFrame(pages, "url string, html string"), "url", "html").collect()
+    assert [(r["section_key"], r["title"]) for r in rows[:2]] == [("overview", "Heat And Hot Water"), ("overview", "HPD Guidance")] and "overview" not in [r["section_key"] for r in rows[2:]]
+    assert values(spark, T.document_key(F.col("u")), [("https://e.org/",)], "u string")[0].startswith("hpd-guidance-")
+
+
+def test_a_tag_without_an_end_does_not_lengthen_its_container():
+    page = f"<div class='{guidance.CONTAINER}'><h2>Inside</h2><p>Enough words to count<br>as a section of its own.</p></div><p>Behind the container there is more text of enough length.</p>"
+    assert guidance.page_sections(page, "T") == [("Inside", "Inside\nEnough words to count as a section of its own.")]
+
+
 def test_guidance_sections(spark):
     rows = guidance.guidance_sections(spark.createDataFrame([(1, "https://e.org/heat.page", PAGE), (2, "https://e.org/x", None)], "id int, url string, html string"), "url", "html", None, "id").collect()
     assert [(r["id"], r["ordinal"], r["title"]) for r in rows] == [(1, 0, "Heat and Hot Water"), (1, 1, "Report a Heat Complaint")] and rows[0]["section_key"].startswith("heat-and-hot-water-")

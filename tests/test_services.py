@@ -6,12 +6,14 @@ import re
 from html.parser import HTMLParser
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import plans
-from corpusmill.operators import audit, ledger, matters, relations
-from corpusmill.sources import sinks, tables
+from corpusmill.operators import audit, ledger, matters, property, relations
+from corpusmill.sources import feeds, sinks, tables
 from corpusmill.streaming import ingest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -148,24 +150,82 @@ def test_numbered_places(spark):
     assert [got[i] for i, _ in order] == list(range(1, 1001)) and relations.numbered(df.limit(0), [F.asc("id")], "n").count() == 0
 
 
-def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
+def feed_files(folder, rows, number):
+    """A feed's rows as one more Parquet file of two row groups."""
+    Path(folder).mkdir(exist_ok=True)
+    columns = zip(*rows, strict=True)
+    table = pa.table({n: pa.array(c, k) for (n, k), c in zip((("violation_id", pa.string()), ("status_date", pa.timestamp("us")), ("status", pa.string())), columns, strict=True)})
+    pq.write_table(table, f"{folder}/part-{number}.parquet", row_group_size=max(1, len(rows) // 2))
+
+
+def test_ingest_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert ingest.run_mode("auto", None) == ("full", False, None) and ingest.run_mode("delta", {"complete": True}) == ("full", False, None)
     assert ingest.run_mode("auto", {"complete": True, "mode": "full", "watermark": "2024-03-20"}) == ("delta", False, "2024-03-06")
-    assert ingest.run_mode("delta", {"complete": False, "mode": "delta", "watermark": "2024-03-20", "last_key": ["x", "1"]}) == ("delta", True, None)
+    assert ingest.run_mode("delta", {"complete": False, "mode": "delta", "watermark": "2024-03-20"}) == ("delta", True, None)
     with pytest.raises(ValueError):
         ingest.run_mode("other", None)
-    start = dt.datetime(2024, 1, 1)
-    feed = [(f"{i:03d}", start + dt.timedelta(days=i % 9), "a") for i in range(25)]
-    schema = "violation_id string, status_date timestamp_ntz, status string"
-    folder = f"file://{tmp_path}/feed"
-    state = ingest.ingest_pages(spark.createDataFrame(feed, schema), folder, size=10, most_pages=1)
-    assert (state["mode"], state["complete"], state["last_key"], state["watermark"]) == ("full", False, ["009"], None) and sinks.active(spark, f"{folder}/table").count() == 10
-    state = ingest.ingest_pages(spark.createDataFrame(feed, schema), folder, size=10)
-    assert state["complete"] and state["watermark"] == "2024-01-09" and [p["rows"] for p in state["pages"]] == [10, 10, 5] and sinks.active(spark, f"{folder}/table").count() == 25
-    later = feed[:-1] + [("024", dt.datetime(2024, 1, 8), "late"), ("030", dt.datetime(2024, 2, 1), "new")]
-    state = ingest.ingest_pages(spark.createDataFrame(later, schema), folder, size=10)
+    start, path, folder = dt.datetime(2024, 1, 1), f"{tmp_path}/pages", f"file://{tmp_path}/feed"
+    feed_files(path, [(f"{i:03d}", start + dt.timedelta(days=i % 9), "a") for i in range(25)], 0)
+    plain = sinks.append_log
+
+    def broken(*args):
+        raise RuntimeError("stopped between the table and the log")
+
+    monkeypatch.setattr(sinks, "append_log", broken)
+    with pytest.raises(Exception, match="stopped between"):
+        ingest.ingest_feed(spark, path, folder)
+    monkeypatch.setattr(sinks, "append_log", plain)
+    stopped = sinks.latest(spark, f"{folder}/state")
+    assert not stopped["complete"] and stopped["watermark"] is None
+    feed_files(path, [(f"1{i:02d}", start, "b") for i in range(4)], 1)  # while it was down
+    state = ingest.ingest_feed(spark, path, folder)
+    assert (state["mode"], state["run"], state["complete"], state["watermark"], state["rows"]) == ("full", stopped["run"], True, "2024-01-09", 29)
+    assert sinks.active(spark, f"{folder}/table").count() == 29
+    feed_files(path, [("024", dt.datetime(2024, 1, 9, 5), "late"), ("030", dt.datetime(2024, 2, 1), "new"), ("001", dt.datetime(2023, 1, 1), "older")], 2)
+    state = ingest.ingest_feed(spark, path, folder)
     found = {r["violation_id"]: r["status"] for r in sinks.active(spark, f"{folder}/table").collect()}
-    assert state["mode"] == "delta" and len(found) == 26 and found["030"] == "new" and found["024"] == "late" and state["watermark"] == "2024-02-01"
+    assert state["mode"] == "delta" and len(found) == 30 and found["030"] == "new" and found["024"] == "late" and found["001"] == "a" and state["watermark"] == "2024-02-01"
+    log = spark.read.parquet(f"{folder}/log").collect()
+    assert len({(r["run"], r["batch"]) for r in log}) == len(log) and sum(r["rows"] for r in log) == 29 + state["rows"]
+    assert ingest.ingest_feed(spark, path, folder)["complete"] and sinks.active(spark, f"{folder}/table").count() == 30
+
+
+def test_buckets_double_as_the_table_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "BUCKETS", 2)
+    monkeypatch.setattr(sinks, "BUCKET_BYTES", 4000)
+    folder, merge = f"file://{tmp_path}/t", None
+    merge = ingest.upsert_sink(folder, ["k"], "at")
+    for i in range(4):
+        merge(spark.range(i * 500, i * 500 + 800).select(F.col("id").alias("k"), F.lit(i).alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("x")), i)
+    rows = sinks.active(spark, folder)
+    assert rows.count() == 2300 and rows.select("k").distinct().count() == 2300 and rows.filter("k BETWEEN 500 AND 799").agg(F.min("at")).first()[0] == 1
+    now = sinks.latest(spark, folder)
+    assert now["n"] > 2 and len(now["buckets"]) == now["n"]
+    sinks.clear_history(spark, folder, 1)
+    assert sinks.active(spark, folder).count() == 2300
+
+
+def test_a_feed_takes_the_filters(spark, tmp_path):
+    """Pages by class, status and days through the feed's reader, as from the rows themselves."""
+    at = dt.datetime(2024, 3, 1)
+    rows = [(str(i), "ABC"[i % 3], ["Open", "Closed", None][i % 4 % 3], at + dt.timedelta(hours=7 * i) if i % 11 else None, i / 3 if i % 5 else float("nan"), f"{i} MAIN ST" if i % 2 else None) for i in range(600)]
+    names = ["violation_id", "class", "status", "inspection_date", "score", "street_name"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.timestamp("us"), pa.float64(), pa.string()]
+    for part in range(3):
+        chunk = list(zip(*rows[part * 200 : part * 200 + 200], strict=True))
+        pq.write_table(pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds, chunk, strict=True)}), f"{tmp_path}/{part}.parquet", row_group_size=50)
+    whole = spark.createDataFrame(rows, "violation_id string, class string, status string, inspection_date timestamp_ntz, score double, street_name string")
+    tests = [
+        property.page_filter("B", "Open", "2024-04-01", "2024-05-02"), F.col("status").isNull(), F.col("status").isNotNull() & (F.col("violation_id") == "17"), F.col("class").isin("A", "C") & (F.col("score") > 30),
+        F.col("street_name").startswith("1") & (F.col("inspection_date") > F.lit("2024-06-01").cast("timestamp_ntz")), ~F.col("status").eqNullSafe("Open"), F.col("violation_id") == "none", F.col("score").isNull() | (F.col("class") == "A"),
+    ]
+    for test in tests:
+        got = feeds.feed(spark, str(tmp_path)).filter(test)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.filter(test).collect()))
+    some = feeds.feed(spark, str(tmp_path), ["violation_id", "class"]).filter("class = 'A'")
+    assert some.columns == ["violation_id", "class"] and "Filter" not in some._jdf.queryExecution().executedPlan().toString() and some.count() == 200
+    early = feeds.feed(spark, str(tmp_path)).filter(F.col("inspection_date") < F.lit("2024-03-10").cast("timestamp_ntz"))
+    assert early.rdd.getNumPartitions() == 1  # the other row groups are left out by their statistics
 
 
 def test_changed_counts_are_those_that_change(spark, tmp_path):
