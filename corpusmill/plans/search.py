@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import audit, search
+from corpusmill.operators import audit, search, segments
 from corpusmill.plans.registry import query
 from corpusmill.sources.shared import fingerprint, new_folder
 from corpusmill.sources.tables import chunks, table
@@ -78,6 +78,18 @@ def search_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _keyword(spark, folder, BODY, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(_bm25_sql(BODY) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keyword WHERE rank <= 10")
+def search_grown_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search over an index that grew: all chunks, English ones in an older wording first, then as they are."""
+    out, now = new_folder(spark, "segments"), chunks(spark, folder)
+    segments.add(now.withColumn("text", F.when(F.col("lang") == "en", F.concat(F.reverse("text"), F.lit(" superseded"))).otherwise(F.col("text"))), ["text"], out)
+    for _ in range(2):  # the second time nothing is new
+        segments.add(now, ["text"], out)
+    asked = search.ask(_queries(spark, folder), "query", "query_id")
+    best = search.top_k(search.bm25(segments.index_for(spark, out, asked), asked, [1.0], "query_id"), 10, "query_id")
+    return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(_bm25_sql(FIELDS) + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM keyword WHERE rank <= 10")
 def search_fielded_bm25(spark: SparkSession, folder: str) -> DataFrame:
     return _keyword(spark, folder, FIELDS, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

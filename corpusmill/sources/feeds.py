@@ -23,7 +23,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 NAME = "keyset_feed"
-#: Filter -> its name in a condition; all of them mean the same to Arrow as to Spark, but for floating-point columns.
+#: Filter -> its name in a condition; all of them mean the same to Arrow as to Spark, but for floating-point columns. Spark
+#: keeps comparisons of times without a zone to itself.
 OPERATORS = {EqualTo: "equal", GreaterThan: "greater", GreaterThanOrEqual: "greater_equal", LessThan: "less", LessThanOrEqual: "less_equal"}
 
 
@@ -63,7 +64,7 @@ class Feed:
 
     def schema(self) -> StructType:
         found = self.open().schema
-        return from_arrow_schema(pa.schema([found.field(c) for c in self.columns or found.names]))
+        return from_arrow_schema(pa.schema([found.field(c) for c in self.columns or found.names]), prefer_timestamp_ntz=True)
 
     def pieces(self, condition: ds.Expression | None) -> Iterator[ds.ParquetFileFragment]:
         """The row groups that may hold a row of this condition, by their statistics."""
