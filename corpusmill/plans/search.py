@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import audit, search, segments
+from corpusmill.operators import audit, fulltext, search, segments
 from corpusmill.plans.registry import query
 from corpusmill.sources.shared import fingerprint, new_folder
 from corpusmill.sources.tables import chunks, table
@@ -387,3 +387,27 @@ def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
     ranks = audit.retrieval_ranks(ranked, one.unionByName(two))
     both = audit.recall_and_mrr(ranks, 20).select("cases", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
     return both.join(F.broadcast(audit.recall_and_mrr(ranks, 20, "all_rank").select(F.round("recall", 6).alias("recall_all"))))
+
+
+#: Full-text queries, and SQL that tells whether a document with the words ``ts`` and those of its title, ``tt``, matches.
+FULL_TEXT = {
+    "the AND with NOT for": "list_contains(ts, 'the') AND list_contains(ts, 'with') AND NOT list_contains(ts, 'for')",
+    "(und OR les) AND en*": "(list_contains(ts, 'und') OR list_contains(ts, 'les')) AND len(list_filter(ts, lambda w: starts_with(w, 'en'))) > 0",
+    '"of the"': "len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the')) > 0",
+    "title : the OR title : und": "list_contains(tt, 'the') OR list_contains(tt, 'und')",
+    "NEAR(the with, 2)": "len(list_filter(range(1, len(ts)), lambda i: (ts[i] = 'the' AND list_contains(ts[i + 1:i + 3], 'with')) OR (ts[i] = 'with' AND list_contains(ts[i + 1:i + 3], 'the')))) > 0",
+}
+
+
+@query(
+    f"WITH d AS (SELECT doc_id AS chunk_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{WORDS}') AS ts, regexp_extract_all(strip_accents(lower(split_part(coalesce(text, ''), chr(10), 1))), '{WORDS}') AS tt FROM documents) "
+    + " UNION ALL ".join(f"SELECT '{q}' AS query, chunk_id FROM d WHERE {test}" for q, test in FULL_TEXT.items())
+)
+def fulltext_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries with operators over the index of titles and texts. A title is the first line of its text, so words count once in either."""
+    held = index(spark, folder, FIELDS)
+    out = None
+    for q in FULL_TEXT:
+        rows = fulltext.matching(held, q, ["title", "citation", "text"]).select(F.lit(q).alias("query"), "chunk_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
