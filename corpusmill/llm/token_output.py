@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import chunks, cut, new_folder, picked, portions
 from corpusmill.llm.encoding import encoder
+from corpusmill.operators.relations import numbered
 
 END = 0
 #: Stands for a null id in ``docs``; such documents come first.
@@ -33,6 +34,8 @@ MANIFEST = "part int, name string, n_docs long, n_tokens long, width int"
 RANGE_BYTES = 256_000_000
 #: Sampled rows for each range.
 SAMPLED = 100
+#: Bytes of ids that a task reads back, about; smaller data is read by a task per shuffle partition.
+READ_BYTES = 128_000_000
 #: Ids read at a time when a file can't be mapped.
 READ_IDS = 1 << 22
 
@@ -62,36 +65,47 @@ def _places(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _bounds(places: DataFrame, least: int) -> tuple[int, np.ndarray]:
-    """The number of ranges, and where each but the first begins: rows of (1 if there is an id, id, tie, row), ascending."""
+    """The number of ranges, and where each but the first begins, as ascending ``packed`` places.
+
+    The sample is numbered in its order by tasks, and only the bounds themselves, a row per range, come to the driver.
+    """
     count, size = places.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n = max(least, -(-(size or 0) // RANGE_BYTES))
-    drawn = places.select("doc_id", "tie", "row").sample(min(1.0, SAMPLED * n / max(count, 1)), seed=7).collect()
-    sample = sorted((d is not None, d or 0, t, r) for d, t, r in drawn)
-    at = [len(sample) * i // n for i in range(1, n)]
-    return n, np.array([sample[i] for i in at] if sample else [], dtype=np.int64).reshape(-1, 4)
+    order = [F.col("doc_id").asc_nulls_first(), F.asc("tie"), F.asc("row")]
+    sample = cut(places.select("doc_id", "tie", "row").sample(min(1.0, SAMPLED * n / max(count, 1)), seed=7))
+    held = sample.count()
+    part = lambda place: F.floor(place * n / F.lit(max(held, 1)))
+    chosen = numbered(sample, order, "at").filter((F.col("at") > 1) & (part(F.col("at") - 1) > part(F.col("at") - 2)))
+    found = chosen.select("doc_id", "tie", "row").toArrow() if held else None
+    return n, np.sort(packed(*(found.column(i).combine_chunks() for i in range(3)))) if held else np.zeros(0, dtype="S25")
+
+
+def packed(ids: pa.Array, tie: pa.Array, row: pa.Array) -> np.ndarray:
+    """Places as 25 bytes each, in whose order bytes compare: whether there is an id, the id, tie and row."""
+    out = np.zeros((len(ids), 25), dtype=np.uint8)
+    out[:, 0] = ids.is_valid().to_numpy(zero_copy_only=False)
+    for at, column in zip((1, 9, 17), (ids, tie, row), strict=True):
+        values = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, at : at + 8] = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S25").reshape(-1)
 
 
 def _range_of(bounds: np.ndarray, ids: pa.Array, tie: pa.Array, row: pa.Array) -> np.ndarray:
     """For each document the number of bounds at or before its place."""
-    numbers = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False)
-    rows = np.stack([ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), numbers(ids), numbers(tie), numbers(row)], axis=1)
-    both = np.concatenate([bounds, rows])
-    order = np.lexsort((np.arange(len(both)) >= len(bounds), *both.T[::-1]))  # a bound stands before the rows at its place
-    before = np.cumsum(order < len(bounds))
-    out = np.empty(len(both), dtype=np.int64)
-    out[order] = before
-    return out[len(bounds) :]
+    return np.searchsorted(bounds, packed(ids, tie, row), side="right")
 
 
 def encoded(docs: DataFrame, text: str, key: str, tokenizer: str | None, least: int) -> tuple[int, DataFrame]:
     """The number of ranges, and range, doc_id, tie, row, ids (bytes, with the end id) and width for every document."""
     places = _places(docs, text, key)
-    n, bounds = _bounds(places, least)
+    n, found = _bounds(places, least)
+    bounds = docs.sparkSession.sparkContext.broadcast(found.tobytes())  # 25 bytes a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
         end = np.array([END], dtype=kind).tobytes()
+        edges = np.frombuffer(bounds.value, dtype="S25") if bounds.value else np.zeros(0, dtype="S25")
         for whole in portions(batches):
             texts = whole.column(3).to_pylist()
             for a, z in chunks(texts):
@@ -99,7 +113,7 @@ def encoded(docs: DataFrame, text: str, key: str, tokenizer: str | None, least:
                 ids = [np.frombuffer(b, dtype="<u4").astype(kind).tobytes() + end for b in encode.encode(texts[a:z])]
                 place = [batch.column(i) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_range_of(bounds, *place).astype(np.int32)), *place, pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())],
+                    [pa.array(_range_of(edges, *place).astype(np.int32)), *place, pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())],
                     ["range", "doc_id", "tie", "row", "ids", "width"],
                 )
 
@@ -168,8 +182,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     Ranges without documents give no rows. A document longer than ``READ_IDS`` is a read of its own.
     """
     spark = manifest.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = manifest.select("folder").first()
+    size = manifest.agg(F.sum(F.col("n_tokens") * F.col("width"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
     settings = _settings(spark, first[0]) if first else {}
     files = manifest.select("folder", "name", "base", "width", "part").repartitionByRange(n, "part")
 

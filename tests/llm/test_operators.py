@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +251,23 @@ def test_ranges_follow_the_order_and_split_a_repeated_id(spark):
     assert max(Counter(r["range"] for r in placed).values()) < 3 * 20_000 / 16 and len({r["range"] for r in placed if r["doc_id"] is None}) >= 5
 
 
+def test_many_bounds_cost_little():
+    """Places compare as rows of (id given, id, tie, row) do, and a step finds its ranges among very many bounds at once."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [pa.array(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)) for _ in range(3)]
+    few = [pa.array([None, -5, 3, 3, 3, -(1 << 63), (1 << 63) - 1, 0]), pa.array([1, 2, -7, 0, 0, 0, 0, 0]), pa.array([0, 0, 0, -256, 256, 0, 0, 0])]
+    plain = sorted(zip(*(c.to_pylist() for c in few), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    order = np.argsort(token_output.packed(*few), kind="stable")
+    assert [tuple(c[int(i)].as_py() for c in few) for i in order] == plain
+    bounds = np.sort(token_output.packed(*draw(400_000)))
+    rows = draw(1000)
+    start = time.perf_counter()
+    for _ in range(20):
+        got = token_output._range_of(bounds, *rows)
+    assert (time.perf_counter() - start) / 20 < 0.02
+    assert (got == [int((bounds <= k).sum()) for k in token_output.packed(*rows)][:1000]).all()
+
+
 def test_token_output_reads_long_documents_in_steps(spark, docs, monkeypatch):
     want = sorted(map(tuple, token_output.tokenized(docs).collect()), key=str)
     monkeypatch.setattr(token_output, "READ_IDS", 50)
