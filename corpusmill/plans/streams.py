@@ -67,3 +67,15 @@ def feed_ingest(spark: SparkSession, folder: str) -> DataFrame:
     for _ in range(2):
         ingest.ingest_feed(spark, f"{folder}/events.parquet", out, "auto", "event_id", "ts")
     return sinks.active(spark, f"{out}/table").select("event_id", "user_id", "event_type", "ts")
+
+
+@query("""
+SELECT l.user_id, l.event_id AS left_event_id, r.event_id AS right_event_id FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts > l.ts AND r.ts <= l.ts + INTERVAL 6 HOUR
+WHERE l.event_type = 'click' AND r.event_type = 'purchase'""")
+def stream_interval_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases within six hours of a click by the same user: two streams joined over event time."""
+    path = f"{folder}/events.parquet"
+    rows = ingest.event_stream(spark, path).select("user_id", "event_id", "event_type", "ts")
+    sides = [rows.filter(F.col("event_type") == kind).drop("event_type") for kind in ("click", "purchase")]
+    pairs = ingest.joined_in_time(*sides, ["user_id"], "ts", "6 hours", ingest.span(spark, path))
+    return ingest.collected(pairs, "append", _folder(spark)).select("user_id", "left_event_id", "right_event_id")

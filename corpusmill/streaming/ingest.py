@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +158,23 @@ def sliding(stream: DataFrame, ts: str, width: str, step: str, *by: str, late: s
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width, step).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), *by, "n")
 
 
+def joined_in_time(left: DataFrame, right: DataFrame, by: list[str], ts: str, within: str, late: str) -> DataFrame:
+    """Pairs of rows of two streams that share ``by``, the right one after the left one by at most ``within``.
+
+    Both streams have a watermark, so each side's rows are kept only while a partner may still come: a left row until the
+    right watermark is past its time and ``within``, a right one until the left watermark is past its own. Columns are
+    those of ``by``, and the others with left_ and right_ before their names. Files may come in any order in which no row
+    is later than ``late`` allows.
+    """
+    side = lambda rows, name: rows.withWatermark(ts, late).select(*(F.col(c).alias(f"{name}_{c}") for c in rows.columns))
+    a, b = side(left, "left"), side(right, "right")
+    same = [F.col(f"left_{c}") == F.col(f"right_{c}") for c in by]
+    soon = (F.col(f"right_{ts}") > F.col(f"left_{ts}")) & (F.col(f"right_{ts}") <= F.col(f"left_{ts}") + F.expr(f"INTERVAL {within}"))
+    pairs = a.join(b, reduce(lambda x, y: x & y, same, soon), "inner")
+    others = [c for c in pairs.columns if c not in [f"{s}_{k}" for s in ("left", "right") for k in by]]
+    return pairs.select(*(F.col(f"left_{c}").alias(c) for c in by), *others)
+
+
 def admit(times: list[int], now: int, window: int, limit: int) -> tuple[bool, list[int]]:
     """Whether an event at ``now`` is admitted, and the times that count from here on; a rejected event isn't among them."""
     live = [t for t in times if t >= now - window]

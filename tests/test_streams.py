@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import plans
 from corpusmill.streaming import ingest
@@ -37,3 +38,18 @@ def test_no_row_of_a_backlog_is_late(spark, tmp_path, monkeypatch, n_files, at_a
         ok, times[user, kind] = ingest.admit(times[user, kind], int((at - dt.datetime(2024, 1, 1)).total_seconds()), 86_400, 3)
         want.add((event, ok))
     assert len(rows) == len(events) and {(r["event_id"], r["allowed"]) for r in rows} == want
+
+
+def test_streams_joined_over_event_time_in_any_order_of_files(spark, tmp_path):
+    """Files in the reverse order of time give what a batch join gives."""
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.randrange(5), rng.choice(["click", "purchase"]), start + dt.timedelta(minutes=30 * i + rng.randrange(60))) for i in range(120)]
+    for n, at in enumerate(range(100, -1, -20)):
+        spark.createDataFrame(rows[at : at + 20], "event_id long, user_id long, event_type string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sides = [stream.filter(F.col("event_type") == kind).select("user_id", "event_id", "ts") for kind in ("click", "purchase")]
+    pairs = ingest.joined_in_time(*sides, ["user_id"], "ts", "6 hours", "3 days")
+    got = sorted((r["user_id"], r["left_event_id"], r["right_event_id"]) for r in ingest.collected(pairs, "append", f"file://{tmp_path}/out").collect())
+    want = sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] == "click" and b[2] == "purchase" and dt.timedelta(0) < b[3] - a[3] <= dt.timedelta(hours=6))
+    assert got == want and len(got) > 30
