@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.plans.registry import query
 from corpusmill.sources import feeds, sinks
 from corpusmill.sources.shared import new_folder
-from corpusmill.streaming import ingest
+from corpusmill.streaming import ingest, leases
 
 
 def _folder(spark: SparkSession) -> str:
@@ -79,3 +79,19 @@ def stream_interval_join(spark: SparkSession, folder: str) -> DataFrame:
     sides = [rows.filter(F.col("event_type") == kind).drop("event_type") for kind in ("click", "purchase")]
     pairs = ingest.joined_in_time(*sides, ["user_id"], "ts", "6 hours", ingest.span(spark, path))
     return ingest.collected(pairs, "append", _folder(spark)).select("user_id", "left_event_id", "right_event_id")
+
+
+#: A job per user and day: what its events do to it, by their kind; the lease lasts six hours.
+KINDS = {"signup": "claim", "click": "claim", "view": "heartbeat", "error": "fail", "purchase": "complete"}
+
+
+@query()
+def stream_job_leases(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of a user's day as those of a job, whose leases run out by themselves: every change of its state."""
+    out, path = _folder(spark), f"{folder}/events.parquet"
+    rows = ingest.event_stream(spark, ingest.in_order(spark, path, out)).filter("ts IS NOT NULL")
+    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("event_type")], F.lit("heartbeat"))
+    job = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("job_id")
+    made = F.array(F.struct((2 * F.col("event_id")).alias("event_id"), F.lit("create").alias("kind")), F.struct((2 * F.col("event_id") + 1).alias("event_id"), kind.alias("kind")))
+    events = rows.select(job, F.lit("worker").alias("owner"), "ts", F.unix_micros("ts").alias("at_micros"), F.inline(made))
+    return leases.transitions(events, out, 21_600, "1 second")
