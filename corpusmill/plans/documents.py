@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from corpusmill.functions import citations, documents, routing
+from corpusmill.functions import citations, documents, routing, word_files
 from corpusmill.functions import text as T
-from corpusmill.operators import audit, compare, property
+from corpusmill.operators import audit, batches, compare, property
 from corpusmill.plans.registry import query
+from corpusmill.sources import archives
+from corpusmill.sources.shared import new_folder, remove_folder
 from corpusmill.sources.tables import chunks, table
 
 _SIDES = r"""WITH a AS (SELECT doc_id, text, source AS citation, substr(text, 1, 20) AS title FROM documents WHERE lang IS DISTINCT FROM 'fr'),
@@ -165,3 +173,56 @@ def vector_codec(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", documents.decode_vector(documents.encode_vector("embedding")).alias("v"))
     squared = F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
     return rows.select("vec_id", F.size("v").alias("dimension"), F.round(squared, 5).alias("squared"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, coalesce(length(text), 0) AS size FROM documents),
+t AS (SELECT place, coalesce(sum(size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, size FROM d),
+nxt AS (SELECT a.place, min(b.place) AS then FROM t a JOIN t b ON b.place > a.place AND b.place <= a.place + 32 AND (b.place = a.place + 32 OR b.before + b.size - a.before > 20000) GROUP BY 1),
+s AS (SELECT CAST(1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS batch UNION ALL SELECT n.then, s.batch + 1 FROM s JOIN nxt n USING (place) WHERE n.then IS NOT NULL)
+SELECT doc_id, d.place, s.batch FROM d ASOF JOIN s ON d.place >= s.place""")
+def greedy_batches_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by their ids in batches of at most 32 and 20,000 characters, filled one after the other."""
+    return batches.greedy_batches(table(spark, folder, "documents"), ["doc_id"], F.length("text"), 32, 20_000)
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS checksum FROM documents")
+def archive_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts through one ZIP archive that many tasks write, read back by the places in its manifest."""
+    out = new_folder(spark, "archive")
+    members = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
+    back = archives.read_members(archives.write_archive(members, f"{out}.zip"), f"{out}.zip").checkpoint()
+    remove_folder(spark, f"{out}.zip")
+    text = F.decode("content", "UTF-8")
+    return back.select(F.col("name").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), F.sha2("content", 256).alias("checksum"))
+
+
+_WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+@F.pandas_udf(BinaryType())
+def _as_word_file(texts: pd.Series, sources: pd.Series) -> pd.Series:
+    """A Word file with a paragraph for each line, the first of them a heading, and a table of one row: the source and an empty cell."""
+
+    def one(text: str, source: str) -> bytes:
+        paragraph = lambda line, style="": f"<w:p>{style}<w:r><w:t>{escape(line)}</w:t></w:r></w:p>"
+        first, *rest = text.split("\n")
+        body = paragraph(first, '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + "".join(map(paragraph, rest))
+        body += f"<w:tbl><w:tr><w:tc>{paragraph(source)}</w:tc><w:tc>{paragraph('')}</w:tc></w:tr></w:tbl>"
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr("[Content_Types].xml", "<Types>application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml</Types>")
+            z.writestr("word/document.xml", f"<w:document {_WORD}><w:body>{body}</w:body></w:document>")
+        return buffer.getvalue()
+
+    return pd.Series([one(t, s) for t, s in zip(texts, sources, strict=True)])
+
+
+@query(r"""WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+c AS (SELECT doc_id, n, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM l), h AS (SELECT doc_id, text AS heading FROM c WHERE n = 1),
+b AS (SELECT doc_id, 'docx-p-' || printf('%05d', n) AS block_id, text, n AS spot FROM c UNION ALL SELECT doc_id, 'docx-t-0001-r-0001-c-0001', trim(regexp_replace(coalesce(source, ''), '\s+', ' ', 'g')), 1000000000 FROM documents)
+SELECT doc_id, block_id, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS INTEGER) AS ordinal, heading FROM b JOIN h USING (doc_id) WHERE text <> ''""")
+def word_file_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as Word files, read again: their blocks with ids and the heading above them."""
+    files = table(spark, folder, "documents").select("doc_id", _as_word_file(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))).alias("file"))
+    rows = word_files.docx_blocks(files, "file", "doc_id").filter("status = 'ok'")
+    return rows.select("doc_id", "block_id", "text", "ordinal", F.array_join("headings", " > ").alias("heading"))

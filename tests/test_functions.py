@@ -281,6 +281,11 @@ def test_index_finds_words_and_phrases_without_diacritics(spark, tmp_path):
     for r in search.bm25(index, asked, [10.0, 8.0, 1.0], "query_id").collect():
         got.setdefault(r["query_id"], {})[r["chunk_id"]] = round(r["score"], 9)
     assert got == {q: want for q, t in queries.items() if (want := plain_bm25(texts, t, [10, 8, 1]))}
+    for k in (1, 2, 9):
+        best = search.best_by_bm25(index, asked, [10.0, 8.0, 1.0], k, "query_id").collect()
+        want = {(q, c, n) for q, scores in got.items() for n, c in enumerate(sorted(scores, key=lambda c: (-scores[c], c))[:k], 1)}
+        assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in best} == want
+        assert all(round(r["score"], 9) == got[r["query_id"]][r["chunk_id"]] for r in best)
     assert set(got[1]) == {1, 3} and set(got[2]) == {2, 5} and set(got[7]) == {1}
     one = {r["chunk_id"]: round(r["score"], 9) for r in search.best_for(index, "Heat 2005", [10.0, 8.0, 1.0], 9).collect()}
     assert one == plain_bm25(texts, "heat 2005", [10, 8, 1])
