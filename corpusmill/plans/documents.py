@@ -190,10 +190,10 @@ def archive_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """All texts through one ZIP archive that many tasks write, read back by the places in its manifest."""
     out = new_folder(spark, "archive")
     members = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
-    back = archives.read_members(archives.write_archive(members, f"{out}.zip"), f"{out}.zip").checkpoint()
+    back, text = archives.read_members(archives.write_archive(members, f"{out}.zip"), f"{out}.zip"), F.decode("content", "UTF-8")
+    rows = back.select(F.col("name").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), F.sha2("content", 256).alias("checksum")).checkpoint()
     remove_folder(spark, f"{out}.zip")
-    text = F.decode("content", "UTF-8")
-    return back.select(F.col("name").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), F.sha2("content", 256).alias("checksum"))
+    return rows
 
 
 _WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'

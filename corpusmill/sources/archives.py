@@ -20,6 +20,15 @@ FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 LOCAL_BYTES, ENTRY_BYTES = 30, 46 + 12
 
 
+#: Members that a worker holds at a time.
+PORTION = 1000
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, PORTION) for at in range(0, batch.num_rows, PORTION))
+
+
 def _head(name: bytes, crc: int, packed: int, size: int) -> bytes:
     return LOCAL + struct.pack("<5H3I2H", VERSION, FLAGS, DEFLATED, 0, DAY, crc, packed, size, len(name), 0) + name
 
@@ -57,7 +66,7 @@ def write_archive(members: DataFrame, path: str) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = entry = 0
-        for batch in batches:
+        for batch in _portions(batches):
             out = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -85,7 +94,7 @@ def write_archive(members: DataFrame, path: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(place, "r+b") as f:
-            for batch in batches:
+            for batch in _portions(batches):
                 for r in batch.to_pylist():
                     name, about = r["name"].encode(), (r["crc"], r["packed"], r["size"])
                     f.seek(r["at"])
@@ -108,7 +117,7 @@ def read_members(manifest: DataFrame, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(place, "rb") as f:
-            for batch in batches:
+            for batch in _portions(batches):
                 out = []
                 for name, at, packed, crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     f.seek(at + LOCAL_BYTES + len(name.encode()))
