@@ -9,7 +9,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -30,6 +30,9 @@ BLOCK = StructType([
     StructField("headings", ArrayType(StringType())), StructField("style", StringType()), *(StructField(n, IntegerType()) for n in ("paragraph", "table", "row", "cell")), StructField("note_id", StringType()),
 ])
 
+#: Files that a worker holds parsed at a time.
+PORTION = 100
+
 
 class Refused(Exception):
     """Why a file isn't read."""
@@ -205,8 +208,17 @@ def docx_blocks(files: DataFrame, content: str, *keys: str) -> DataFrame:
             return [bare | {"status": str(why)}]
         return [bare | r for r in rows] + [bare | {"status": "warning", "text": w} for w in warnings]
 
-    @F.pandas_udf(ArrayType(BLOCK))
-    def parse(blobs: pd.Series) -> pd.Series:
-        return blobs.map(one)
+    kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    blocks = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in BLOCK.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PORTION):
+                batch = whole.slice(at, PORTION)
+                found = [one(blob) for blob in batch.column(0).to_pylist()]
+                owner = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+                flat = pa.RecordBatch.from_pylist([r for rows in found for r in rows], blocks)
+                yield pa.RecordBatch.from_arrays([*(c.take(owner) for c in batch.columns[1:]), *flat.columns], [*keys, *blocks.names])
 
-    return files.select(*keys, F.inline(parse(F.col(content))))
+    rows = files.select(F.col(content).alias("_content"), *keys)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *BLOCK.fields]))
