@@ -42,6 +42,13 @@ def test_identifiers(spark):
     ]
 
 
+def test_a_house_number_is_no_zip_code(spark):
+    ids = routing.identifiers(F.col("q"))
+    rows = ["see 10001-7A main st in NYC 10033 violations", "see 10025 Broadway", "zip 10001, 5 Main Street", "10025 Broadway 10026"]
+    got = values(spark, F.struct(ids["house_number"], ids["zip_code"]), [(q,) for q in rows], "q string")
+    assert [tuple(r) for r in got] == [("10001-7A", "10033"), ("10025", None), ("5", "10001"), ("10025", "10026")]
+
+
 def test_rules_triggers_and_cards(spark):
     rules = [{"rule_id": "a", "pattern": "(?i)heat", "priority": 1}, {"rule_id": "b", "pattern": "heat", "unless": "no heat bill", "priority": 5}, {"rule_id": "c", "pattern": ".", "lang": "es"}]
     asked = spark.createDataFrame([(1, "Heat", "en"), (2, "heat", "es"), (3, "no heat bill", None)], "id int, text string, lang string")
