@@ -21,7 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group linked by five-word shingles with a similarity of 0.8 or more.
 
-    Null and empty texts are copies of one another; of repeated rows one stays; a null id leads only where there is no other.
+    Texts whose SimHash fingerprints link and texts that share MinHash bands are compared on their whole sets. Null and empty
+    texts are copies of one another; of repeated rows one stays; a null id leads only where there is no other.
     """
     return near_copies.one_of_each(docs)
 

@@ -1,7 +1,8 @@
 """Near copies by what texts hold: five-word shingles with a Jaccard similarity of 0.8 or more, verified exactly.
 
-Texts with the same set of shingles are one node. Candidates are nodes that share a band of MinHash values: 24 bands of
-four values find a pair at a similarity of 0.8 but for a chance of 1 - (1 - 0.8 ** 4) ** 24, 3 in a million, and a
+Texts with the same set of shingles are one node. Candidates are nodes whose SimHash fingerprints link (``near_dedup``: 4 or
+fewer differing bits, compared bit-sliced), and, since pairs at a similarity of 0.8 lie further apart than that, nodes
+that share a band of MinHash values: 24 bands of four values find a pair at a similarity of 0.8 but for a chance of 1 - (1 - 0.8 ** 4) ** 24, 3 in a million, and a
 closer one more surely. Buckets with the same members count once. In each bucket the sets themselves are compared,
 a node only with those that nothing has reached yet, so a group of mutual copies takes one comparison a node. A large
 bucket is cut into tiles; pairs of tiles are compared, and only the links of a spanning forest are returned.
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm import near_dedup
 from corpusmill.llm.common import cut, fresh, picked, portions
 from corpusmill.llm.components import components
 
@@ -95,21 +97,30 @@ def alike(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set of shingles) and keys for each row."""
+    """doc_id, text_hash, node (a hash of the set of shingles), fp (the SimHash fingerprint) and keys for each row."""
     rows = picked(docs, doc_id=F.col(key), text_hash=F.xxhash64(F.col(text)), text=F.col(text))
     kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for t in batch.column(2).to_pylist():
                 held = shingles(t)
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes()))
+                fps.append(near_dedup.fingerprint(t))
                 keys.append(band_keys(held))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "keys"])
+            hashes = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *hashes, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fp", "keys"])
 
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, text_hash bigint, node bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, text_hash bigint, node bigint, fp bigint, keys array<bigint>")
+
+
+def simhash_keys(rows: DataFrame) -> DataFrame:
+    """node and same: hashes of the groups of linked SimHash fingerprints that a node's texts are in. Nodes without shingles have none."""
+    fps = cut(rows.filter(F.size("keys") > 0).select("node", "fp").distinct())
+    roots = components(near_dedup.links(fps.select("fp").distinct()))
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy("node").agg(F.collect_set(group).alias("same"))
 
 
 def _held(rows: DataFrame) -> DataFrame:
@@ -165,7 +176,8 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     rows = cut(sketched(docs, text, key))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = cut(rows.groupBy("node").agg(F.min(lead).alias("lead"), F.first("keys").alias("keys")))
+    nodes = rows.groupBy("node").agg(F.min(lead).alias("lead"), F.first("keys").alias("keys")).join(simhash_keys(rows), "node", "left")
+    nodes = cut(nodes.select("node", "lead", F.concat("keys", F.coalesce("same", F.array().cast("array<bigint>"))).alias("keys")))
     roots = components(cut(links(docs, nodes, text, key)))
     leads = nodes.select("node", "lead").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead")).select("lead.doc_id", "lead.text_hash")
     counted = rows.groupBy("doc_id", "text_hash").count()

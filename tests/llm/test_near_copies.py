@@ -68,6 +68,17 @@ def test_stage_links_near_copies_whose_fingerprints_are_far_apart(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_stage_compares_what_fingerprints_link(spark, monkeypatch):
+    """Without MinHash bands, texts with close fingerprints are still found, and are verified on their sets."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda held: near_copies.np.array([held.sum()] if len(held) else [], dtype="u8").view("i8"))
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(reversed(base)))]
+    assert (near_dedup.fingerprint(rows[0][1]) ^ near_dedup.fingerprint(rows[1][1])).bit_count() <= 4
+    kept = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_bands_miss_hardly_a_pair_at_the_threshold():
     rng, missed = random.Random(7), 0
     for _ in range(2000):
