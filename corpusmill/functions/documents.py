@@ -8,12 +8,13 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from itertools import accumulate, groupby, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -23,6 +24,8 @@ from corpusmill.operators.audit import range_sections
 SKIPPED = ("script", "style", "noscript", "nav", "header", "footer", "svg")
 HEADINGS = ("h1", "h2", "h3", "h4")
 TARGET_CHARS, MOST_CHARS, MOST_BYTES = 2500, 3000, 7500
+#: Texts whose parts a worker holds at a time.
+PORTION = 100
 
 
 class _Sections(HTMLParser):
@@ -72,11 +75,29 @@ SECTION = StructType([StructField("ordinal", IntegerType()), StructField("headin
 def page_sections(pages: DataFrame, html: str = "html", *keys: str) -> DataFrame:
     """A row for each headed section of a page."""
 
-    @F.pandas_udf(ArrayType(SECTION))
-    def parse(values: pd.Series) -> pd.Series:
-        return values.map(lambda p: [{"ordinal": i, "heading": h, "text": t} for i, (h, t) in enumerate(html_sections(p))])
+    return parts_of(pages, html, keys, SECTION, lambda p: [(i, h, t) for i, (h, t) in enumerate(html_sections(p))])
 
-    return pages.select(*keys, F.inline(parse(F.col(html))))
+
+def in_portions(batches: Iterator[pa.RecordBatch], names: list[str], kinds: list[pa.DataType], parse: Callable[[str | None], list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The other columns of each row beside every part of its last one, so many rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PORTION):
+            batch = whole.slice(at, PORTION)
+            owner, parts = [], []
+            for i, text in enumerate(batch.columns[-1].to_pylist()):
+                found = parse(text)
+                owner += [i] * len(found)
+                parts += found
+            columns = [pa.array([part[j] for part in parts], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner, pa.int64())) for c in batch.columns[:-1]), *columns], names)
+
+
+def parts_of(rows: DataFrame, text: str, keys: tuple[str, ...], part: StructType, parse: Callable[[str | None], list[tuple]]) -> DataFrame:
+    """keys and the fields of ``part``, a row for each part that ``parse`` finds in a text. A worker holds those of ``PORTION`` texts, not of a batch."""
+    kept = rows.select(*keys)
+    kinds = [pa.int32() if f.dataType == IntegerType() else pa.string() for f in part]
+    names = [*kept.columns, *part.names]
+    return rows.select(*keys, F.col(text).alias("_text")).mapInArrow(lambda batches: in_portions(batches, names, kinds, parse), StructType([*kept.schema, *part]))
 
 
 def _pieces(text: str | None) -> Iterator[tuple[int, str]]:
@@ -110,13 +131,8 @@ def pack(text: str | None) -> list[tuple[str, int, int]]:
 
 def chunked(docs: DataFrame, text: str, *keys: str) -> DataFrame:
     """A row for each chunk of a text: keys, ordinal, text, paragraph_start, paragraph_end."""
-    kind = ArrayType(StructType([StructField("ordinal", IntegerType()), StructField("chunk", StringType()), StructField("paragraph_start", IntegerType()), StructField("paragraph_end", IntegerType())]))
-
-    @F.pandas_udf(kind)
-    def cut(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: [{"ordinal": i, "chunk": c, "paragraph_start": a, "paragraph_end": z} for i, (c, a, z) in enumerate(pack(t), 1)])
-
-    return docs.select(*keys, F.inline(cut(F.col(text))))
+    part = StructType([StructField("ordinal", IntegerType()), StructField("chunk", StringType()), StructField("paragraph_start", IntegerType()), StructField("paragraph_end", IntegerType())])
+    return parts_of(docs, text, keys, part, lambda t: [(i, *chunk) for i, chunk in enumerate(pack(t), 1)])
 
 
 def split_at(docs: DataFrame, text: str, header: str, *keys: str) -> DataFrame:

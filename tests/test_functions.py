@@ -249,6 +249,18 @@ def test_docx(spark):
     assert got == [(1, "ok", 0, "Heading1", "Title"), (1, "ok", 1, None, "new text"), (2, "not_a_package", None, None, None), (3, "empty", None, None, None)]
 
 
+def test_a_worker_holds_the_parts_of_a_portion_only():
+    import pyarrow as pa
+
+    seen, batch = [], pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array([None, "a b"] * 125)], ["id", "_text"])
+    parse = lambda t: seen.append(t) or list(enumerate((t or "").split()))
+    out, rows = documents.in_portions(iter([batch]), ["id", "n", "w"], [pa.int32(), pa.string()], parse), []
+    for part in out:
+        assert len(seen) - len(rows) <= documents.PORTION  # two parts a text with any, so as many as texts
+        rows += part.to_pylist()
+    assert rows == [{"id": i, "n": n, "w": w} for i in range(1, 250, 2) for n, w in enumerate("ab")]
+
+
 def plain_bm25(chunks, query, weights):
     """Scores by a loop over whole texts: what a full-text index with phrases gives. chunks: id -> texts of the fields."""
     import math
