@@ -336,6 +336,18 @@ def test_batches_score_chunks_where_they_lie(spark, tmp_path, monkeypatch, block
     assert {(r["query"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in pruned.collect()} == {(q, *x) for (q, h), xs in want.items() if h is None for x in xs}
 
 
+def test_term_overlap_is_added_up_where_chunks_lie(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "SCORES", 5)
+    texts = {1: ("Heat", "c-1", "heat and rent"), 2: (None, "heat", "rents"), 3: ("x", None, "none")}
+    asked = {1: "heat rent heat", 2: "c-1", 3: "absent", 4: "", 5: "ren heat"}
+    chunks = spark.createDataFrame([(i, *t) for i, t in texts.items()], "chunk_id long, title string, citation string, text string")
+    found = search.term_overlap(chunks, spark.createDataFrame(list(asked.items()), "query_id int, query string"), "title", "citation", "text")
+    want = {(1, 1): 5 / 3, (1, 2): 5 / 3, (2, 1): 2.0, (5, 1): 1.5, (5, 2): 1.5}
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in found.collect()} == want
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("block", [1000, 1])
 def test_vector_top_k_equals_a_loop(spark, monkeypatch, block):
     monkeypatch.setattr(search, "QUERY_BLOCK", block)
