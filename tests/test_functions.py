@@ -348,6 +348,18 @@ def test_term_overlap_is_added_up_where_chunks_lie(spark, monkeypatch):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_vectors_in_small_portions_give_k_rows_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCORES", 8)
+    rng = random.Random(6)
+    held = {i: [float(rng.randrange(5)), float(rng.randrange(5))] for i in range(90)}
+    vectors = spark.createDataFrame(list(held.items()), "chunk_id long, embedding array<double>").coalesce(1)
+    asked = {q: [float(q), 1.0] for q in range(3)}
+    found = search.vector_top_k(vectors, spark.createDataFrame(list(asked.items()), "query_id long, vector array<double>"), 4)
+    score = lambda q, i: sum(a * b for a, b in zip(asked[q], held[i], strict=True))
+    want = {(q, n, i) for q in asked for n, i in enumerate(sorted(held, key=lambda i: (-score(q, i), i))[:4], 1)}  # noqa: B023
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("block", [1000, 1])
 def test_vector_top_k_equals_a_loop(spark, monkeypatch, block):
     monkeypatch.setattr(search, "QUERY_BLOCK", block)
