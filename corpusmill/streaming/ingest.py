@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from corpusmill.operators.relations import latest_per_key, upsert
 from corpusmill.sources import sinks
@@ -20,6 +21,8 @@ from corpusmill.sources.feeds import feed_stream
 OVERLAP = "14 days"
 #: Files that a batch takes.
 FILES = 64
+#: Groups that the keys of a rate limit are dealt to; the time of an event that has none.
+GROUPS, NEVER = 1024, -(2**63)
 
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
@@ -181,34 +184,49 @@ def admit(times: list[int], now: int, window: int, limit: int) -> tuple[bool, li
     return (True, [*live, now]) if len(live) < limit else (False, live)
 
 
-def check_and_record(rows: DataFrame, by: list[str], ts: str, event_id: str, seconds: int, limit: int) -> DataFrame:
+def check_and_record(rows: DataFrame, by: list[str], ts: str, event_id: str, seconds: int, limit: int, groups: int = GROUPS) -> DataFrame:
     """by, event_id, allowed, for a stream: an event counts only if it was admitted, so the state is the admitted times.
 
-    State per key holds at most ``limit`` times and is dropped when the watermark passes the window's end. Batches have to
-    come in the order of time: a backlog goes through ``in_order`` first.
+    A call costs far more than an event, so keys are dealt to ``groups``, and a call handles a batch's events of a whole
+    group. Its state holds at most ``limit`` times a key; a key is dropped once the watermark is past its window's end.
+    ``groups`` stays the same for a checkpoint. Batches have to come in the order of time: a backlog goes through
+    ``in_order`` first. An event without a time has no place in a window, and isn't admitted.
     """
-    micros = rows.withColumn("_at", F.unix_micros(F.col(ts))).withWatermark(ts, f"{seconds} seconds")
-    kinds = {f.name: f.dataType.simpleString() for f in micros.schema}
-    out = ", ".join(f"{c} {kinds[c]}" for c in [*by, event_id]) + ", allowed boolean"
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    key, none = F.to_json(F.struct(*by), exact), F.col(event_id).isNull()
+    # pandas makes whole numbers with nulls floating-point ones, so nulls travel as values
+    id_ = F.coalesce(F.col(event_id), F.lit(0)) if kinds[event_id] in ("tinyint", "smallint", "int", "bigint") else F.col(event_id)
+    at = F.coalesce(F.unix_micros(F.col(ts)), F.lit(NEVER))
+    given = rows.select(ts, F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"), key.alias("_key"), at.alias("_at"), none.alias("_none"), id_.alias("_id"))
     window = seconds * 1_000_000
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["_at", event_id], kind="stable")
+        held = dict(state.get[0]) if state.exists else {}
+        frame = pd.concat(list(frames)).sort_values(["_at", "_none", "_id"], kind="stable")
         allowed = []
-        for at in frame["_at"].tolist():
-            ok, times = admit(times, at, window, limit)
+        for k, at in zip(frame["_key"].tolist(), frame["_at"].tolist(), strict=True):
+            ok = False
+            if at != NEVER:
+                ok, held[k] = admit(held.get(k, []), at, window, limit)
             allowed.append(ok)
-        state.update((times,))
-        end = int(frame["_at"].max() + window) // 1000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        yield pd.DataFrame({**{c: [k] * len(frame) for c, k in zip(by, key, strict=True)}, event_id: frame[event_id].to_numpy(), "allowed": allowed})
+        past = state.getCurrentWatermarkMs()
+        ends = {k: (max(times) + window) // 1000 for k, times in held.items() if times}
+        held = {k: held[k] for k, end in ends.items() if end >= past}
+        if held:
+            state.update((held,))
+            state.setTimeoutTimestamp(max(past + 1, *(ends[k] for k in held)))
+        elif state.exists:
+            state.remove()
+        yield frame[["_key", "_none", "_id"]].assign(allowed=allowed)
 
-    return micros.groupBy(*by).applyInPandasWithState(step, out, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = f"_key string, _none boolean, _id {kinds[event_id]}, allowed boolean"
+    each = given.withWatermark(ts, f"{seconds} seconds").groupBy("_group").applyInPandasWithState(step, out, "times map<string, array<bigint>>", "append", GroupStateTimeout.EventTimeTimeout)
+    back = F.from_json("_key", StructType([rows.schema[c] for c in by]), exact)
+    return each.select(F.when(~F.col("_none"), F.col("_id")).alias(event_id), "allowed", back.alias("_by")).select("_by.*", event_id, "allowed")
 
 
 def collected(stream: DataFrame, mode: str, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams over a backlog of many files, the newest events first."""
 
 import datetime as dt
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -53,3 +54,29 @@ def test_streams_joined_over_event_time_in_any_order_of_files(spark, tmp_path):
     got = sorted((r["user_id"], r["left_event_id"], r["right_event_id"]) for r in ingest.collected(pairs, "append", f"file://{tmp_path}/out").collect())
     want = sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] == "click" and b[2] == "purchase" and dt.timedelta(0) < b[3] - a[3] <= dt.timedelta(hours=6))
     assert got == want and len(got) > 30
+
+
+def test_a_rate_limit_calls_by_groups_of_keys(spark, tmp_path):
+    """Three hundred keys take four rows of state; nulls, large ids and times in micros stay what they are."""
+    rng, start = random.Random(9), dt.datetime(2024, 1, 1)
+    keys = [(None if k == 0 else 2**53 + k, start + dt.timedelta(microseconds=k % 2)) for k in range(300)]
+    events = [(None if i == 7 else 2**53 + i, *rng.choice(keys[: 300 if i % 2 else 20]), None if i == 11 else start + dt.timedelta(minutes=i)) for i in range(3000)]
+    for n in range(0, 3000, 600):
+        part = [c for c in zip(*events[n : n + 600], strict=True)]
+        table = pa.table({"event_id": pa.array(part[0], pa.int64()), "user_id": pa.array(part[1], pa.int64()), "since": pa.array(part[2], pa.timestamp("us", "UTC")), "ts": pa.array(part[3], pa.timestamp("us", "UTC"))})
+        (tmp_path / "in").mkdir(exist_ok=True)
+        pq.write_table(table, tmp_path / "in" / f"{n:05}.parquet")
+        os.utime(tmp_path / "in" / f"{n:05}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("event_id long, user_id long, since timestamp, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = f"file://{tmp_path}/out"
+    limited = ingest.check_and_record(stream, ["user_id", "since"], "ts", "event_id", 7200, 3, groups=4)
+    rows = ingest.collected(limited, "append", out).selectExpr("event_id", "user_id", "unix_micros(since) % 1000000 AS since", "allowed").collect()
+    times, want = defaultdict(list), Counter()
+    for event, user, since, at in events:
+        ok = False
+        if at is not None:
+            ok, times[user, since] = ingest.admit(times[user, since], round((at - start).total_seconds()), 7200, 3)
+        want[event, user, since.microsecond, ok] += 1
+    assert Counter(map(tuple, rows)) == want and len({r["allowed"] for r in rows}) == 2
+    checkpoint = next((tmp_path / "out").glob("checkpoint-*"))
+    assert 0 < spark.read.format("statestore").load(f"file://{checkpoint}").count() <= 4
