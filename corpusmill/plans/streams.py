@@ -91,7 +91,9 @@ def stream_job_leases(spark: SparkSession, folder: str) -> DataFrame:
     out, path = _folder(spark), f"{folder}/events.parquet"
     rows = ingest.event_stream(spark, ingest.in_order(spark, path, out)).filter("ts IS NOT NULL")
     kind = F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("event_type")], F.lit("heartbeat"))
-    job = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("job_id")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    job = F.concat_ws("/", F.col("user_id").cast("string"), day).alias("job_id")
     made = F.array(F.struct((2 * F.col("event_id")).alias("event_id"), F.lit("create").alias("kind")), F.struct((2 * F.col("event_id") + 1).alias("event_id"), kind.alias("kind")))
+    group = F.concat_ws("/", day, ingest.dealt(F.col("job_id"), 128).cast("string"))  # jobs of a day share rows of state
     events = rows.select(job, F.lit("worker").alias("owner"), "ts", F.unix_micros("ts").alias("at_micros"), F.inline(made))
-    return leases.transitions(events, out, 21_600, "1 second")
+    return leases.transitions(events, out, 21_600, "1 second", group)

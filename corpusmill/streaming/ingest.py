@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -21,7 +21,7 @@ from corpusmill.sources.feeds import feed_stream
 OVERLAP = "14 days"
 #: Files that a batch takes.
 FILES = 64
-#: Groups that the keys of a rate limit are dealt to; the time of an event that has none.
+#: Groups that the keys of a rate limit, or jobs, are dealt to; the time of an event that has none.
 GROUPS, NEVER = 1024, -(2**63)
 
 
@@ -184,6 +184,11 @@ def admit(times: list[int], now: int, window: int, limit: int) -> tuple[bool, li
     return (True, [*live, now]) if len(live) < limit else (False, live)
 
 
+def dealt(key: Column, groups: int) -> Column:
+    """The group, one of so many, that a key belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(groups))
+
+
 def check_and_record(rows: DataFrame, by: list[str], ts: str, event_id: str, seconds: int, limit: int, groups: int = GROUPS) -> DataFrame:
     """by, event_id, allowed, for a stream: an event counts only if it was admitted, so the state is the admitted times.
 
@@ -198,7 +203,7 @@ def check_and_record(rows: DataFrame, by: list[str], ts: str, event_id: str, sec
     # pandas makes whole numbers with nulls floating-point ones, so nulls travel as values
     id_ = F.coalesce(F.col(event_id), F.lit(0)) if kinds[event_id] in ("tinyint", "smallint", "int", "bigint") else F.col(event_id)
     at = F.coalesce(F.unix_micros(F.col(ts)), F.lit(NEVER))
-    given = rows.select(ts, F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"), key.alias("_key"), at.alias("_at"), none.alias("_none"), id_.alias("_id"))
+    given = rows.select(ts, dealt(key, groups).alias("_group"), key.alias("_key"), at.alias("_at"), none.alias("_none"), id_.alias("_id"))
     window = seconds * 1_000_000
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

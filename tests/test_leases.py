@@ -81,3 +81,34 @@ def test_the_query_gives_what_a_loop_gives(spark):
     got = sorted((r["job_id"], r["at_micros"], r["state"], r["owner"]) for r in plans.QUERIES["stream_job_leases"](spark, str(folder)).collect())
     want = plain(events, 21_600 * SECOND, end)
     assert got == want and {r[2] for r in want} == {"queued", "running", "interrupted", "succeeded", "failed"}
+
+
+def test_jobs_of_a_group_share_a_row_of_state_and_a_timer(spark, tmp_path):
+    """Two hundred jobs in three groups take three rows; leases that end at the watermark have ended, later ones haven't."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    base, lease, events = int(START.timestamp()) * SECOND, 60, []
+    for j in range(200):
+        at = rng.randrange(300)
+        events.append((base + at * SECOND, len(events), f"j{j}", "create", None))
+        for _ in range(rng.randrange(6)):
+            at += rng.choice([5, 20, 59, 60, 61])
+            events.append((base + at * SECOND, len(events), f"j{j}", rng.choice(["claim", "claim", "heartbeat", "complete", "fail", "cancel"]), rng.choice(["a", "b", None])))
+    for job, at in (("k0", 929), ("k1", 930), ("k2", 931), ("l0", 930)):
+        events += [(base + at * SECOND, len(events), job, "create", None), (base + at * SECOND, len(events) + 1, job, "claim", "a")]
+    events.append((base + 1_000 * SECOND, len(events), "k9", "create", None))
+    want = plain(events, lease * SECOND, base + 990 * SECOND)
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate([sorted(events)[n : n + 100] for n in range(0, len(events), 100)]):
+        columns = {"job_id": [r[2] for r in part], "event_id": [r[1] for r in part], "kind": [r[3] for r in part], "owner": pa.array([r[4] for r in part], pa.string()), "ts": pa.array([r[0] for r in part], pa.timestamp("us", "UTC")), "at_micros": [r[0] for r in part]}
+        pq.write_table(pa.table(columns), f"{tmp_path}/in/{n:05d}.parquet")
+        os.utime(f"{tmp_path}/in/{n:05d}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("job_id string, event_id long, kind string, owner string, ts timestamp, at_micros long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    rows = leases.transitions(stream, f"file://{tmp_path}/out", lease, "10 seconds", F.substring("job_id", 1, 1)).collect()
+    got = [(r["job_id"], r["at_micros"], r["state"], r["owner"]) for r in rows]
+    key = lambda r: (r[0], r[1], r[2], r[3] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r[0] for r in want if r[0][0] in "kl" and r[2] == "interrupted"} == {"k0", "k1", "l0"}
+    checkpoint = next((tmp_path / "out").glob("checkpoint-*"))
+    assert spark.read.format("statestore").option("stateVarName", "jobs").load(f"file://{checkpoint}").count() == 3
