@@ -16,7 +16,7 @@ from corpusmill.functions import citations
 from corpusmill.functions.text import URL_SPACE, collapse_lines, uuid5
 from corpusmill.operators import relations
 from corpusmill.sources import sinks
-from corpusmill.sources.shared import file_system
+from corpusmill.sources.shared import file_system, shared_folder
 
 #: Table -> its key.
 TABLES = {"modules": "module_id", "versions": "version_id", "documents": "document_id", "chunks": "chunk_id", "citations": "citation_id", "embeddings": "embedding_id"}
@@ -57,7 +57,8 @@ def stored(manifests: DataFrame, sections: DataFrame, retrieved_at: Column) -> d
     semantic = relations.digests(sections.withColumn("body", collapse_lines(F.col("text"))), "slug", "document", "document_title", "place", "section_key", "citation", "title", "body").withColumnRenamed("digest", "semantic_hash")
     heads = sections.select("slug", "content_hash").distinct().join(manifests.select("slug", "parser_version"), "slug").join(semantic, "slug")
     version_id = uuid5(module_id, F.concat_ws(":", "content_hash", "parser_version"))
-    versions = heads.select(version_id.alias("version_id"), module_id.alias("module_id"), "slug", "content_hash", "semantic_hash", "parser_version", retrieved_at.alias("retrieved_at"))
+    # a row per source, computed once: the tables below would each hash all texts again, and a join with it would move them
+    versions = relations.few(heads.select(version_id.alias("version_id"), module_id.alias("module_id"), "slug", "content_hash", "semantic_hash", "parser_version", retrieved_at.alias("retrieved_at")))
     rows = sections.join(versions.select("slug", "content_hash", "version_id", "module_id"), ["slug", "content_hash"])
     rows = rows.withColumn("document_id", uuid5(F.col("version_id"), F.col("document"))).withColumn("chunk_id", F.sha2(F.concat_ws(":", "version_id", "document", "section_key"), 256))
     documents = rows.select("document_id", "version_id", F.col("document").alias("stable_id"), F.col("document_title").alias("title"), F.col("document_url").alias("source_url")).dropDuplicates(["document_id"])
@@ -97,13 +98,47 @@ def _append(folder: str, name: str, rows: DataFrame) -> None:
         rows.withColumn("_written", F.current_timestamp()).write.mode("append").parquet(f"{folder}/{name}")
         return
     known = read(spark, folder, name)
-    fresh = rows if known is None else rows.join(known.select(key), key, "left_anti")
-    fresh.dropDuplicates([key]).write.mode("append").parquet(f"{folder}/{name}")
+    if name == "chunks":
+        rows = new_by_key(rows, known, key)
+    else:
+        rows = (rows if known is None else rows.join(known.select(key), key, "left_anti")).dropDuplicates([key])
+    rows.write.mode("append").parquet(f"{folder}/{name}")
+
+
+def new_by_key(rows: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """One row for each key that ``known`` lacks. Keys alone are compared, so texts move only for keys that come twice or are known in part."""
+    keys = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    here = keys.withColumn("_known", F.lit(None).cast("boolean")) if known is None else keys.join(known.select(key, F.lit(True).alias("_known")), key, "left")
+    shared_folder(rows.sparkSession)
+    odd = here.filter("_known OR _n > 1").checkpoint()
+    n, twice, size = odd.agg(F.count("*"), F.count_if(F.col("_known").isNull()), F.sum(F.octet_length(key))).first()
+    if not n:
+        return rows
+    if not twice and keys.count() == n:
+        return rows.limit(0)
+    mark = lambda df: F.broadcast(df) if (size or 0) <= relations.FEW_BYTES else df
+    plain = rows.join(mark(odd.select(key)), key, "left_anti")
+    return plain if not twice else plain.unionByName(rows.join(mark(odd.filter("_known IS NULL").select(key)), key, "left_semi").dropDuplicates([key]))
+
+
+def of_members(chunks: DataFrame, members: DataFrame) -> DataFrame:
+    """The chunks that are members. Ids alone are compared: where all chunks of the members' versions are members, no text moves."""
+    versions = relations.few(members.select("version_id").distinct())
+    near = chunks.join(versions, "version_id", "left_semi").select(*chunks.columns)
+    shared_folder(chunks.sparkSession)
+    others = near.select("chunk_id").join(members.select("chunk_id"), "chunk_id", "left_anti").checkpoint()
+    size = others.agg(F.sum(F.octet_length("chunk_id"))).first()[0]
+    if size is None:
+        return near
+    if size <= relations.FEW_BYTES:
+        return near.join(F.broadcast(others), "chunk_id", "left_anti").select(*chunks.columns)
+    return near.join(members.select("chunk_id"), "chunk_id", "left_semi").select(*chunks.columns)
 
 
 def members(chunks: DataFrame, modules: DataFrame, versions: DataFrame, embeddings: DataFrame | None) -> DataFrame:
     """chunk_id, version_id, text_ready, embedding_ready and eligible of the chunks of chosen versions."""
-    rows = chunks.select("chunk_id", "version_id", "module_id").join(versions.select("version_id"), "version_id", "left_semi").join(modules.select("module_id", "model_use_allowed"), "module_id")
+    chosen, allowed = relations.few(versions.select("version_id")), relations.few(modules.select("module_id", "model_use_allowed"))
+    rows = chunks.select("chunk_id", "version_id", "module_id").join(chosen, "version_id", "left_semi").join(allowed, "module_id")
     ready = rows.withColumn("_e", F.lit(None).cast("boolean")) if embeddings is None else rows.join(embeddings.select("chunk_id").distinct().withColumn("_e", F.lit(True)), "chunk_id", "left")
     eligible = F.coalesce("model_use_allowed", F.lit(False))
     return ready.select("chunk_id", "version_id", F.lit(True).alias("text_ready"), (eligible & F.coalesce("_e", F.lit(False))).alias("embedding_ready"), eligible.alias("eligible"))
@@ -146,10 +181,10 @@ def install(spark: SparkSession, folder: str, manifests: DataFrame, sections: Da
     kept = {r["slug"]: (r["version_id"], r["kept_id"]) for r in kept.collect()}  # a row per source of this installation
     reused = [v for v, k in kept.values() if v != k]
     for name, rows in tables.items():
-        if "version_id" in rows.columns:
+        if "version_id" in rows.columns and reused:
             rows = rows.filter(~F.col("version_id").isin(reused))
-        elif name == "citations":
-            rows = rows.join(tables["chunks"].filter(~F.col("version_id").isin(reused)).select("chunk_id"), "chunk_id", "left_semi")
+        elif name == "citations" and reused:
+            rows = section_citations(tables["chunks"].filter(~F.col("version_id").isin(reused)))
         _append(folder, name, rows)
     versions = status(spark, folder)["versions"] | {slug: k for slug, (_, k) in kept.items()}
     return publish(spark, folder, list(versions.values()), required, allow_partial)
@@ -222,11 +257,12 @@ def generation(spark: SparkSession, folder: str, name: str | None = None) -> dic
     """The rows of every table that a generation, the active one if none is named, reaches."""
     name = name or status(spark, folder)["generation"]
     rows = {"members": spark.read.parquet(f"{folder}/members/generations/{name}")}
-    rows["chunks"] = read(spark, folder, "chunks").join(rows["members"].select("chunk_id"), "chunk_id", "left_semi")
+    rows["chunks"] = of_members(read(spark, folder, "chunks"), rows["members"])
     for child, parent, key in (("versions", "chunks", "version_id"), ("modules", "versions", "module_id"), ("documents", "chunks", "document_id"), ("citations", "chunks", "chunk_id"), ("embeddings", "chunks", "chunk_id")):
         table = read(spark, folder, child)
         if table is not None:
-            rows[child] = table.join(rows[parent].select(key).distinct(), key, "left_semi")
+            reached = rows[parent].select(key).distinct()
+            rows[child] = table.join(relations.few(reached) if child in ("versions", "modules") else reached, key, "left_semi")
     return rows
 
 
@@ -263,7 +299,7 @@ def export_bundle(spark: SparkSession, folder: str, to: str, name: str | None =
     tables = generation(spark, folder, name)
     public = tables["modules"].filter("origin <> 'user'")
     versions = tables["versions"].join(public.select("module_id"), "module_id", "left_semi")
-    chunks = tables["chunks"].join(versions.select("version_id"), "version_id", "left_semi")
+    chunks = tables["chunks"].join(relations.few(versions.select("version_id")), "version_id", "left_semi")
     kept = tables | {"modules": public, "versions": versions, "chunks": chunks} | {n: tables[n].join(chunks.select(k).distinct(), k, "left_semi") for n, k in (("documents", "document_id"), ("citations", "chunk_id"), ("members", "chunk_id"), ("embeddings", "chunk_id")) if n in tables}
     return sinks.back_up(kept, to)
 

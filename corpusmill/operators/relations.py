@@ -104,6 +104,18 @@ def digests(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     return rows.select(by, row.alias("_row")).groupBy(by).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))
 
 
+#: Bytes, as JSON, up to which ``few`` marks a table to be broadcast.
+FEW_BYTES = 8_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, which should be few, computed once, and marked to be broadcast if their bytes are few indeed."""
+    shared_folder(rows.sparkSession)
+    rows = rows.checkpoint()
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(rows) if (size or 0) <= FEW_BYTES else rows
+
+
 def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """``rows`` with their place, from 1, in an order over all of them; end the order with an id.
 

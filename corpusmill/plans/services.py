@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import documents, routing
 from corpusmill.functions import text as T
-from corpusmill.operators import answers, audit, corpus, ledger, matters, property
+from corpusmill.operators import answers, audit, corpus, ledger, matters, property, relations
 from corpusmill.operators import operations as ops
 from corpusmill.plans.registry import query
 from corpusmill.sources import tables
@@ -346,7 +346,7 @@ def snapshot_publish(spark: SparkSession, folder: str) -> DataFrame:
     out = new_folder(spark, "corpus")
     entry = corpus.install(spark, out, *_corpus(spark, folder), F.lit("2024-01-01").cast("timestamp"), [])
     found = corpus.generation(spark, out)
-    rows = found["chunks"].join(found["versions"].select("version_id", "slug"), "version_id")
+    rows = found["chunks"].join(relations.few(found["versions"].select("version_id", "slug")), "version_id")
     counts = rows.groupBy("slug").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum(F.length("text")).alias("chars"))
     return counts.select("*", F.lit(entry["readiness"]).alias("readiness"), F.lit(corpus.faults(found).count()).alias("faults"))
 
@@ -359,7 +359,7 @@ def bundle_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     corpus.export_bundle(spark, out, bundle)
     corpus.import_bundle(spark, there, bundle, [])
     found = corpus.generation(spark, there)
-    rows = found["chunks"].join(found["versions"].select("version_id", "slug"), "version_id")
+    rows = found["chunks"].join(relations.few(found["versions"].select("version_id", "slug")), "version_id")
     return rows.select("slug", F.col("stable_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_hash"))
 
 

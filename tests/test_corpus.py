@@ -118,3 +118,35 @@ def test_records_of_another_store(spark, tmp_path):
     given, parts = corpus.from_records(spark.createDataFrame([row("h1", "2024-01-01", "s1", "old", 0), row("h2", "2024-01-02", "s1", "new", 0), row("h2", "2024-01-02", "s1", "again", 1), row("h2", "2024-01-02", "s2", "more", 2)], columns))
     assert sorted(r["text"] for r in parts.collect()) == ["more", "new"]
     assert corpus.install(spark, f"file://{tmp_path}/c", given, parts, at(2), ["code"])["chunks"] == 2
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """Without broadcasts by size, what a generation reaches is read without a shuffle of its texts, also with chunks of another generation beside it."""
+    folder = f"file://{tmp_path}/corpus"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        corpus.install(spark, folder, manifests(spark, "code", "guide"), sections(spark), at(1), ["code"])
+        first = corpus.status(spark, folder)["generation"]
+        extra = spark.read.parquet(f"{folder}/chunks").filter("stable_id = 's1'").withColumn("chunk_id", F.lit("no member"))
+        extra.write.mode("append").parquet(f"{folder}/chunks")
+        for name, n in ((first, 3), (corpus.with_sources(spark, folder, ["code"], [])["generation"], 4)):
+            chunks = corpus.generation(spark, folder, name)["chunks"]
+            plan = chunks._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+            assert chunks.count() == n and chunks.columns == extra.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_chunks_are_added_by_their_keys(spark, monkeypatch):
+    """One row for each new key, whether it comes twice, is known, or neither, and whether the exceptions are broadcast."""
+    rows = lambda *keys: spark.createDataFrame([(k, f"text {k}") for k in keys], "chunk_id string, text string")
+    for size in (8_000_000, -1):
+        monkeypatch.setattr(corpus.relations, "FEW_BYTES", size)
+        for new, known, want in (("abc", None, "abc"), ("abcabb", None, "abc"), ("abcc", "ax", "bc"), ("ab", "abz", ""), ("aabb", "ab", ""), ("", "a", ""), ("cab", "z", "abc")):
+            got = corpus.new_by_key(rows(*new), None if known is None else rows(*known), "chunk_id").collect()
+            assert sorted(map(tuple, got)) == [(k, f"text {k}") for k in want]
+        chunks = spark.createDataFrame([(k, v, "t") for k, v in ("a1", "b1", "c2", "d3")], "chunk_id string, version_id string, text string")
+        for chosen in ("abcd", "abc", "ac", "d"):
+            assert sorted(r["chunk_id"] for r in corpus.of_members(chunks, chunks.filter(F.col("chunk_id").isin(*chosen)).drop("text")).collect()) == list(chosen)
