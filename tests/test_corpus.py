@@ -150,3 +150,18 @@ def test_chunks_are_added_by_their_keys(spark, monkeypatch):
         chunks = spark.createDataFrame([(k, v, "t") for k, v in ("a1", "b1", "c2", "d3")], "chunk_id string, version_id string, text string")
         for chosen in ("abcd", "abc", "ac", "d"):
             assert sorted(r["chunk_id"] for r in corpus.of_members(chunks, chunks.filter(F.col("chunk_id").isin(*chosen)).drop("text")).collect()) == list(chosen)
+
+
+def test_versions_are_hashed_once_and_lines_collapsed_as_before(spark):
+    """Chunks are made without adding up their versions' hashes again; lines equal those that Python collapses."""
+    import random
+    import re
+
+    plan = corpus.stored(manifests(spark, "code", "guide"), sections(spark), at(1))["chunks"]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+    ends, rng = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  ", random.Random(2)
+    white = ends.translate({0x1C: None, 0x1D: None, 0x1E: None}) + "\t \xa0     　"
+    texts = ["", " ", "\n", "a\nb c", "a\n\nb", " a", "a\n", "\r\n \r\na", *("".join(rng.choice([*white, *ends, *"ab​\x1f  \n"]) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    want = ["\n".join(x for line in re.split(f"[{ends}]", t) if (x := re.sub(f"[{white}]+", " ", line).strip(" "))) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.collapse_lines(F.col("t"))).collect()
+    assert [r[1] for r in sorted(rows)] == want
