@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, cut, picked, portions
-from corpusmill.llm.encoding import encoder
+from corpusmill.llm.common import cut, picked, portions
+from corpusmill.llm.encoding import encoder, steps
 
 #: Neighbouring lengths that share a range of the suffix sums.
 RANGE = 256
@@ -21,11 +22,12 @@ def encoded_lengths(docs: DataFrame, text: str = "text", key: str = "doc_id", to
     rows = picked(docs, doc_id=F.col(key), text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in portions(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = [len(b) // 4 for a, z in chunks(texts) for b in encode(texts[a:z])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, dtype=np.int64))], ["doc_id", "n_tokens"])
+        encode = encoder(tokenizer)
+        for whole in portions(batches):
+            for a, z in steps(whole.column(1)):
+                batch = whole.slice(a, z - a)
+                sizes = pc.binary_length(encode.encode_column(batch.column(1))).to_numpy() // int(encode.kind[2])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64))], ["doc_id", "n_tokens"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 

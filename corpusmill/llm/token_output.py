@@ -17,13 +17,14 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import chunks, cut, new_folder, picked, portions
-from corpusmill.llm.encoding import encoder
+from corpusmill.llm.common import cut, new_folder, picked, portions
+from corpusmill.llm.encoding import encoder, steps
 from corpusmill.operators.relations import numbered
 
 END = 0
@@ -103,17 +104,15 @@ def encoded(docs: DataFrame, text: str, key: str, tokenizer: str | None, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
-        end = np.array([END], dtype=kind).tobytes()
+        end = np.array([END], dtype=encode.kind).tobytes()
         edges = np.frombuffer(bounds.value, dtype="S25") if bounds.value else np.zeros(0, dtype="S25")
         for whole in portions(batches):
-            texts = whole.column(3).to_pylist()
-            for a, z in chunks(texts):
+            for a, z in steps(whole.column(3)):
                 batch = whole.slice(a, z - a)
-                ids = [np.frombuffer(b, dtype="<u4").astype(kind).tobytes() + end for b in encode.encode(texts[a:z])]
+                ids = pc.binary_join_element_wise(encode.encode_column(batch.column(3)), end, b"")
                 place = [batch.column(i) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_range_of(edges, *place).astype(np.int32)), *place, pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())],
+                    [pa.array(_range_of(edges, *place).astype(np.int32)), *place, ids, pa.array(np.full(len(ids), int(encode.kind[2]), dtype=np.int32))],
                     ["range", "doc_id", "tie", "row", "ids", "width"],
                 )
 
