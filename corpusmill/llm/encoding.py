@@ -17,7 +17,7 @@ TRIED, STEADY = 150_000, 300_000
 #: Longer pieces, in bytes, aren't remembered.
 LONG = 64
 #: Bytes of text in a step, about; a longer text is a step of its own.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 20
 
 #: What a byte-level pre-tokenizer tells apart. 0: not asked for yet.
 SPACE, LETTER, NUMBER, OTHER = 1, 2, 3, 4
